@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import maxscore, mixing, quality, secrets, sharding
+from quarry.llm import licenses, maxscore, mixing, packing, quality, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -26,13 +26,45 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top(table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(table(spark, sf_dir, "documents"))
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_curriculum_mix, op5_maxscore, op8_jump_shards)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op10_best_fit_packing)}
+
+
+def _license_sql() -> str:
+    """All units against all templates, without the operator's bounds."""
+    rows = ", ".join(f"({i}, '{n}', {k}, [{', '.join(repr(x) for x in b)}])" for i, (n, k, b) in enumerate(licenses.template_bigrams()))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH templates(nth, license, template, b) AS (VALUES {rows}),
+units AS (
+  SELECT doc_id, text AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
+words AS (SELECT doc_id, regexp_extract_all(translate(unit, '{letters.upper()}', '{letters}'), '[a-z0-9]+') AS w FROM units),
+pairs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS u FROM words WHERE len(w) > 1),
+scored AS (
+  SELECT r, doc_id, nth, license, template, CAST(2 AS DOUBLE) * len(list_intersect(u, b)) / (len(u) + len(b)) AS dice FROM pairs, templates),
+best AS (
+  SELECT doc_id, count(DISTINCT r) AS n_matches, arg_min(license, (-dice, nth)) AS license, arg_min(template, (-dice, nth)) AS template, max(dice) AS dice
+  FROM scored WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, CAST(template AS INT) AS template, round(dice, 6) AS dice
+FROM documents d LEFT JOIN best USING (doc_id)
+"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op4_curriculum_mix": r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
