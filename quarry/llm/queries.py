@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import licenses, maxscore, mixing, packing, quality, secrets, sharding
+from quarry.llm import licenses, maxscore, mixing, packing, pfp, quality, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -34,11 +34,15 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op9_pfp_dedup, op10_best_fit_packing)}
 
 
 def _license_sql() -> str:
