@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import licenses, maxscore, mixing, packing, pfp, quality, secrets, sharding
+from quarry.llm import ctw, licenses, maxscore, mixing, packing, pfp, quality, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op9_pfp_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_context_tree, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op9_pfp_dedup, op10_best_fit_packing)}
 
 
 def _license_sql() -> str:
