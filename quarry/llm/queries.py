@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ctw, licenses, maxscore, mixing, packing, pfp, quality, secrets, sharding
+from quarry.llm import ctw, dartminhash, licenses, maxscore, mixing, packing, pfp, quality, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(table(spark, sf_dir, "documents"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_context_tree, op4_curriculum_mix, op5_maxscore, op6_license_scan, op8_jump_shards, op9_pfp_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_context_tree, op4_curriculum_mix, op5_maxscore, op6_license_scan, op7_dart_minhash, op8_jump_shards, op9_pfp_dedup, op10_best_fit_packing)}
 
 
 def _license_sql() -> str:
