@@ -1 +1 @@
-"""Part of the engine."""
+"""A retrieval engine for source code and text on Spark: chunks, BM25, vectors, a code graph, and their fusion."""
