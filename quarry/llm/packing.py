@@ -70,35 +70,39 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
     A superstep for each length, from the longest. The open sequences stand as runs with the same gap, sorted by gap;
     the sweep goes up from the smallest gap that holds the length. Where pieces and gaps meet, ranks decide: the n-th
-    piece gets the n-th gap. Then the gaps are updated as runs. What finds no gap opens sequences, each with as many
-    pieces as go in. All pieces and gaps of one size are placed at once, so the work and the state depend on the
+    piece gets the n-th gap, and a gap takes as many as go in. Then the gaps are updated as runs. What finds no gap opens
+    sequences. All pieces and gaps of one size are placed at once, so the work and the state depend on the
     capacity, not on the number of documents.
     """
-    out = []
+    out: list[tuple[int, int, int, int, int]] = []
     gaps: dict[int, deque[tuple[int, int]]] = defaultdict(deque)
     sequences = 0
     for length in range(capacity, 0, -1):
         left, rank = counts.get(length, 0), 0
+
+        def fill(first: int, n: int, gap: int) -> int:
+            """Puts pieces into n sequences with this gap, as many as go in each; how many sequences that took."""
+            nonlocal left, rank
+            each = gap // length
+            used = 0
+            for m, layers in ((min(n, left // each), each), (1, left % each)):
+                if used == n or not m or not layers:
+                    continue
+                for layer in range(layers):
+                    out.append((length, rank, m, first + used, capacity - gap + layer * length))
+                    rank, left = rank + m, left - m
+                if gap > layers * length:
+                    gaps[gap - layers * length].append((first + used, m))
+                used += m
+            return used
+
         for gap in range(length, capacity):
             while left and gaps[gap]:
                 first, n = gaps[gap].popleft()
-                m = min(n, left)
-                if m < n:
-                    gaps[gap].appendleft((first + m, n - m))
-                out.append((length, rank, m, first, capacity - gap))
-                if gap > length:
-                    gaps[gap - length].append((first, m))
-                left, rank = left - m, rank + m
-        each = capacity // length
-        for n, layers in ((left // each, each), (1, left % each)):
-            if not n or not layers:
-                continue
-            for layer in range(layers):
-                out.append((length, rank, n, sequences, layer * length))
-                rank += n
-            if capacity > layers * length:
-                gaps[capacity - layers * length].append((sequences, n))
-            sequences += n
+                used = fill(first, n, gap)
+                if used < n:
+                    gaps[gap].appendleft((first + used, n - used))
+        sequences += fill(sequences, left, capacity) if left else 0
     return out
 
 
