@@ -93,15 +93,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = M
 
     Rows that share an id (repeated rows) are planned one by one and matched again by their place among equal ids.
     """
-    taken = plan(docs, weights, most_times, key, source, text).where("copies > 0").select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), "positions")
-    place = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.size("positions").desc(), "positions"))
-    taken = taken.withColumn("_i", place("_k", "_s", "_z"))
-    size = word_count(F.col(text))
-    rows = docs.withColumn("_k", F.col(key)).withColumn("_s", F.col(source).cast("string")).withColumn("_z", size)
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_s", "_z").orderBy(F.col(text))))
-    same = F.lit(True)
+    taken = plan(docs, weights, most_times, key, source, text).where("copies > 0").select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "positions")
+    same = ("k", "s", "z", "i")
+    taken = taken.withColumn("i", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy(F.size("positions").desc(), "positions")))
+    # the whole row as one column: whatever names it has, none clashes
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("d"), F.col(key).alias("k"), F.col(source).cast("string").alias("s"), word_count(F.col(text)).alias("z"), F.col(text).alias("t"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy("t"))).drop("t")
     left, right = rows.alias("l"), taken.alias("r")
-    for c in ("_k", "_s", "_z", "_i"):
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    out = left.join(right, same).select("l.*", F.explode("r.positions").alias("_at"))
-    return out.repartitionByRange("_at", "_k").sortWithinPartitions("_at", "_k").select(*docs.columns)
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    out = left.join(right, equal).select("l.d", "l.k", F.explode("r.positions").alias("at"))
+    return out.repartitionByRange("at", "k").sortWithinPartitions("at", "k").select("d.*")
