@@ -16,6 +16,7 @@ from quarry.functions import text as T
 from quarry.functions.terms import ALIASES, STOP_WORDS, WEIGHTS
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
+from quarry.reach import reach
 from quarry.sources import chunker, tree
 
 #: A question that asks for relations, a symbol, one with filters, one with an identifier.
@@ -25,7 +26,7 @@ DEPTH = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks_of(documents: DataFrame) -> DataFrame:
@@ -406,7 +407,7 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This package's own source tree."""
     from pathlib import Path
 
-    return tree.scan(spark, str(Path(__file__).parent))
+    return tree.scan(reach(spark), str(Path(__file__).parent))
 
 
 @query()
