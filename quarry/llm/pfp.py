@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.blocks import BLOCK_BYTES, SENT, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, sent_batch, text_bytes, unpacked
+from quarry.llm.blocks import SENT, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, sent_batch, text_bytes, unpacked
 from quarry.llm.common import written
 
 #: A string's bytes; those of a trigger; one place in so many is a trigger.
 LENGTH, TRIGGER, ONE_IN = 200, 8, 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PHRASES, CONTEXTS, STRINGS = 0, 1, 2
+#: A block's texts; several numbers are held for each byte.
+BLOCK_BYTES = 3 << 20
 
 
 @functools.cache
