@@ -78,6 +78,17 @@ def saturated(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_n", "_old")
 
 
+def expanded(fused: DataFrame, queries: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, chunk_ord, score, with the neighbours of the best chunks of queries that ask for relations.
+
+    The fused rows, a few hundred a query, and what is near the seeds are kept, as several joins read them.
+    """
+    fused = fused.persist()
+    seeds = graph.seeds_of(fused.join(queries.where("expand").select("query_id"), "query_id"), ["first"]).persist()
+    links = graph.seed_links(seeds, chunks, edges).persist()
+    return graph.expand(fused.select("query_id", "chunk_ord", "score"), seeds, links)
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
@@ -101,11 +112,7 @@ def search(
     if vector_hits is not None:
         channels["vector"] = vector_hits.where(F.col("rank") <= depth)
     fused = fuse({c: channels[c] for c in CHANNELS if c in channels}, queries)
-    scored = fused.select("query_id", "chunk_ord", "score")
-    if expand and edges is not None:
-        asking = queries.where("expand").select("query_id")
-        seeds = graph.seeds_of(fused.join(asking, "query_id"), ["first"])
-        scored = graph.expand(scored, seeds, graph.seed_links(seeds, chunks, edges))
+    scored = expanded(fused, queries, chunks, edges) if expand and edges is not None else fused.select("query_id", "chunk_ord", "score")
     rows = scored.join(chunks, "chunk_ord").join(queries, "query_id")
     own = {c: F.col(c) for c in CHUNK_COLUMNS}
     asked = {c: F.col(c) for c in queries.columns}

@@ -345,8 +345,7 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, of = _vectors(spark, sf_dir, len(QUERIES))
     channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(rows, queries, DEPTH)}
     fused = hybrid.fuse({c: channels[c] for c in hybrid.CHANNELS}, queries)
-    seeds = graph.seeds_of(fused.join(queries.where("expand").select("query_id"), "query_id"), ["first"])
-    out = graph.expand(fused.select("query_id", "chunk_ord", "score"), seeds, graph.seed_links(seeds, rows, graph.edges(rows)))
+    out = hybrid.expanded(fused, queries, rows, graph.edges(rows))
     return out.select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
 
 
