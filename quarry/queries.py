@@ -203,6 +203,20 @@ def relevance_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_ord", F.round(rank.relevance_factor(c, c), 6).alias("factor"))
 
 
+@query(S.with_(S.CHUNKS, S.queries_cte(QUERIES), "candidates AS (SELECT * FROM chunks, queries)", S.FACTORS) + "SELECT query_id, chunk_ord, CAST(hits AS INT) AS hits FROM factors")
+def concept_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = columns(rows := _crossed(spark, sf_dir))
+    metadata = T.metadata_tokens(c["file_path"], c["kind"], c["name"], c["language"])
+    rows = rows.select("query_id", "chunk_ord", "groups", metadata.alias("m"), F.array_distinct(T.tokens(c["content"])).alias("t"))
+    return rows.select("query_id", "chunk_ord", rank.concept_hits(F.col("groups"), F.col("m"), F.col("t")).alias("hits"))
+
+
+@query(S.with_(S.CHUNKS, S.queries_cte(QUERIES)) + f"SELECT query_id, chunk_ord, md5({S.FIRST_LINE}) AS line_md5, round(least(0.8::DOUBLE, 0.2::DOUBLE * len(list_filter(raw_terms, lambda q: contains({S.FIRST_LINE}, q)))), 6) AS bonus FROM chunks, queries")
+def definition_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = columns(rows := _crossed(spark, sf_dir))
+    return rows.select("query_id", "chunk_ord", F.md5(rank.first_line(c["content"])).alias("line_md5"), F.round(rank.definition_bonus(c["content"], c["raw_terms"]), 6).alias("bonus"))
+
+
 @query(S.with_(S.CHUNKS, S.queries_cte(QUERIES)) + f"SELECT query_id, chunk_ord FROM chunks, queries WHERE {S.FILTERS}")
 def query_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = columns(rows := _crossed(spark, sf_dir))
@@ -307,6 +321,11 @@ def import_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.imports(chunks(spark, sf_dir))
 
 
+@query(S.with_(S.CHUNKS, S.MODULES) + "SELECT file_path, module FROM module_names")
+def module_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("file_path").distinct().select("file_path", F.explode(graph.module_names(F.col("file_path"))).alias("module"))
+
+
 @query(S.with_(S.CHUNKS, S.MODULES) + "SELECT module, file FROM unique_modules")
 def unique_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unique_modules(chunks(spark, sf_dir).select("file_path").distinct())
@@ -394,6 +413,24 @@ def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.parse_batch(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@query()
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of all benchmark items, by field."""
+    return bm25.query_terms(hybrid.parse_batch(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@query()
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of this package's sources, saved and loaded, with a search over it."""
+    import tempfile
+    from pathlib import Path
+
+    from quarry.store import load_or_build
+
+    home = Path(tempfile.mkdtemp(prefix="quarry-home-"))
+    return load_or_build(reach(spark), str(Path(__file__).parent), home=home).search("where is the suffix array", 10)
+
+
 @query()
 def chunk_source_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources of different languages."""
