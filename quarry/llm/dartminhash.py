@@ -17,6 +17,10 @@ from quarry.llm.common import batches, word_count, word_lists, written
 WORDS, LEAST = 5, 0.8
 #: Bands of rows. Two texts of similarity 0.8 meet in one with a chance of 1 - (1 - 0.8**5)**24 = 0.99993.
 BANDS, ROWS = 24, 5
+#: Buckets of so many texts are finished in one task after the first round; a task has about so many rows.
+SMALL, TASK_ROWS = 2048, 8192
+#: Cells of the bound on shared shingles (a power of 2), and the greatest count that one holds.
+CELLS, FULL = 256, 65535
 #: Darts a coordinate besides the logarithm of their number, as the first throw.
 SPARE = 2.0
 
@@ -136,7 +140,7 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """h and its text's shingles, packed. rows: h, text."""
+    """h, its text's shingles, packed, and how many fall in each cell. rows: h, text."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(given):
@@ -144,9 +148,12 @@ def sets_of(rows: DataFrame) -> DataFrame:
             order = np.lexsort((hashes, row))
             ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
             sets = [hashes[order[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.binary())], ["h", "set"])
+            cells = np.zeros((batch.num_rows, CELLS), np.int64)
+            np.add.at(cells, (row, (hashes & np.uint64(CELLS - 1)).astype(np.int64)), 1)
+            cells = [x.tobytes() for x in np.minimum(cells, FULL).astype("<u2")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.binary()), pa.array(cells, pa.binary())], ["h", "set", "cells"])
 
-    return rows.select("h", "text").mapInArrow(run, "h binary, set binary")
+    return rows.select("h", "text").mapInArrow(run, "h binary, set binary, cells binary")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -196,15 +203,48 @@ def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("h", "_k").orderBy(F.lit(0)))).where("_n = 1").drop("_n", "_k")
 
 
-def linked(nodes: DataFrame, sets: DataFrame, bands: DataFrame, least: float) -> DataFrame:
+def bounded_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of different labels in a bucket that may be similar, for buckets of up to SMALL texts. rows: band, label, h, weight.
+
+    A text's shingles are counted in CELLS cells by their hashes. Two texts share at most the sum of the cells' lesser
+    counts, which bounds their similarity from above; most pairs that met by chance go out here, before they are rows.
+    """
+    many = max(1, -(-rows.count() // TASK_ROWS))
+    dealt = rows.join(sets.select("h", "cells"), "h").withColumn("task", F.pmod(F.xxhash64("band"), F.lit(many)))
+
+    def run(table: pa.Table) -> pa.Table:
+        band, label = (table.column(c).combine_chunks() for c in ("band", "label"))
+        band = np.asarray(band, np.int64)
+        names = np.asarray(label.dictionary_encode().indices, np.int64)
+        weight = np.asarray(table.column("weight"), np.int64)
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
+        order = np.argsort(band, kind="stable")
+        found_a, found_b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            for i, x in enumerate(at[:-1].tolist()):
+                y = at[i + 1 :]
+                y = y[(names[y] != names[x]) & (np.minimum(weight[x], weight[y]) >= least * np.maximum(weight[x], weight[y]))]
+                shared = np.minimum(cells[x], cells[y]).sum(1, dtype=np.int64)
+                y = y[(shared >= least * (weight[x] + weight[y] - shared)) | (weight[x] >= FULL) | (weight[y] >= FULL)]
+                found_a += [x] * len(y)
+                found_b += y.tolist()
+        h = table.column("h").to_pylist()
+        pairs = {(min(h[x], h[y]), max(h[x], h[y])) for x, y in zip(found_a, found_b)}
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    return dealt.select("task", "band", "label", "h", "weight", "cells").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def linked(sets: DataFrame, bands: DataFrame, least: float) -> DataFrame:
     """labels (h, label): the texts that share a bucket with another, by component of links.
 
-    A bucket is worked off in rounds. Some of its texts are hubs, those of labels with few texts there first; all texts
-    of other labels are paired with the hubs, and then the hubs are done with. Pairs whose sizes differ too much can't
-    be similar; the others go distinct and are checked on whole shingle sets. Linked labels are joined, and a bucket
-    with one label is done. So a bucket of n texts that belong together costs n pairs, a text that doesn't belong costs
-    a pair with each other text, and no link between labels goes unseen. The first round has one hub a bucket, later
-    ones four times as many as the round before.
+    A bucket is worked off in rounds. Some of its texts are hubs, those of labels with few texts there first; all texts of
+    other labels are paired with the hubs, and then the hubs are done with. Among equals, the hub is the text that meets
+    most others, which is mostly the same one in all bands, so pairs repeat and count once. Pairs whose sizes differ too
+    much can't be similar; the others are checked on whole shingle sets. Linked labels are joined, and a bucket with one
+    label is done. After the first round, buckets of up to SMALL texts are finished at once by bounded_pairs(), the
+    others go on with four times as many hubs. So n texts that belong together cost n pairs, and no link between labels
+    goes unseen.
     """
     state, hubs = bands, 1
     labels = written(bands.select("h", F.col("h").alias("label")).distinct(), "labels")
@@ -212,32 +252,53 @@ def linked(nodes: DataFrame, sets: DataFrame, bands: DataFrame, least: float) ->
     while True:
         rows = state.join(labels, "h")
         counts = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_bands = counts.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+        open_bands = counts.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).where("c > 1").select("band", "all")
         rows = written(rows.join(counts.join(open_bands, "band"), ["band", "label"]), "buckets")
         if rows.isEmpty():
             return labels
-        chosen = written(rows.groupBy("band", F.pmod(F.xxhash64("h"), F.lit(hubs)).alias("sub")).agg(F.min(F.struct("n", "label", "h", "weight")).alias("hub")).select("band", "hub"), "hubs")
+        small = F.lit(hubs > 1) & (F.col("all") <= SMALL)
+        large = rows.where(~small)
+        chosen = written(large.groupBy("band", F.pmod(F.xxhash64("h"), F.lit(hubs)).alias("sub")).agg(F.min(F.struct("n", -F.col("met"), "label", "h", "weight")).alias("hub")).select("band", "hub"), "hubs")
         near = F.least("weight", "hub.weight") >= F.lit(least) * F.greatest("weight", "hub.weight")
-        pairs = rows.join(chosen, "band").where((F.col("label") != F.col("hub.label")) & near).select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct()
+        pairs = large.join(chosen, "band").where((F.col("label") != F.col("hub.label")) & near).select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct()
+        if hubs > 1:
+            pairs = pairs.unionByName(bounded_pairs(rows.where(small).select("band", "label", "h", "weight"), sets, least)).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = written(checked(pairs, sets, least), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             labels = written(components(links, labels), "labels")
-        state = rows.select("band", "h", "weight").join(chosen.select("band", "hub.h"), ["band", "h"], "left_anti")
+        state = large.select("band", "h", "weight", "met").join(chosen.select("band", "hub.h"), ["band", "h"], "left_anti")
         hubs = min(4 * hubs, 1024)
 
 
+def row_key(id: Column) -> Column:
+    """Never null."""
+    return F.coalesce(F.concat(F.lit("="), id.cast("string")), F.lit("-"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """h and d, a document's whole row, of the documents that have an id and a text's hash in wanted (id, h); each once, whatever rows repeat. Rows are one column, so no names clash."""
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    rows = docs.select(whole.alias("d"), text_hash(F.col(text)).alias("h"), row_key(F.col(key)).alias("k"))
+    rows = rows.join(wanted.select("h", row_key(F.col("id")).alias("k")), ["h", "k"])
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("h", "k").orderBy(F.lit(0)))).where("n = 1").select("h", "d")
+
+
 def grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
     """All rows (id, h, alone), and all texts with words (h, id, label): id is the least of the text's."""
     found = written(sketches(docs, key, text), "sketches")
     nodes = written(found.where("bands IS NOT NULL").groupBy("h").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
     bands = nodes.select("h", "weight", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    bands = written(bands.join(shared, "band").select("band", "h", "weight"), "bands")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = written(bands.join(shared, "band"), "bands")
+    # a text that meets many others is the better hub: its copies then meet the same hub in all bands
+    met = bands.groupBy("h").agg(F.sum("n").alias("met"))
+    bands = written(bands.drop("n").join(met, "h"), "bands")
     wanted = nodes.join(bands.select("h").distinct(), "h").select("id", "h")
-    sets = written(sets_of(texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id", "text")), "sets")
-    labels = linked(nodes, sets, bands, least)
+    found_texts = texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id", "text").select("h", "d.text")
+    sets = written(sets_of(found_texts), "sets")
+    labels = linked(sets, bands, least)
     named = nodes.select("h", "id").join(labels, "h", "left").select("h", "id", F.coalesce("label", "h").alias("label"))
     return found.select("id", "h", F.col("bands").isNull().alias("alone")), named
 
@@ -264,4 +325,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     rows, named = grouped(docs, key, text, least)
     first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("m")).select("m.id", "m.h")
     plain = docs.where(F.coalesce(word_count(F.col(text)), F.lit(0)) == 0)
-    return texts_of(docs, first, key, text).select(*docs.columns).unionByName(plain)
+    return texts_of(docs, first, key, text).select("d.*").unionByName(plain)
