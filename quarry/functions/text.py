@@ -10,10 +10,12 @@ from quarry.functions.terms import CAMEL, TOKEN
 
 
 def split_token(token: Column) -> Column:
+    """terms.split_token(); most tokens are plain words, and stay whole without a search for parts."""
     whole = F.lower(token)
     parts = F.when(F.contains(token, F.lit("_")), F.filter(F.split(whole, "_"), lambda x: x != "")).otherwise(F.transform(F.regexp_extract_all(token, F.lit(CAMEL), 0), F.lower))
     # one step by transform(), so that the parts are computed once
-    return F.transform(F.array(F.struct(whole.alias("w"), parts.alias("p"))), lambda x: F.when(F.size(x["p"]) > 1, F.concat(F.array(x["w"]), x["p"])).otherwise(F.array(x["w"])))[0]
+    cut = F.transform(F.array(F.struct(whole.alias("w"), parts.alias("p"))), lambda x: F.when(F.size(x["p"]) > 1, F.concat(F.array(x["w"]), x["p"])).otherwise(F.array(x["w"])))[0]
+    return F.when(F.rlike(token, F.lit("^[A-Za-z][a-z]*$")), F.array(whole)).otherwise(cut)
 
 
 def tokens(text: Column) -> Column:
