@@ -1,10 +1,11 @@
 """Suffix-array dedup over prefix-free parsing: bytes in strings that stand more than once in the corpus.
 
-A rolling hash over 8 bytes makes triggers, and triggers cut each document into phrases; a phrase reaches over the next
-trigger, so no phrase is another's prefix. Equal text is parsed equally, so what the corpus holds more than once shows
-in the dictionary (the distinct phrases) and the parse (their sequence):
+A rolling hash over 8 bytes makes triggers: where it is least within REACH places either way. They lie REACH to a few
+times REACH apart, so every string holds several, and cut each document into phrases; a phrase reaches over the next
+trigger and what decided on it. Equal text is parsed equally, so what the corpus holds more than once shows in the
+dictionary (the distinct phrases) and the parse (their sequence):
 
-- a string that holds a phrase of which there is one only is unique;
+- a string that holds a phrase, with what decided on its two triggers, of which there is one only is unique;
 - a parse suffix, cut where it has covered a string's length beyond its first phrase, tells of all strings that start in
   that phrase: if the cut suffix stands twice, all of them do. One key stands for a whole phrase's strings.
 
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.blocks import SENT, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, sent_batch, text_bytes, unpacked
 from quarry.llm.common import written
 
-#: A string's bytes; those of a trigger; one place in so many is a trigger.
-LENGTH, TRIGGER, ONE_IN = 200, 8, 40
+#: A string's bytes; those of a trigger; how far around a trigger's hash is the least.
+LENGTH, TRIGGER, REACH = 200, 8, 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PHRASES, CONTEXTS, STRINGS = 0, 1, 2
 #: A block's texts; several numbers are held for each byte.
@@ -63,30 +64,50 @@ class Fingerprints:
 class Parse(NamedTuple):
     start: np.ndarray  # of each phrase
     next: np.ndarray  # where the next phrase or document starts
-    end: np.ndarray  # of the phrase, over the next trigger
-    whole: np.ndarray  # between two triggers
+    end: np.ndarray  # of the phrase, over the next trigger and what decided on it
+    first: np.ndarray  # whether it starts its document
     doc_start: np.ndarray
     doc_end: np.ndarray
 
 
+def triggers(flat: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
+    """The places whose hash is less than those of the REACH places before in the document, and at most those of the REACH after."""
+    n, none = len(flat), np.uint32(0xFFFFFFFF)
+    if n < TRIGGER:
+        return np.zeros(0, np.int64)
+    at = np.ndarray((n - TRIGGER + 1,), "<u8", np.ascontiguousarray(flat).data, strides=(1,))
+    hashes = np.full(n, none, np.uint32)
+    hashes[: len(at)] = (at * MULTIPLIER) >> np.uint64(32)
+    tail = (doc_ends[:, None] - np.arange(1, TRIGGER)).ravel()
+    hashes[np.maximum(tail, np.repeat(doc_starts, TRIGGER - 1))] = none  # these would reach into the next document
+    # documents stand REACH and more apart
+    place = np.arange(n) + np.repeat(np.arange(1, len(doc_starts) + 1) * 2 * REACH, doc_ends - doc_starts)
+    apart = np.full(n + (len(doc_starts) + 2) * 2 * REACH, none, np.uint32)
+    apart[place] = hashes
+    least, width = apart, 1
+    while width < REACH:  # of so many places from each on
+        step = min(width, REACH - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    return np.flatnonzero((hashes < least[place - REACH]) & (hashes <= least[place + 1]) & (hashes != none))
+
+
 def parse(flat: np.ndarray, starts: np.ndarray) -> Parse:
     """The phrases of documents that stand after one another; starts: of each, and the end. Empty documents have none."""
     n = len(flat)
     doc_starts = np.unique(starts[:-1][starts[1:] > starts[:-1]])
-    if n >= TRIGGER:
-        at = np.ndarray((n - TRIGGER + 1,), "<u8", np.ascontiguousarray(flat).data, strides=(1,))
-        hit = np.flatnonzero(((at * MULTIPLIER) >> np.uint64(32)) < np.uint64((1 << 32) // ONE_IN))
-    else:
-        hit = np.zeros(0, np.int64)
-    doc_ends = np.append(doc_starts[1:], n)
-    in_doc = np.searchsorted(doc_starts, hit, "right") - 1
-    hit = hit[hit + TRIGGER <= doc_ends[in_doc]] if len(hit) else hit
-    start = np.union1d(doc_starts, hit)
+    doc_ends = np.append(doc_starts[1:], n)[: len(doc_starts)]
+    start = np.union1d(doc_starts, triggers(flat, doc_starts, doc_ends))
     doc = np.searchsorted(doc_starts, start, "right") - 1
-    triggered = np.isin(start, hit, assume_unique=True)
-    following = np.append(start[1:], n)
-    last = np.append(doc[1:] != doc[:-1], [True])[: len(start)]
-    return Parse(start, following, np.where(last, following, np.minimum(following + TRIGGER, n)), triggered & ~last, doc_starts[doc], doc_ends[doc])
+    following = np.append(start[1:], n)[: len(start)]
+    return Parse(start, following, np.minimum(following + TRIGGER + REACH, doc_ends[doc]), np.isin(start, doc_starts, assume_unique=True), doc_starts[doc], doc_ends[doc])
+
+
+def phrases(p: Parse) -> tuple[np.ndarray, np.ndarray]:
+    """Where the phrases between two triggers start and end, with what decided on the triggers, that a string can hold."""
+    start, end = p.start - REACH, p.next + TRIGGER + REACH
+    good = ~p.first & (start >= p.doc_start) & (p.next < p.doc_end) & (end <= p.doc_end) & (end - start <= LENGTH)
+    return start[good], end[good]
 
 
 def contexts(p: Parse) -> tuple[np.ndarray, np.ndarray]:
@@ -115,18 +136,21 @@ class Block:
         self.flat, self.starts = text_bytes(text)
         self.parse = p = parse(self.flat, self.starts)
         self.prints = Fingerprints(self.flat)
-        self.phrase = np.flatnonzero(p.whole & (p.end - p.start <= LENGTH))
-        self.phrases, _, self.phrase_at = _unique(self.prints(p.start[self.phrase], p.end[self.phrase]))
+        self.phrase_start, self.phrase_end = phrases(p)
+        self.phrases, _, self.phrase_at = _unique(self.prints(self.phrase_start, self.phrase_end))
         self.context, to = contexts(p)
-        self.contexts, self.context_first, self.context_at = _unique(self.prints(p.start[self.context], to))
+        # the first phrase's length is part of the key: one occurrence then has all the strings of the others
+        first = (p.next - p.start)[self.context].astype(np.uint64)
+        self.contexts, self.context_first, self.context_at = _unique(mixed(self.prints(p.start[self.context], to) + first, 3) & ~np.uint64(1))
 
     def decided(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """By phrases and parse suffixes: the places whose strings are repeated, and those whose strings are to be compared (the undecided, and one occurrence of each repeated suffix)."""
         p, n = self.parse, len(self.flat)
         phrase, context = answer(answers, PHRASES), answer(answers, CONTEXTS)
         edges = np.zeros(n + 1, np.int32)
-        alone = self.phrase[phrase[self.phrase_at] & 1 == 0]
-        low, high = np.maximum(p.end[alone] - LENGTH, p.doc_start[alone]), p.start[alone] + 1
+        alone = phrase[self.phrase_at] & 1 == 0
+        start, end = self.phrase_start[alone], self.phrase_end[alone]
+        low, high = np.maximum(end - LENGTH, self.starts[np.searchsorted(self.starts, start, "right") - 1]), start + 1
         edges += np.bincount(low, minlength=n + 1).astype(np.int32) - np.bincount(high, minlength=n + 1).astype(np.int32)
         unique = np.cumsum(edges[:n]) > 0
         # all places in a phrase share its suffix's answer: bit 0 repeated, bit 1 to be compared for the others
