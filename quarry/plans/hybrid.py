@@ -13,6 +13,7 @@ from quarry.functions.terms import QUERY, query_row
 from quarry.operators import bm25, graph, vectors
 from quarry.operators.bm25 import DIGITS
 from quarry.schema import CHUNK_COLUMNS, COHERENCE, RECALL, RRF_K, SATURATION, TINY
+from quarry.shared import written
 
 #: Channels in the order that breaks ties.
 CHANNELS = ("content", "vector", "name", "path", "symbol")
@@ -79,13 +80,9 @@ def saturated(scored: DataFrame, k: int) -> DataFrame:
 
 
 def expanded(fused: DataFrame, queries: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, chunk_ord, score, with the neighbours of the best chunks of queries that ask for relations.
-
-    The fused rows, a few hundred a query, and what is near the seeds are kept, as several joins read them.
-    """
-    fused = fused.persist()
-    seeds = graph.seeds_of(fused.join(queries.where("expand").select("query_id"), "query_id"), ["first"]).persist()
-    links = graph.seed_links(seeds, chunks, edges).persist()
+    """query_id, chunk_ord, score, with the neighbours of the best chunks of queries that ask for relations. fused: written, as several joins read it."""
+    seeds = written(graph.seeds_of(fused.join(queries.where("expand").select("query_id"), "query_id"), ["first"]), "seeds")
+    links = written(graph.seed_links(seeds, chunks, edges), "links")
     return graph.expand(fused.select("query_id", "chunk_ord", "score"), seeds, links)
 
 
@@ -103,7 +100,7 @@ def search(
 
     chunks: chunk_ord and CHUNK. vector_hits: query_id, rank, chunk_ord, at least max(10 * top_k, 100) a query. expand:
     whether some query asks for relations; its edges are the graph's. Filters come after recall. Content is joined again
-    for the candidates only.
+    for the candidates only. The fused rows are written, so what follows is a plan of its own.
     """
     depth = max(10 * top_k, RECALL)
     terms = bm25.query_terms(queries)
@@ -111,7 +108,7 @@ def search(
     channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"symbol": symbol_channel(chunks, queries, depth)}
     if vector_hits is not None:
         channels["vector"] = vector_hits.where(F.col("rank") <= depth)
-    fused = fuse({c: channels[c] for c in CHANNELS if c in channels}, queries)
+    fused = written(fuse({c: channels[c] for c in CHANNELS if c in channels}, queries), "fused")  # a few hundred rows a query
     scored = expanded(fused, queries, chunks, edges) if expand and edges is not None else fused.select("query_id", "chunk_ord", "score")
     rows = scored.join(chunks, "chunk_ord").join(queries, "query_id")
     own = {c: F.col(c) for c in CHUNK_COLUMNS}

@@ -17,6 +17,7 @@ from quarry.functions.terms import ALIASES, STOP_WORDS, WEIGHTS
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
 from quarry.reach import reach
+from quarry.shared import written
 from quarry.sources import chunker, tree
 
 #: A question that asks for relations, a symbol, one with filters, one with an identifier.
@@ -363,7 +364,7 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = bm25.search_fields(rows, queries, DEPTH)
     held, of = _vectors(spark, sf_dir, len(QUERIES))
     channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(rows, queries, DEPTH)}
-    fused = hybrid.fuse({c: channels[c] for c in hybrid.CHANNELS}, queries)
+    fused = written(hybrid.fuse({c: channels[c] for c in hybrid.CHANNELS}, queries), "fused")
     out = hybrid.expanded(fused, queries, rows, graph.edges(rows))
     return out.select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
 
