@@ -91,17 +91,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int =
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents in the order of training: each as often as it is taken, range-sorted by position; the columns of docs.
 
-    Rows that share an id (repeated rows) are planned one by one and matched again by their place among equal ids.
+    Documents meet their positions by id, source and size. Only if rows repeat in these three are they numbered among
+    their equals first, which takes a shuffle of the texts more.
     """
-    taken = plan(docs, weights, most_times, key, source, text).where("copies > 0").select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "positions")
-    same = ("k", "s", "z", "i")
-    taken = taken.withColumn("i", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy(F.size("positions").desc(), "positions")))
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))  # noqa: E731  never null
+    by = ["k", "s", "z"]
+    taken = written(plan(docs, weights, most_times, key, source, text).select(known(F.col("doc_id")).alias("k"), known(F.col("source")).alias("s"), F.col("size").alias("z"), "positions"), "positions")
     # the whole row as one column: whatever names it has, none clashes
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("d"), F.col(key).alias("k"), F.col(source).cast("string").alias("s"), word_count(F.col(text)).alias("z"), F.col(text).alias("t"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy("t"))).drop("t")
-    left, right = rows.alias("l"), taken.alias("r")
-    equal = F.lit(True)
-    for c in same:
-        equal = equal & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    out = left.join(right, equal).select("l.d", "l.k", F.explode("r.positions").alias("at"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("d"), known(F.col(key)).alias("k"), known(F.col(source)).alias("s"), word_count(F.col(text)).alias("z"), F.col(text).alias("t"))
+    if not taken.groupBy(*by).count().where("count > 1").isEmpty():
+        taken = taken.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(F.size("positions").desc(), "positions")))
+        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+        by = [*by, "i"]
+    out = rows.drop("t").join(taken.where(F.size("positions") > 0), by).select("d", "k", F.explode("positions").alias("at"))
     return out.repartitionByRange("at", "k").sortWithinPartitions("at", "k").select("d.*")
