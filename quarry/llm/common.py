@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.reach import reach
+from quarry.shared import written
+
+__all__ = ["batches", "spread_rank", "table", "texts", "word_count", "word_lists", "written"]
 
 #: A batch of texts that Python holds at once has so many bytes, or one document.
 BATCH_BYTES = 2 << 20
@@ -24,27 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one if that is unset and Spark runs in one process."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor loses none of it, and no plan before it runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def batches(given: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most so many bytes of text, or of one row; none is empty."""
     for batch in given:
