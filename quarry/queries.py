@@ -17,7 +17,7 @@ from quarry.functions.terms import ALIASES, STOP_WORDS, WEIGHTS
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
 from quarry.reach import reach
-from quarry.shared import written
+from quarry.shared import spread, written
 from quarry.sources import chunker, tree
 
 #: A question that asks for relations, a symbol, one with filters, one with an identifier.
@@ -51,7 +51,7 @@ def chunks_of(documents: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks_of(table(spark, sf_dir, "documents"))
+    return chunks_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,15 +200,16 @@ def bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.with_(S.CHUNKS, S.queries_cte(QUERIES), "candidates AS (SELECT * FROM chunks, queries)", S.FACTORS) + "SELECT query_id, chunk_ord, round(factor, 6) AS factor FROM factors")
 def relevance_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = columns(rows := _crossed(spark, sf_dir))
+    """A chunk's tokens are found once, before it meets the queries."""
+    rows = chunks(spark, sf_dir).withColumn("content_tokens", F.array_distinct(T.tokens(F.col("content")))).drop("content")
+    c = columns(rows := rows.crossJoin(asked(spark)))
     return rows.select("query_id", "chunk_ord", F.round(rank.relevance_factor(c, c), 6).alias("factor"))
 
 
 @query(S.with_(S.CHUNKS, S.queries_cte(QUERIES), "candidates AS (SELECT * FROM chunks, queries)", S.FACTORS) + "SELECT query_id, chunk_ord, CAST(hits AS INT) AS hits FROM factors")
 def concept_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = columns(rows := _crossed(spark, sf_dir))
-    metadata = T.metadata_tokens(c["file_path"], c["kind"], c["name"], c["language"])
-    rows = rows.select("query_id", "chunk_ord", "groups", metadata.alias("m"), F.array_distinct(T.tokens(c["content"])).alias("t"))
+    metadata = T.metadata_tokens(F.col("file_path"), F.col("kind"), F.col("name"), F.col("language"))
+    rows = chunks(spark, sf_dir).select("chunk_ord", metadata.alias("m"), F.array_distinct(T.tokens(F.col("content"))).alias("t")).crossJoin(asked(spark).select("query_id", "groups"))
     return rows.select("query_id", "chunk_ord", rank.concept_hits(F.col("groups"), F.col("m"), F.col("t")).alias("hits"))
 
 

@@ -27,3 +27,14 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of up to so many bytes are dealt to all cores if their files are fewer.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores in as many parts as there are cores. A file's row group is one task's work, and small files have one. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
