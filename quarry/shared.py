@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder if that is unset and Spark runs in one process."""
+    """spark.checkpoint.dir, or, if that is unset and Spark runs in one process, a temporary folder that goes when the process ends."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir names no shared folder")
-    found = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    folder = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    found = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
