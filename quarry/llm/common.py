@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(given: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of at most so many bytes of text, or of one row; none is empty."""
+def batches(given: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most so many bytes of text and so many rows, or of one row; none is empty."""
     for batch in given:
         if not batch.num_rows:
             continue
@@ -34,7 +34,7 @@ def batches(given: Iterator[pa.RecordBatch], text: str = "text", most: int = BAT
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -21,6 +21,8 @@ BANDS, ROWS = 24, 5
 SMALL, TASK_ROWS = 2048, 8192
 #: Cells of the bound on shared shingles (a power of 2), and the greatest count that one holds.
 CELLS, FULL = 256, 65535
+#: Texts sketched at once: each throws about as many darts, however short it is.
+SKETCH_ROWS = 512
 #: Darts a coordinate besides the logarithm of their number, as the first throw.
 SPARE = 2.0
 
@@ -114,7 +116,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(given):
+        for batch in batches(given, rows=SKETCH_ROWS):
             row, element, weight = elements(*shingles(batch, "text"))
             n = batch.num_rows
             signature = sketch(row, element, weight, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
