@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,20 @@ def normal(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, letters.upper(), letters), F.lit("[a-z0-9]+"), 0)
 
 
-def bigrams(words: Column) -> Column:
-    """The distinct pairs of neighbouring words; one word alone has none."""
+def neighbours(words: Column) -> Column:
+    """The pairs of neighbouring words in order; one word alone has none."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def bigrams(words: Column) -> Column:
+    """The distinct pairs of neighbouring words."""
+    return F.array_distinct(neighbours(words))
+
+
+def held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once: a lambda's variable is, an expression is as often as it stands there."""
+    return F.transform(F.array(value), then)[0]
 
 
 def template_bigrams() -> list[tuple[str, int, list[str]]]:
@@ -71,6 +84,66 @@ def needed_words(templates: list[tuple[str, int, list[str]]], least: float) -> l
     return out
 
 
+def windows(text: Column, lines: Column, units: Column, least: float) -> Column:
+    """What stands inside a text or a line: a struct of n and top, the best as (dice, own, at, line); null if nothing can be there.
+
+    A template of b bigrams is tried at each of its bigrams in the text, whatever the lines: the window that begins there
+    is the one of at most b * (2 - least) / least bigrams with the highest Dice, the shortest of equals. From `least` on
+    it matches. n counts, from left to right, the windows that touch no unit that matches; of those that overlap, the
+    better one stays, the earlier of equals. top is over all windows.
+    """
+    given = [(-i, b, math.ceil(len(b) * least / (2 - least) - 1e-9), math.floor(len(b) * (2 - least) / least + 1e-9)) for i, (*_, b) in enumerate(template_bigrams())]
+    templates = F.array(*[F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, b)).alias("b"), F.lit(need).alias("need"), F.lit(most).alias("most")) for at, b, need, most in given])
+    known = F.array(*map(F.lit, sorted({x for _, b, *_ in given for x in b})))
+
+    def grown(a: Column, x: Column, b: Column) -> Column:
+        """The window with one bigram more: it is new if it last stood before the window's start."""
+        new = (x["back"] == 0) | (x["back"] > a["k"])
+        size, shared = a["size"] + new.cast("int"), a["shared"] + (new & x["hit"]).cast("int")
+        dice = lambda z: 2.0 * z["shared"] / (z["size"] + F.size(b))
+        return held(
+            F.struct(size.alias("size"), shared.alias("shared")),
+            lambda z: F.struct((a["k"] + 1).alias("k"), z["size"].alias("size"), z["shared"].alias("shared"), F.greatest(a["dice"], dice(z)).alias("dice"), F.when(dice(z) > a["dice"], a["k"]).otherwise(a["end"]).alias("end")),
+        )
+
+    def at_starts(t: Column, g: Column) -> Column:
+        """A template's windows, one at most for each place."""
+        back = lambda x, i: F.array_position(F.reverse(F.slice(g, F.greatest(i - t["most"] + 1, F.lit(0)) + 1, F.least(i, t["most"] - 1))), x).cast("int")
+        places = F.transform(g, lambda x, i: F.struct(F.array_contains(t["b"], x).alias("hit"), back(x, i).alias("back")))
+        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
+
+        def at(p: Column) -> Column:
+            hits = F.filter(F.transform(p, lambda x, i: F.when(x["hit"], i)), lambda i: i.isNotNull())
+            starts = held(hits, lambda h: F.filter(h, lambda i, k: F.get(h, k + t["need"] - 1) - i < t["most"]))
+            best = lambda i: F.aggregate(F.slice(p, i + 1, t["most"]), none, lambda a, x: grown(a, x, t["b"]))
+            found = F.transform(starts, lambda i: held(best(i), lambda w: F.struct(i.alias("start"), (-w["dice"]).alias("less"), (-t["at"]).alias("nth"), (i + w["end"]).alias("end"))))
+            return F.filter(found, lambda w: w["less"] <= -least)
+
+        return held(places, at)
+
+    def counted(found: Column) -> Column:
+        """Those that stay when of two that overlap the better does."""
+        step = lambda a, w: (
+            F.when(w["start"] > a["end"], F.struct((a["n"] + 1).alias("n"), w["less"].alias("less"), w["end"].alias("end")))
+            .when(w["less"] < a["less"], F.struct(a["n"].alias("n"), w["less"].alias("less"), w["end"].alias("end")))
+            .otherwise(a)
+        )
+        return F.aggregate(F.sort_array(found), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("less"), F.lit(-1).alias("end")), step, lambda a: a["n"])
+
+    def told(found: Column, line: Column, whole: Column) -> Column:
+        free = lambda w: ~F.exists(units, lambda u: (u["line"] >= whole) | (u["line"] >= F.get(line, w["start"])) & (u["line"] <= F.get(line, w["end"] + 1)))
+        top = F.array_max(F.transform(found, lambda w: F.struct((-w["less"]).alias("dice"), F.lit(0).alias("own"), (-w["nth"]).alias("at"), F.lit(0).alias("line"))))
+        return F.struct(counted(F.filter(found, free)).alias("n"), top.alias("top"))
+
+    def tried(g: Column) -> Column:
+        shared = F.array_intersect(g, known)
+        hopeful = held(shared, lambda s: F.filter(templates, lambda t: F.size(F.array_intersect(t["b"], s)) >= t["need"]))
+        line = F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.size(normal(x)))))
+        return held(hopeful, lambda ts: F.when(F.size(ts) > 0, held(F.flatten(F.transform(ts, lambda t: at_starts(t, g))), lambda found: F.when(F.size(found) > 0, held(line, lambda of: held(F.size(lines), lambda whole: told(found, of, whole)))))))
+
+    return held(normal(text), lambda w: held(neighbours(w), tried))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_DICE) -> DataFrame:
     """One row per document: doc_id, n_matches, license, template, dice (of the best match, null without one).
 
@@ -78,6 +151,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     sides' bigrams, each bigram once; a unit matches a template from `least` on. Shared bigrams are at most the smaller
     side, so a template of b bigrams is only compared with units of b * least / (2 - least) to b * (2 - least) / least;
     and a unit without any of needed_words() matches nothing. Ties go to the earlier licence and template in TEMPLATES.
+    A notice wrapped over lines, or inside a line, is a window of words (see windows()): it counts if it touches no unit
+    that matches, and is the best match if its Dice is above that of all units.
     A null or empty text has no match. All is computed row by row: no shuffle, and repeated rows, ids or very long texts
     change nothing; an empty table gives an empty result.
     """
@@ -98,20 +173,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
         for i, (_, _, b) in enumerate(templates):
             fits = (size >= len(b) * least / (2 - least)) & (size <= len(b) * (2 - least) / least)
             dice = 2.0 * F.size(F.array_intersect(unit, F.array(*map(F.lit, b)))) / (size + len(b))
-            tries.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(-i).alias("at"))))
+            tries.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(1).alias("own"), F.lit(-i).alias("at"))))
         return F.array_max(F.array(*tries))
 
     # steps by transform(): a lambda's variable is computed once, an expression as often as it stands there
+    # a unit's line is its number, the whole text's is the number of lines
     lines = F.split(F.col(text), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
-    cut = F.transform(F.filter(units, lambda x: (F.octet_length(x) > 2 * low) & F.transform(F.array(F.lower(x)), hopeful)[0]), normal)
-    pairs = F.filter(F.transform(F.filter(cut, lambda w: F.size(w) > low), bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
-    found = F.filter(F.transform(pairs, best), lambda x: F.coalesce(x["dice"] >= least, F.lit(False)))
+    numbered = F.transform(units, lambda x, i: F.struct(x.alias("x"), i.alias("line")))
+    cut = F.transform(F.filter(numbered, lambda u: (F.octet_length(u["x"]) > 2 * low) & F.transform(F.array(F.lower(u["x"])), hopeful)[0]), lambda u: F.struct(normal(u["x"]).alias("x"), u["line"].alias("line")))
+    pairs = F.filter(F.transform(F.filter(cut, lambda u: F.size(u["x"]) > low), lambda u: F.struct(bigrams(u["x"]).alias("x"), u["line"].alias("line"))), lambda u: (F.size(u["x"]) >= low) & (F.size(u["x"]) <= high))
+    tops = F.transform(pairs, lambda u: held(best(u["x"]), lambda m: F.when(m["dice"] >= least, F.struct(m["dice"].alias("dice"), m["own"].alias("own"), m["at"].alias("at"), u["line"].alias("line")))))
+    found = F.filter(tops, lambda x: x.isNotNull())
+    both = lambda m, w: F.struct((F.size(m) + F.coalesce(w["n"], F.lit(0))).alias("n"), F.array_max(F.array(F.array_max(m), w["top"])).alias("top"))
+    matched = held(found, lambda m: held(windows(F.col(text), lines, m, least), lambda w: both(m, w)))
     lowered = docs.select(F.col(key).alias("doc_id"), F.col(text), F.lower(text).alias("_l"))
-    scored = lowered.select("doc_id", F.when(hopeful(F.col("_l")), found).alias("_m"))
     # a generator: else the optimizer would put the whole expression wherever the result is read
-    scored = scored.select("doc_id", F.explode(F.array(F.struct(F.coalesce(F.size("_m"), F.lit(0)).alias("n"), F.array_max("_m").alias("top")))).alias("_f"))
-    there = F.col("_f.n") > 0
+    scored = lowered.select("doc_id", F.explode(F.array(F.when(hopeful(F.col("_l")), matched))).alias("_f"))
+    there = F.coalesce(F.col("_f.n"), F.lit(0)) > 0
     pick = lambda values: F.when(there, F.element_at(F.array(*map(F.lit, values)), F.when(there, (1 - F.col("_f.top.at")).cast("int")).otherwise(1)))
     n = F.when(there, F.col("_f.n")).otherwise(0).cast("long")
     return scored.select("doc_id", n.alias("n_matches"), pick([n for n, *_ in templates]).alias("license"), pick([i for _, i, _ in templates]).alias("template"), F.when(there, F.round("_f.top.dice", 6)).alias("dice"))

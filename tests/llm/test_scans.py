@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
 
 from quarry.llm import licenses, quality, secrets
-from tests.llm.helpers import SCHEMA, by_id, frame, rows, words
+from tests.llm.helpers import SCHEMA, by_id, frame, prose, rows, words
 
 
 def base_of(text):
@@ -127,6 +128,45 @@ def test_licenses(spark, sf_dir):
         assert Counter((r["doc_id"], r["n_matches"], r["license"], r["dice"]) for r in licenses.find(d).collect()) == want
 
 
+def windows_of(text):
+    """All windows of words, the best at each place and template: what counts, and the best Dice and licence."""
+    given = [re.findall("[a-z0-9]+", x) for x in text.lower().split("\n")]
+    w, line = sum(given, []), [i for i, x in enumerate(given) for _ in x]
+    g, found = list(zip(w, w[1:])), []
+    matched = {i for i, x in enumerate(text.split("\n")) if license_of(x)[0]}
+    for k, (name, _, bs) in enumerate(licenses.template_bigrams()):
+        b = {tuple(x.split()) for x in bs}
+        for i in range(len(g)):
+            tops = [(2 * len(u & b) / (len(u) + len(b)), -j) for j in range(i + 1, min(len(g), i + int(len(b) * 1.5 + 1e-9)) + 1) if (u := set(g[i:j]))] if g[i] in b else []
+            if tops and max(tops)[0] >= 0.8:
+                found.append((i, -max(tops)[0], k, -max(tops)[1] - 1, name))
+    free, n, less, end = sorted(x for x in found if not matched & set(range(line[x[0]], line[x[3] + 1] + 1))), 0, 0.0, -1
+    for start, d, _, to, _ in free:
+        n += start > end
+        if start > end or d < less:
+            less, end = d, to
+    top = min(((d, k, name) for _, d, k, _, name in found), default=(0.0, 0, None))
+    return n, top[2], round(-top[0], 6)
+
+
+def test_license_windows(spark):
+    code = "\n".join(f"    value_{i} = compute(value_{i - 1}, {i})" for i in range(60))
+    wrapped = lambda x: "\n".join("# " + y for y in textwrap.wrap(x, 72))
+    long = [(name, x) for name, given in licenses.TEMPLATES.items() for x in given if len(x) > 72]
+    cases = [(name, "#!/bin/sh\n" + wrapped(x) + "\n\n" + code) for name, x in long]
+    cases += [(name, f"Some words before, of which there are many here. {x} And then the text goes on for a good while, as prose does.") for name, given in licenses.TEMPLATES.items() for x in given]
+    cases += [("mit", "First this one: released under the MIT License. Released under the MIT License. " + prose(3, 40)), ("gpl-2.0", wrapped(long[-1][1] + " " + prose(1, 9)) + "\n" + wrapped(licenses.TEMPLATES["gpl-2.0"][1]) + "\n" + code)]
+    cases += [(None, "The licence is under discussion; the terms of the version 2 may be public.\n" + code), ("apache-2.0", "Licensed under the Apache License, Version 2.0.\n" + prose(2, 30) + " Released under the MIT License. " + prose(4, 30))]
+    docs = spark.createDataFrame([(i, t, *rows()[0][2:]) for i, (_, t) in enumerate(cases)], SCHEMA)
+    got = {r["doc_id"]: r for r in licenses.find(docs).collect()}
+    for i, (name, text) in enumerate(cases):
+        units, inside = license_of(text), windows_of(text)
+        best = units[1:] if units[0] and units[2] >= inside[2] else inside[1:] if inside[1] else (None, None)
+        assert (got[i]["n_matches"], got[i]["license"], got[i]["dice"]) == (units[0] + inside[0], *best), text
+        assert (name is None) == (got[i]["n_matches"] == 0) and (i < len(cases) - 4) <= (got[i]["license"] == name), (name, got[i], text)
+    assert got[len(cases) - 4]["n_matches"] == 2 and got[len(cases) - 1]["n_matches"] == 2
+
+
 def test_empty(spark):
     none = frame(spark, [])
     for out in (secrets.find(none), secrets.clean(none), quality.score(none, ["doc_id"]), quality.filter_documents(none), licenses.find(none)):
