@@ -42,6 +42,22 @@ STRING = re.compile(r"(?:[rbfuRBFU]{0,2})(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\
 WORD = re.compile(r"[A-Za-z0-9+/_.=\-@$!%^&*~]+")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*$")
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.?)[\x20\t]*(?=[\"'`A-Za-z_$])")
+#: A declared type and its `=`: `: str =`, `: Optional[str] =`, `: &'static str =`, `: String? =`, `: a.B<C> | null =`. Without a space before `=`, the type is a known one and a string follows.
+_ATOM = r"&?(?:'[a-z_]+[\x20\t]+)?(?:(?:mut|dyn|const|readonly)[\x20\t]+)?[*&]*[A-Za-z_][\w.]*(?:::\w+)*(?:<[^<>=:;\n]*(?:<[^<>=:;\n]*>[^<>=:;\n]*)*>|\[[^\[\]=:;\n]*(?:\[[^\[\]=:;\n]*\][^\[\]=:;\n]*)*\])*+[?!*]*"
+_KNOWN = "str|string|String|bytes|Bytes|char|any|Any|object|Text|SecretStr|CharSequence|NSString"
+TYPED = re.compile(rf"[\x20\t]*(?:{_ATOM}(?:[\x20\t]*[|&][\x20\t]*{_ATOM})*[\x20\t]+=(?![=>~])|(?:{_KNOWN})\??=(?=[rbfuRBFU]{{0,2}}[\"'`]))")
+#: `name type =`: what stands before a type, and the types that are known without `var`.
+LAST_TYPE = re.compile(r"(?:\[\d*\]|\*|map\[\w+\])*([A-Za-z_][\w.]*)$")
+TYPES = frozenset(_KNOWN.split("|")) | {"byte", "rune", "error", "interface"}
+DECLARES = frozenset("var let const val static final public private protected readonly mut unsigned signed export default def auto local my our global".split())
+TRIPLE = re.compile(r"[rbfuRBFU]{0,2}(\"\"\"|\'\'\')")
+#: What is called, or made with brackets, and names of calls whose first string is a key.
+CALL = re.compile(r"(?:(?:new|await)[\x20\t]+)?&?(?:\[\d*\])*([A-Za-z_$][\w$.]*(?:(?:::|->|\?\.)[A-Za-z_$][\w$.]*)*)(?:!(?=[\[({])|(?:<[^<>=\n]*>)?(?:\[\])?(?=[({]))")
+LOOKUP = re.compile(r"(?i)(?:get|env|lookup|fetch|read|load|find|resolve|param|input|prompt|ask)[a-z]*$")
+OPENS = re.compile(r"&?(?:\[\d*\](?=\{))?(?=[\[({])")
+VALUE_KEYS = frozenset(("value", "default", "fallback"))
+BLANK = re.compile(r"\s+")
+BARE = re.compile(r"[A-Za-z0-9_$+/][A-Za-z0-9+/_.$@%^&*~\-]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -80,8 +96,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _name_before(text: str, at: int, floor: int) -> str:
-    """The name that ends before the operator at `at`, not reaching back beyond floor: quotes, brackets and spaces between are skipped."""
+    """The name that ends before the operator at `at`, not reaching back beyond floor: quotes, brackets and spaces between are skipped.
+
+    In `name type =` it is the first, if the second is a known type or `var` stands before.
+    """
     end = at
+    if text[at] == ":" and end > floor and text[end - 1] in "?!":
+        end -= 1
     while end > floor and text[end - 1] in " \t":
         end -= 1
     while end > floor and text[end - 1] in "\"'])":
@@ -89,13 +110,105 @@ def _name_before(text: str, at: int, floor: int) -> str:
     start = end
     while start > floor and NAME_END.match(text[start - 1]):
         start -= 1
-    return text[start:end].strip(".-$")
+    name = text[start:end].strip(".-$")
+    if text[at] == "=" and name:
+        *_, how, first, second = ["", "", "", *text[max(floor, text.rfind("\n", floor, at) + 1) : at].split()]
+        if IDENTIFIER.match(first) and first not in DECLARES and first not in TYPES and (last := LAST_TYPE.match(second)) and (how == "var" or last[1] in TYPES):
+            return first
+    return name
+
+
+def _string(text: str, at: int) -> tuple[tuple[int, int], int] | None:
+    """A string at a place: the span of what it holds (of triple quotes, without spaces around), and its end."""
+    if (t := TRIPLE.match(text, at)) and (end := text.find(t[1], t.end())) >= 0:
+        inner = text[t.end() : end]
+        start = t.end() + len(inner) - len(inner.lstrip())
+        return (start, max(start, t.end() + len(inner.rstrip()))), end + 3
+    if s := STRING.match(text, at):
+        return s.span(s.lastindex or 1), s.end()
+    return None
+
+
+def _inside(text: str, at: int, callee: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """The literals and names in the brackets that open at a place, over lines, up to their end or the next assignment in them.
+
+    A string that a call looks up, or that itself says a secret's name, is a key. Words without quotes are literals in lists.
+    """
+    literals, names, depth, first, here = [], [], [], True, at
+    while here < len(text):
+        c = text[here]
+        if m := BLANK.match(text, here):
+            here = m.end()
+        elif c in "[({":
+            depth.append(c)
+            here += 1
+        elif c in "])}":
+            depth.pop()
+            here += 1
+            if not depth:
+                break
+        elif found := _string(text, here):
+            span, here = found
+            value = text[slice(*span)]
+            after = SPACES.match(text, here).end()
+            if text.startswith((":", "=>"), after):
+                break
+            key = callee and (first and LOOKUP.search(callee) or name_points(value) > 0 and not any(x.isdigit() for x in value))
+            literals += [] if key else [span]
+            first = False
+        elif m := BARE.match(text, here):
+            word, here = m[0], m.end()
+            after = SPACES.match(text, here).end()
+            if OPERATOR.match(text, after):
+                if word not in VALUE_KEYS or text[after] not in "=:":
+                    break
+                here = SPACES.match(text, OPERATOR.match(text, after).end()).end()
+                if not STRING.match(text, here):
+                    break
+            elif IDENTIFIER.match(word):
+                names.append(word)
+                literals += [m.span()] if depth[-1] == "[" and not callee and text[after : after + 1] in (",", "]") else []
+            elif depth[-1] == "[" and not callee:
+                literals.append(m.span())
+        elif OPERATOR.match(text, here):
+            break
+        else:
+            here += 1
+    return literals, names
+
+
+def _value(text: str, here: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """The literals and names of what is assigned: joined strings and names, what brackets hold, and what a call is given."""
+    literals, names = [], []
+    while True:
+        if s := _string(text, here):
+            literals.append(s[0])
+            end = s[1]
+        elif (c := CALL.match(text, here)) or (o := OPENS.match(text, here)):
+            held = _inside(text, (c or o).end(), c[1] if c and text[c.end()] == "(" else "")
+            return literals + held[0], names + held[1]
+        elif s := WORD.match(text, here):
+            word = s[0].rstrip(".")
+            more = JOIN.match(text, here + len(word))
+            if IDENTIFIER.match(word):
+                names.append(word)
+                literals += [] if more or len(literals) else [(here, here + len(word))]
+            else:
+                literals.append((here, here + len(word)))
+            end = s.end()
+        else:
+            break
+        if not (more := JOIN.match(text, end)):
+            break
+        here = more.end()
+    return literals, names
 
 
 def pairs(text: str) -> Iterator[Pair]:
     """The assignments of a text in order: `name = "x"`, `name: x`, `"name": "x"`, `name => 'x'`, `NAME=x`, `a["name"] = x`, joined strings included.
 
-    Each operator looks back to the one before at most, so the work is in proportion to the text. `==`, `!=`, `<=` and `>=` compare.
+    `name: type = x` and `name type = x` are one assignment to the name. Each operator looks back to the one before at
+    most, and into brackets up to the next, so the work is in proportion to the text. `==`, `!=`, `<=` and `>=` compare.
     """
     floor = 0
     for m in OPERATOR.finditer(text):
@@ -103,28 +216,11 @@ def pairs(text: str) -> Iterator[Pair]:
         if at < floor:
             continue
         name = _name_before(text, at, floor)
-        floor = m.end()
-        if not name or m[0] not in ("=", ":", ":=", "=>", "::=") or at and text[at - 1] in "!<>":
+        typed = TYPED.match(text, m.end()) if name and m[0] == ":" else None
+        floor = (typed or m).end()
+        if not name or m[0] not in ("=", ":", ":=", "=>", "::=") or at and text[at - 1] in "!<>" and not typed:
             continue
-        literals, names = [], []
-        here = SPACES.match(text, floor).end()
-        while True:
-            if s := STRING.match(text, here):
-                group = s.lastindex or 1
-                literals.append(s.span(group))
-            elif s := WORD.match(text, here):
-                word = s[0].rstrip(".")
-                more = JOIN.match(text, here + len(word))
-                if IDENTIFIER.match(word):
-                    names.append(word)
-                    literals += [] if more or len(literals) else [(here, here + len(word))]
-                else:
-                    literals.append((here, here + len(word)))
-            else:
-                break
-            if not (more := JOIN.match(text, s.end())):
-                break
-            here = more.end()
+        literals, names = _value(text, SPACES.match(text, floor).end())
         yield Pair(name, tuple(literals), tuple(names))
 
 

@@ -44,6 +44,18 @@ def test_named_secrets(text, found):
     assert [text[s.start : s.end] for s in secrets.named_spans(text)] == found
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ('db_password: str = "S3cr3tValue99"', ["S3cr3tValue99"]), ("const apiToken: string = 'S3cr3tValue99';", ["S3cr3tValue99"]), ('let api_key: &\'static str = "S3cr3tValue99";', ["S3cr3tValue99"]), ('val authToken: String? = "S3cr3tValue99"', ["S3cr3tValue99"]), ('password: Optional[str]  = "S3cr3tValue99"', ["S3cr3tValue99"]), ('def f(password: str="S3cr3tValue99", n: int = 1):', ["S3cr3tValue99"]),
+    ('var password string = "S3cr3tValue99"', ["S3cr3tValue99"]), ('password string = "S3cr3tValue99"', ["S3cr3tValue99"]), ('String password = "S3cr3tValue99";', ["S3cr3tValue99"]), ('var token []string = []string{"S3cr3tValue99", "An0therValue1"}', ["S3cr3tValue99", "An0therValue1"]),
+    ('greeting: str = "Inn0centValue1"\ndb_password: str = "S3cr3tValue99"', ["S3cr3tValue99"]), ('title: str = "Inn0centValue1"\npassword: str = load()', []),
+    ('password = [\n  "S3cr3tValue99",\n  "An0therValue1",\n]', ["S3cr3tValue99", "An0therValue1"]), ("password: [S3cr3tValue99, An0therValue1]", ["S3cr3tValue99", "An0therValue1"]), ('password = SecretStr("S3cr3tValue99")', ["S3cr3tValue99"]), ('password = os.getenv("APP_PASSWORD1", "S3cr3tValue99")', ["S3cr3tValue99"]), ('password = env("APP", default="S3cr3tValue99")', ["S3cr3tValue99"]), ('let password = String::from("S3cr3tValue99");', ["S3cr3tValue99"]), ('password = """S3cr3tValue99"""', ["S3cr3tValue99"]), ("client_secret = \'\'\'\n  S3cr3tValue99\n\'\'\'", ["S3cr3tValue99"]),
+    ('k = "S3cr3tValue99"\npassword = f(k)', ["S3cr3tValue99"]), ('password = config["db_password"]', []), ('password = read_secret("db_password")', []), ("password: str", []), ("token: c2VjcmV0dmFsdWU=", ["c2VjcmV0dmFsdWU="]), ("password = [", []), ("password = f(a)b)", []),
+])
+def test_typed_and_nested_secrets(text, found):
+    assert [text[s.start : s.end] for s in secrets.named_spans(text)] == found
+    assert not any(x in secrets.redact(text) for x in found)
+
+
 def test_clean(spark):
     docs = frame(spark)
     out = secrets.clean(docs)
