@@ -24,6 +24,10 @@ LANGUAGES = {
 }
 
 
+#: What ends a line for Python's parser.
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+
+
 @dataclass
 class Item:
     """Something with a name in a source; offsets in bytes."""
@@ -36,13 +40,12 @@ class Item:
 
 
 def python_items(source: str) -> list[Item]:
+    """Top-level and nested definitions; none of a source that isn't Python, or is nested too deeply for its parser."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser tells of a full stack by MemoryError
         return []
-    lines = [0]
-    for line in source.encode().split(b"\n"):
-        lines.append(lines[-1] + len(line) + 1)
+    lines = [0, *(m.end() for m in _LINE_END.finditer(source.encode("utf-8", "replace")))]
 
     def walk(body: list[ast.stmt]) -> list[Item]:
         out = []
@@ -149,7 +152,10 @@ def chunk_source(source: str, file_path: str, language: str | None = None) -> li
         return []
     language = language.lower() if language else LANGUAGES.get(suffix)
     raw = source.encode("utf-8", "replace")
-    spans = sorted(_spans(PROVIDERS[language](source), raw, ())) if language in PROVIDERS else []
+    try:
+        spans = sorted(_spans(PROVIDERS[language](source), raw, ())) if language in PROVIDERS else []
+    except RecursionError:  # nested too deeply for us: as a file without structure
+        spans = []
 
     def row(a: int, b: int, kind: str, name: str | None) -> tuple:
         line = lambda at: raw.count(b"\n", 0, at) + 1

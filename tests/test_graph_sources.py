@@ -134,3 +134,11 @@ def test_json_and_command(spark, tmp_path, monkeypatch, capsys):
     assert set(out["results"][0]["chunk"]) == {"content", "file_path", "start_line", "end_line", "kind", "name", "language", "location"}
     none = as_json(store.load_or_build(spark, str(tmp_path / "root")).search_batch(["zzz"]).where("false"), query_frame(spark, ["zzz"])).first()
     assert json.loads(none["json"]) == {"query": "zzz", "results": []}
+
+
+def test_deep_sources():
+    """Nested beyond what parsers take: whole files; any end of a line counts for Python."""
+    for source in ("-" * 100_000 + "1", "not " * 50_000 + "x", "(" * 5000, "a" + ".b" * 100_000, "class A {" * 2000, "lambda:" * 20_000, "x = [" * 3000):
+        for name in ("a.py", "a.js"):
+            assert [x[4] for x in chunk_source(source, name)] == ["file"]
+    assert [x[4:6] for x in chunk_source("x=1\rdef f():\r  pass\rclass A:\r\n  def g(self): return 1\r\n", "a.py")] == [("function", "f"), ("class", "A"), ("method", "A.g")]
