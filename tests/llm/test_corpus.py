@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -117,28 +118,47 @@ def test_mix(spark, sf_dir):
         assert Counter((r["doc_id"], len(words(r["text"]))) for r in out.collect()) == +times
 
 
-def vectors(spark, given):
-    return spark.createDataFrame(given, "vec_id long, embedding array<float>, s int, b int, id long")
+def vectors(spark, given, kind="float"):
+    return spark.createDataFrame(given, f"vec_id long, embedding array<{kind}>, s int, b int, id long")
+
+
+def best_of(rows):
+    held = [(r["vec_id"], [math.floor(256 * Fraction(x)) for x in r["embedding"]]) for r in rows if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    want = Counter()
+    for q, v in {(q, tuple(v)) for q, v in held if q % 50 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w)), i, tuple(w)) for i, w in held]
+        scores.remove(next(s for s in scores if s[1:] == (q, v)))
+        want.update((q, k, i, -s if -(2**63) <= -s < 2**63 else None) for k, (s, i, _) in enumerate(sorted(scores)[:5], 1))
+    return want
 
 
 def test_maxscore(spark, sf_dir):
     rng = np.random.default_rng(1)
     given = [(i, rng.normal(0, 0.3, 16).round(2).tolist(), 1, 2, 3) for i in range(300)]
     given += [(50, given[50][1], 1, 2, 3), (400, None, 1, 2, 3), (450, [float("nan")] * 16, 1, 2, 3), (500, [None] + [0.5] * 15, 1, 2, 3), (None, [0.1] * 16, 1, 2, 3), (550, [0.0] * 16, 1, 2, 3), (600, [0.25] * 3, 1, 2, 3), (650, [], 1, 2, 3)]
-    for rows in (vectors(spark, given), vectors(spark, given[:3]), vectors(spark, []), spark.read.parquet(f"{sf_dir}/embeddings.parquet")):
-        held = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in rows.collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
-        want = Counter()
-        for q, v in {(q, tuple(v)) for q, v in held if q % 50 == 0}:
-            scores = [(-sum(a * b for a, b in zip(v, w)), i, tuple(w)) for i, w in held]
-            scores.remove(next(s for s in scores if s[1:] == (q, v)))
-            want.update((q, k, i, -s) for k, (s, i, _) in enumerate(sorted(scores)[:5], 1))
-        assert Counter(tuple(r) for r in maxscore.top(rows).collect()) == want
-
-
-def test_maxscore_large_numbers():
-    big = np.array([[2**30, -(2**30)], [5, 7]])
-    at, ids, scores, own = maxscore.search_shard(np.array([1, 2]), big, np.array([9]), np.array([[2**30, 1]]), 5)
-    assert ids.tolist() == [1, 2] and scores.tolist() == [2**60 - 2**30, 5 * 2**30 + 7]
+    sparse = [(i, [float(x) if rng.random() < 0.2 else 0.0 for x in rng.integers(-3, 4, 16)], 1, 2, 3) for i in range(600)]
+    for rows in (vectors(spark, given), vectors(spark, sparse), vectors(spark, given[:3]), vectors(spark, []), spark.read.parquet(f"{sf_dir}/embeddings.parquet")):
+        assert Counter(tuple(r) for r in maxscore.top(rows).collect()) == best_of(rows.collect())
+
+
+def test_maxscore_large_numbers(spark):
+    """Every finite component takes part, however large; what no long holds is null in its place."""
+    rng = np.random.default_rng(3)
+    values = [0.0, 1.5, -2.25, 1e10, -1e10, 2.0**55, -(2.0**55), 3.0e38, 1e300, -1e300, 1.7e308, 2.0**52 + 1, 1e-300, -1e-300]
+    given = [(i, [values[x] for x in rng.integers(0, len(values), 4)], 1, 2, 3) for i in range(200)] + [(i, rng.normal(0, 1, 4).tolist(), 1, 2, 3) for i in range(200, 500)]
+    given += [(1000, [0.0, 2.0, 0.0, 0.0], 1, 2, 3), (1001, [2.0**55, 2.0, 0.0, 0.0], 1, 2, 3)]
+    rows = vectors(spark, given, "double")
+    assert Counter(tuple(r) for r in maxscore.top(rows).collect()) == best_of(rows.collect())
+
+
+def test_maxscore_skips():
+    """Rows that stand in no essential list aren't looked at."""
+    values = np.zeros((1000, 4))
+    values[:80, 0], values[:, 3] = 1000, np.arange(1000) % 3
+    shard = maxscore.Shard(np.arange(1000), values)
+    assert [len(x.rows) if x.rows is not None else 1000 for x in shard.up] == [80, 0, 0, 1000]
+    rows, scores = shard.top(np.array([5.0, 1.0, 1.0, 1.0]), 6)
+    assert rows.tolist() == [2, 5, 8, 11, 14, 17] and set(scores.tolist()) == {5002.0}
 
 
 def classes_of(given):
