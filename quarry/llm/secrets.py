@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -36,12 +38,25 @@ SECRET = 6
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|0+|none|null|nil|true|false|undefined|todo|changeme|change_me|example.*|dummy.*|sample.*|placeholder.*|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$\w+)$")
 
 OPERATOR = re.compile(r"[:=]+>?")
-NAME_END = re.compile(r"[A-Za-z0-9_.$\-]")
+NAME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
 SPACES = re.compile(r"[\x20\t]*")
 STRING = re.compile(r"(?:[rbfuRBFU]{0,2})(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)")
-WORD = re.compile(r"[A-Za-z0-9+/_.=\-@$!%^&*~]+")
+QUOTES = frozenset("rbfuRBFU\"'`")
+QUOTE = re.compile(r"[rbfuRBFU]{0,2}([\"'`])")
+#: What the lexer stops at: a comment's start, an element with text, a string, an operator. A quote after a letter or digit is an apostrophe, unless the letters are a string's prefix.
+STOP = re.compile(r"(?P<comment>(?<!\S)(?:#+|//+|/\*+|<!--|--)(?=[\s\w]))|(?P<tag><(?=[A-Za-z_]))|(?P<quote>(?:(?<![A-Za-z0-9_])[rbfuRBFU]{1,2}|(?<![A-Za-z0-9_]))[\"'`])|(?P<op>[:=]+>?)")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)([^<>]*)>([^<>]*)</")
+NAMING = re.compile(r"\b(?:name|key|id)=[\"']([^\"'<>]*)[\"']")
+WORD = re.compile(r"[A-Za-z0-9+/_.\-@$!%^&*~]+")
+PADDING = re.compile(r"={1,2}(?![^\s,;\"')\]}])")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*$")
-JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.?)[\x20\t]*(?=[\"'`A-Za-z_$])")
+JOIN = re.compile(r"[\x20\t]*(?:\\?\n[\x20\t]*)?(?:\+|\.\.?|(?<=[\x20\t])&(?=[\x20\t]))(?:[\x20\t]*\\?\n)?[\x20\t]*(?=[\"'`A-Za-z_$])")
+#: Strings after one another are one, as in C and Python.
+ADJACENT = re.compile(r"[\x20\t]*(?:\\\n[\x20\t]*)?(?=[rbfuRBFU]{0,2}[\"'])")
+BLOCK = re.compile(r"[|>][+\-0-9]{0,2}[\x20\t]*\n")
+LINE = re.compile(r"([\x20\t]*)([^\n]*)(?:\n|$)")
+#: A joined value is judged by so many characters of each part; its spans are whole.
+MOST_JOINED = 4096
 #: A declared type and its `=`: `: str =`, `: Optional[str] =`, `: &'static str =`, `: String? =`, `: a.B<C> | null =`. Without a space before `=`, the type is a known one and a string follows.
 _ATOM = r"&?(?:'[a-z_]+[\x20\t]+)?(?:(?:mut|dyn|const|readonly)[\x20\t]+)?[*&]*[A-Za-z_][\w.]*(?:::\w+)*(?:<[^<>=:;\n]*(?:<[^<>=:;\n]*>[^<>=:;\n]*)*>|\[[^\[\]=:;\n]*(?:\[[^\[\]=:;\n]*\][^\[\]=:;\n]*)*\])*+[?!*]*"
 _KNOWN = "str|string|String|bytes|Bytes|char|any|Any|object|Text|SecretStr|CharSequence|NSString"
@@ -68,20 +83,19 @@ class Span(NamedTuple):
 
 
 class Pair(NamedTuple):
-    """A name and what is assigned to it: literals' spans, and names whose literals it takes over."""
+    """A name and what is assigned to it: values, one of which it has, each of joined parts; a part is a literal's span or a name."""
 
     name: str
-    literals: tuple[tuple[int, int], ...]
-    names: tuple[str, ...]
+    values: tuple[tuple[tuple[int, int] | str, ...], ...]
 
 
 @dataclass
 class Cell:
-    """A value: its literals, the values that it takes over, and the most points with which it has been looked at. No value is copied, so names that add to themselves stay cheap."""
+    """What a name holds: values of joined parts, each a literal's span or another cell, and the most points with which it has been looked at. No value is copied, so names that add to themselves stay cheap."""
 
-    literals: list[tuple[int, int]]
-    names: list[Cell]
+    values: list[list[tuple[int, int] | Cell]]
     points: int = 0
+    text: str = ""  # of its only value, as far as it is needed to judge what it is joined to
 
 
 def base_spans(text: str) -> list[Span]:
@@ -108,122 +122,204 @@ def _name_before(text: str, at: int, floor: int) -> str:
     while end > floor and text[end - 1] in "\"'])":
         end -= 1
     start = end
-    while start > floor and NAME_END.match(text[start - 1]):
+    while start > floor and text[start - 1] in NAME_LETTERS:
         start -= 1
     name = text[start:end].strip(".-$")
-    if text[at] == "=" and name:
+    if text[at] == "=" and name and start > floor:
         *_, how, first, second = ["", "", "", *text[max(floor, text.rfind("\n", floor, at) + 1) : at].split()]
         if IDENTIFIER.match(first) and first not in DECLARES and first not in TYPES and (last := LAST_TYPE.match(second)) and (how == "var" or last[1] in TYPES):
             return first
     return name
 
 
-def _string(text: str, at: int) -> tuple[tuple[int, int], int] | None:
-    """A string at a place: the span of what it holds (of triple quotes, without spaces around), and its end."""
-    if (t := TRIPLE.match(text, at)) and (end := text.find(t[1], t.end())) >= 0:
-        inner = text[t.end() : end]
-        start = t.end() + len(inner) - len(inner.lstrip())
-        return (start, max(start, t.end() + len(inner.rstrip()))), end + 3
-    if s := STRING.match(text, at):
-        return s.span(s.lastindex or 1), s.end()
-    return None
+class Lexer:
+    """Assignments of a text, lexed from left to right; what has been read as a value isn't read again.
 
-
-def _inside(text: str, at: int, callee: str) -> tuple[list[tuple[int, int]], list[str]]:
-    """The literals and names in the brackets that open at a place, over lines, up to their end or the next assignment in them.
-
-    A string that a call looks up, or that itself says a secret's name, is a key. Words without quotes are literals in lists.
+    Strings are whole: operators in them assign nothing here, but a string that holds assignments itself (a connection
+    string, say) is lexed as a text of its own. A comment's start ends what stands before it; its words are lexed.
     """
-    literals, names, depth, first, here = [], [], [], True, at
-    while here < len(text):
-        c = text[here]
-        if m := BLANK.match(text, here):
-            here = m.end()
-        elif c in "[({":
-            depth.append(c)
-            here += 1
-        elif c in "])}":
-            depth.pop()
-            here += 1
-            if not depth:
-                break
-        elif found := _string(text, here):
-            span, here = found
-            value = text[slice(*span)]
-            after = SPACES.match(text, here).end()
-            if text.startswith((":", "=>"), after):
-                break
-            key = callee and (first and LOOKUP.search(callee) or name_points(value) > 0 and not any(x.isdigit() for x in value))
-            literals += [] if key else [span]
-            first = False
-        elif m := BARE.match(text, here):
-            word, here = m[0], m.end()
-            after = SPACES.match(text, here).end()
-            if OPERATOR.match(text, after):
-                if word not in VALUE_KEYS or text[after] not in "=:":
+
+    def __init__(self, text: str, start: int = 0, end: int | None = None, nested: bool = False) -> None:
+        self.text, self.start, self.end, self.nested = text, start, len(text) if end is None else end, nested
+        self.open: dict[str, int] = {}  # up to where no string of a quote ends
+        self.strings: list[tuple[int, int]] = []
+
+    def string(self, at: int) -> tuple[tuple[int, int], int] | None:
+        """A string at a place: the span of what it holds (of triple quotes, without spaces around), and its end."""
+        text = self.text
+        if t := TRIPLE.match(text, at, self.end):
+            if self.open.get(t[1], 0) <= at and (end := text.find(t[1], t.end(), self.end)) >= 0:
+                inner = text[t.end() : end]
+                start = t.end() + len(inner) - len(inner.lstrip())
+                return (start, max(start, t.end() + len(inner.rstrip()))), end + 3
+            self.open[t[1]] = self.end
+        if not (q := QUOTE.match(text, at, self.end)) or self.open.get(quote := q[1], 0) > at:
+            return None
+        if s := STRING.match(text, at, self.end):
+            span = s.span(s.lastindex or 1)
+            if any(c in "=:" for c in text[slice(*span)]):
+                self.strings.append(span)
+            return span, s.end()
+        line = text.find("\n", at, self.end) if quote != "`" else -1
+        self.open[quote] = line if line >= 0 else self.end
+        return None
+
+    def inside(self, at: int, callee: str) -> tuple[list[tuple], int]:
+        """The values in the brackets that open at a place, over lines, up to their end or the next assignment in them.
+
+        A string that a call looks up, or that itself says a secret's name, is a key. Words without quotes are literals in lists.
+        """
+        text, values, depth, first, here, joined = self.text, [], [], True, at, False
+        while here < self.end:
+            c = text[here]
+            if m := BLANK.match(text, here, self.end):
+                here = m.end()
+                continue
+            before, joined = joined, False
+            if c in "[({":
+                depth.append(c)
+                here += 1
+            elif c in "])}":
+                depth.pop()
+                here += 1
+                if not depth:
                     break
-                here = SPACES.match(text, OPERATOR.match(text, after).end()).end()
-                if not STRING.match(text, here):
+            elif found := self.string(here):
+                span, end = found
+                value = text[slice(*span)]
+                if text.startswith((":", "=>"), SPACES.match(text, end, self.end).end()):
                     break
-            elif IDENTIFIER.match(word):
-                names.append(word)
-                literals += [m.span()] if depth[-1] == "[" and not callee and text[after : after + 1] in (",", "]") else []
-            elif depth[-1] == "[" and not callee:
-                literals.append(m.span())
-        elif OPERATOR.match(text, here):
-            break
-        else:
-            here += 1
-    return literals, names
-
-
-def _value(text: str, here: int) -> tuple[list[tuple[int, int]], list[str]]:
-    """The literals and names of what is assigned: joined strings and names, what brackets hold, and what a call is given."""
-    literals, names = [], []
-    while True:
-        if s := _string(text, here):
-            literals.append(s[0])
-            end = s[1]
-        elif (c := CALL.match(text, here)) or (o := OPENS.match(text, here)):
-            held = _inside(text, (c or o).end(), c[1] if c and text[c.end()] == "(" else "")
-            return literals + held[0], names + held[1]
-        elif s := WORD.match(text, here):
-            word = s[0].rstrip(".")
-            more = JOIN.match(text, here + len(word))
-            if IDENTIFIER.match(word):
-                names.append(word)
-                literals += [] if more or len(literals) else [(here, here + len(word))]
+                here = end
+                key = callee and (first and LOOKUP.search(callee) or name_points(value) > 0 and not any(x.isdigit() for x in value))
+                if not key and before and values:
+                    values[-1] += (span,)
+                elif not key:
+                    values.append((span,))
+                joined, first = not key, False
+            elif m := BARE.match(text, here, self.end):
+                word, end = m[0], m.end()
+                after = SPACES.match(text, end, self.end).end()
+                if m2 := OPERATOR.match(text, after, self.end):
+                    to = SPACES.match(text, m2.end(), self.end).end()
+                    if word not in VALUE_KEYS or text[after] not in "=:" or not STRING.match(text, to, self.end):
+                        break
+                    here = to
+                    continue
+                here = end
+                if IDENTIFIER.match(word):
+                    values.append((word,))
+                    if depth[-1] == "[" and not callee and text[after : after + 1] in (",", "]"):
+                        values.append((m.span(),))
+                elif depth[-1] == "[" and not callee:
+                    values.append((m.span(),))
+            elif OPERATOR.match(text, here, self.end):
+                break
+            else:
+                joined = before and c in "+&."
+                here += 1
+        return values, here
+
+    def value(self, here: int) -> tuple[list[tuple], int]:
+        """What is assigned: joined strings and names, what brackets hold, or what a call is given; and up to where it has been read for good."""
+        text, parts = self.text, ()
+        read = here
+        while True:
+            c = text[here : here + 1]
+            if c in QUOTES and (s := self.string(here)):
+                parts += (s[0],)
+                end = read = s[1]
+                more = JOIN.match(text, end, self.end) or ADJACENT.match(text, end, self.end)
+            elif (call := CALL.match(text, here, self.end)) or c in "&[({" and (o := OPENS.match(text, here, self.end)):
+                values, end = self.inside((call or o).end(), call[1] if call and text[call.end()] == "(" else "")
+                return ([parts] if parts else []) + values, end
+            elif s := WORD.match(text, here, self.end):
+                word = s[0].rstrip(".")
+                end = here + len(word)
+                if (p := PADDING.match(text, end, self.end)) and len(word) >= 8 and (len(word) + len(p[0])) % 4 == 0:
+                    end = p.end()
+                elif OPERATOR.match(text, s.end(), self.end) and "&" in word:  # of a=x&b=y, the first
+                    end = here + word.index("&")
+                    word = text[here:end]
+                more = JOIN.match(text, end, self.end)
+                if IDENTIFIER.match(text, here, end):
+                    parts += (word,) if more or parts else ((here, end),)  # alone, it is a literal unless a name before stands for it
+                else:
+                    parts += ((here, end),)
+                    read = end
+            else:
+                break
+            if not more:
+                break
+            here = more.end()
+        return [parts] if parts else [], read
+
+    def block(self, at: int, indent: int) -> tuple[list[tuple], int]:
+        """The lines from a place on that are indented more, each a value."""
+        values = []
+        while at < self.end:
+            m = LINE.match(self.text, at, self.end)
+            words = m[2].strip()
+            if words and len(m[1]) <= indent:
+                break
+            if words:
+                values.append(((m.start(2), m.start(2) + len(m[2].rstrip())),))
+            at = max(m.end(), at + 1)
+        return values, at
+
+    def pairs(self) -> Iterator[Pair]:
+        text, floor, at, line, key = self.text, self.start, self.start, self.start, ""
+        looked = self.start  # up to where line has been looked for
+        while m := STOP.search(text, at, self.end):
+            here = m.start()
+            at = m.end()
+            if m["comment"]:
+                floor = at
+            elif m["tag"]:
+                if e := ELEMENT.match(text, here, self.end):
+                    inner = e[3].strip()
+                    start = e.start(3) + e[3].find(inner)
+                    names = " ".join([key, e[1], *NAMING.findall(e[2])])
+                    key = inner if e[1] == "key" else ""
+                    if inner and e[1] != "key" and not any(c.isspace() for c in inner):
+                        yield Pair(names, (((start, start + len(inner)),),))
+                    if not e[2]:  # without attributes, all is read
+                        floor = at = e.end(3)
+            elif m["quote"]:
+                if found := self.string(here):
+                    at = found[1]
             else:
-                literals.append((here, here + len(word)))
-            end = s.end()
-        else:
-            break
-        if not (more := JOIN.match(text, end)):
-            break
-        here = more.end()
-    return literals, names
+                op = m["op"]
+                name = _name_before(text, here, floor)
+                typed = TYPED.match(text, at, self.end) if name and op == ":" else None
+                floor = at = (typed or m).end()
+                if not name or op not in ("=", ":", ":=", "=>", "::=") or here and text[here - 1] in "!<>" and not typed:
+                    continue
+                begin = SPACES.match(text, at, self.end).end()
+                if op == ":" and (b := BLOCK.match(text, begin, self.end)):
+                    if (new := text.rfind("\n", looked, here)) >= 0:
+                        line = new + 1
+                    looked = here
+                    values, at = self.block(b.end(), len(LINE.match(text, line, self.end)[1]))
+                else:
+                    values, read = self.value(begin)
+                    at = max(at, read)
+                floor = max(floor, at)
+                yield Pair(name, tuple(values))
+        if not self.nested:
+            for a, b in self.strings:
+                yield from Lexer(text, a, b, True).pairs()
 
 
 def pairs(text: str) -> Iterator[Pair]:
-    """The assignments of a text in order: `name = "x"`, `name: x`, `"name": "x"`, `name => 'x'`, `NAME=x`, `a["name"] = x`, joined strings included.
+    """The assignments of a text: `name = "x"`, `name: x`, `"name": "x"`, `name => 'x'`, `NAME=x`, `a["name"] = x`, `<name>x</name>`, block scalars.
 
-    `name: type = x` and `name type = x` are one assignment to the name. Each operator looks back to the one before at
-    most, and into brackets up to the next, so the work is in proportion to the text. `==`, `!=`, `<=` and `>=` compare.
+    `name: type = x` and `name type = x` are one assignment to the name; joined strings are one value. `==`, `!=`, `<=` and
+    `>=` compare. The text is gone through once, and once more in its strings, so the work is in proportion to it.
     """
-    floor = 0
-    for m in OPERATOR.finditer(text):
-        at = m.start()
-        if at < floor:
-            continue
-        name = _name_before(text, at, floor)
-        typed = TYPED.match(text, m.end()) if name and m[0] == ":" else None
-        floor = (typed or m).end()
-        if not name or m[0] not in ("=", ":", ":=", "=>", "::=") or at and text[at - 1] in "!<>" and not typed:
-            continue
-        literals, names = _value(text, SPACES.match(text, floor).end())
-        yield Pair(name, tuple(literals), tuple(names))
+    return Lexer(text).pairs()
 
 
+@functools.lru_cache(4096)
 def name_points(name: str) -> int:
     """How much a name says that it holds a secret; neighbouring parts also count as one (`api_key`)."""
     parts = [x.lower() for x in PARTS.findall(name)]
@@ -236,28 +332,53 @@ def literal_points(value: str) -> int:
     if len(value) < 8 or PLACEHOLDER.match(value) or "://" in value and "@" not in value or any(c.isspace() for c in value):
         return -10
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    counts = [value.count(c) for c in set(value)]
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts)
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     return (kinds >= 2) + (kinds >= 3) + (entropy >= 2.5) + (entropy >= 3.5) - 3 * (kinds == 1 and not value.isdigit() and len(value) < 20)
 
 
+def _spans_of(value: list[tuple[int, int] | Cell]) -> Iterator[tuple[int, int]]:
+    """The spans of all that a value is joined of."""
+    todo, seen = list(value), set()
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, Cell):
+            yield x
+        elif id(x) not in seen:
+            seen.add(id(x))
+            todo += (y for v in x.values for y in v)
+
+
 def named_spans(text: str) -> list[Span]:
     """Literals that reach a name which says it's a secret, over constants as well: `a = "x"`, then `password = a`.
 
-    A name holds what was last assigned to it before; a literal that names assigned before stand for isn't a literal.
+    A name holds what was last assigned to it before; a literal that names assigned before stand for isn't a literal. Of
+    joined parts, constants among them, the whole is judged, and all parts are reported; so is a part that is a secret alone.
     """
     held: dict[str, Cell] = {}
     out = set()
-    for name, literals, names in pairs(text):
-        own = [x for x in literals if text[slice(*x)] not in held]
-        held[name] = cell = Cell(own, [held[x] for x in names if x in held])
+
+    def part(x: tuple[int, int] | str) -> tuple[int, int] | Cell | None:
+        return held.get(x) if isinstance(x, str) else held.get(text[slice(*x)], x)
+
+    def said(x: tuple[int, int] | Cell) -> str:
+        return x.text if isinstance(x, Cell) else text[x[0] : min(x[1], x[0] + MOST_JOINED)]
+
+    for name, values in pairs(text):
+        cell = Cell([v for v in ([y for y in map(part, value) if y is not None] for value in values) if v])
+        if len(cell.values) == 1:
+            cell.text = "".join(map(said, cell.values[0]))[:MOST_JOINED]
+        held[name] = cell
         if (points := name_points(name)) > 0:
             todo = [cell]
             while todo:
-                if (cell := todo.pop()).points < points:
-                    cell.points = points
-                    out.update(Span("named", *x) for x in cell.literals if points + literal_points(text[slice(*x)]) >= SECRET)
-                    todo += cell.names
+                if (cell := todo.pop()).points >= points:
+                    continue
+                cell.points = points
+                for value in cell.values:
+                    todo += (x for x in value if isinstance(x, Cell))
+                    out.update(Span("named", *x) for x in value if not isinstance(x, Cell) and points + literal_points(text[slice(*x)]) >= SECRET)
+                    if len(value) > 1 and points + literal_points("".join(map(said, value))) >= SECRET:
+                        out.update(Span("named", *x) for x in _spans_of(value) if x[0] < x[1])
     return sorted(out, key=lambda x: x[1:])
 
 
@@ -265,7 +386,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans and all spans, both by start, then kind."""
     base = base_spans(text)
     order = lambda x: (x.start, KINDS.index(x.kind), x.end)
-    more = named_spans(text) if "=" in text or ":" in text else []
+    more = named_spans(text) if "=" in text or ":" in text or "<" in text else []
     return sorted(base, key=order), sorted(base + more, key=order)
 
 
@@ -309,7 +430,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """All documents with their columns; secrets in the text are replaced by a mark, and the length goes with the text.
 
-    A document without secrets, or with a null text, stays as it is.
+    A document without secrets, or with a null text, stays as it is, whatever its other columns hold. Rows are looked at one
+    by one, whole texts at a time: repeated rows stay repeated, an empty table stays empty.
     """
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

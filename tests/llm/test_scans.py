@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -36,7 +37,7 @@ def test_secrets_base(spark, sf_dir):
 
 
 @pytest.mark.parametrize(("text", "found"), [
-    ('k = "Zx9kfj39fkQ1"\nclient_secret = k', ["Zx9kfj39fkQ1"]), ('a = "Zx9kfj39fkQ1"\nb = a\nauth_token: b', ["Zx9kfj39fkQ1"]), ('private_key = "Zx9kf" + "j39fkQ1Lm3"', ["j39fkQ1Lm3"]), ('{"dbPassword": "p4ssW0rdXy"}', ["p4ssW0rdXy"]), ("DB_PASSWD=Zx9kfj39fkQ1", ["Zx9kfj39fkQ1"]),
+    ('k = "Zx9kfj39fkQ1"\nclient_secret = k', ["Zx9kfj39fkQ1"]), ('a = "Zx9kfj39fkQ1"\nb = a\nauth_token: b', ["Zx9kfj39fkQ1"]), ('private_key = "Zx9kf" + "j39fkQ1Lm3"', ["Zx9kf", "j39fkQ1Lm3"]), ('{"dbPassword": "p4ssW0rdXy"}', ["p4ssW0rdXy"]), ("DB_PASSWD=Zx9kfj39fkQ1", ["Zx9kfj39fkQ1"]),
     ('password = "changeme"', []), ("password_file = /etc/passwords", []), ('name = "Zx9kfj39fkQ1"', []), ("note: the token is lost", []), ('if password == "Zx9kfj39fkQ1":', []), ("", []), ("=" * 5000, []), ("a=" * 3000, []),
     ("p = p\npassword = p", []), ('k = "Zx9kfj39fkQ1"\nk = 1\nsecret_value = k', []),
 ])
@@ -56,6 +57,48 @@ def test_typed_and_nested_secrets(text, found):
     assert not any(x in secrets.redact(text) for x in found)
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ('private_key = ("Zx9kf" "j39fk"\n  "Q1Lm3")', ["Zx9kf", "j39fk", "Q1Lm3"]), ('a = "Zx9kf"\nprivate_key = a + "j39fkQ1"', ["Zx9kf", "j39fkQ1"]), ('private_key = "Zx9kf" \\\n  "j39fkQ1"', ["Zx9kf", "j39fkQ1"]), ("$password = 'Zx9kf' . 'j39fkQ1';", ["Zx9kf", "j39fkQ1"]),
+    ("db:\n  password: |\n    S3cr3tValue99\n\n    An0therValue1\n  user: Zx9kfj39fkQ1", ["S3cr3tValue99", "An0therValue1"]), ("private_key: >-\n  S3cr3tValue99\nname: Zx9kfj39fkQ1", ["S3cr3tValue99"]),
+    ("<db><password>S3cr3tValue99</password><user>Zx9kfj39fkQ1</user></db>", ["S3cr3tValue99"]), ('<string name="api_key">S3cr3tValue99</string>', ["S3cr3tValue99"]), ("<key>Password</key>\n<string>S3cr3tValue99</string><string>Zx9kfj39fkQ1</string>", ["S3cr3tValue99"]), ('<add password="S3cr3tValue99"/>', ["S3cr3tValue99"]),
+    ('message = "the password = none"\nname = "Zx9kfj39fkQ1"', []), ('url = "Server=x;Password=S3cr3tValue99;"', ["S3cr3tValue99"]), ("https://x.org/?user=a&api_token=S3cr3tValue99&x=1", ["S3cr3tValue99"]), ("password =  # token: the one that is used\n", []), ('x = 1  # password = "S3cr3tValue99"', ["S3cr3tValue99"]), ("it's there; password: S3cr3tValue99 isn't", ["S3cr3tValue99"]),
+    ("password = ", []), ('password = "', []), ("password: |", []), ("<password>", []), ("password: |\n", []),
+])
+def test_lexed(text, found):
+    assert [text[s.start : s.end] for s in secrets.named_spans(text)] == found
+    assert not any(x in secrets.redact(text) for x in found)
+
+
+def test_spans_of_made_up_files():
+    """Files put together of assignments in many syntaxes, of which it is known what is a secret: all of those and nothing else."""
+    import random
+
+    rng = random.Random(4)
+    forms = ['{n} = "{v}"', "{n}: {v}", '"{n}": "{v}",', "{n} => '{v}'", '{n}: str = "{v}"', 'config["{n}"] = "{v}"', "<{n}>{v}</{n}>", '<add {n}="{v}"/>', "{n}: |\n  {v}", 'let {n} = String::from("{v}");', 'var {n} string = "{v}"', "export {n}={v}", 'k{i} = "{v}"\n{n} = k{i}', '{n} = "{a}" + "{b}"', "{n} := `{v}`", '# {n} = "{v}"']
+    words = ["the quick brown fox", "it's not here, isn't it?", "a <b> c </b>", "x == y && z != w", "see http://x.org/a?b=c", "if (a) { b(); }", "", '"quoted"']
+    for _ in range(200):
+        lines, want = [], []
+        for i in range(rng.randrange(1, 12)):
+            value = "".join(rng.choice("abcdefghkmnpqrstuvw") + rng.choice("ABCDEFGHKMNP") + rng.choice("23456789") for _ in range(6))
+            secret = rng.random() < 0.5
+            name = rng.choice(["db_password", "apiToken", "client_secret", "privateKey"] if secret else ["title", "user", "colour", "max_items"])
+            form = rng.choice(forms)
+            lines.append(form.format(n=name, v=value, i=i, a=value[:9], b=value[9:]))
+            want += ([value[:9], value[9:]] if "{a}" in form else [value]) if secret else []
+            lines += rng.choices(words, k=rng.randrange(3))
+        text = "\n".join(lines)
+        assert [text[x.start : x.end] for x in secrets.named_spans(text)] == want, text
+
+
+def test_lexing_takes_time_in_proportion():
+    """What is gone through again and again would take minutes here."""
+    for part in ("a=", "k=v&", 'a="', "a='b", "a=[", 'password=["x" ', "a: |\n", "<a>", "<a b=", "a=b+", "a:b<", "a=f(", '"\\"', "'''", "a = b = ", ": a | ", "a=b ", 'p="x"+', "`", "a: b[", "# ", "a:\n"):
+        text = part * (600_000 // len(part))
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 12, part
+
+
 def test_clean(spark):
     docs = frame(spark)
     out = secrets.clean(docs)
