@@ -1,132 +1,263 @@
-"""Best-fit packing of tokenized documents into sequences, all documents of a length at a time."""
+"""Bulk-synchronous best-fit packing of tokenized documents into sequences."""
 
 from __future__ import annotations
 
 import functools
-import json
+import os
 import zlib
-from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import batches, spread_rank, texts, written
+from quarry.llm.common import batches, texts, written
 
 CAPACITY, END = 1024, 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-PIECE = "doc_id {}, piece int, start long, length long, ids_crc32 long"
+#: Pieces are placed by classes of length, each this many times shorter than the one before.
+CLASS = 4
+#: From so few pieces and gaps on, the rounds that are left run in one task, with the same outcome.
+FEW = 1 << 18
+SLOT, DOC, PAIR = 0, 1, 2
 
 
 @functools.cache
-def _encoder(path: str) -> tuple[tiktoken.Encoding, Tokenizer]:
-    """The tokenizer of the file twice: as tiktoken's encoder, which gives the same ids several times as fast, and as its own."""
-    with open(path, encoding="utf-8") as file:
-        given = json.load(file)
-    # a byte that doesn't print stands as the next free letter from 256 on
-    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printing)}
-    special = {x["content"]: x["id"] for x in given["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): i for token, i in given["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), Tokenizer.from_file(path)
-
-
-def encode(text: str, path: str = TOKENIZER) -> np.ndarray:
-    fast, own = _encoder(path)
-    try:
-        return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), "<u4")
-    except (KeyboardInterrupt, SystemExit):
-        raise
-    except BaseException:  # its regular expressions give up on some very long runs; the panic is no Exception
-        return np.asarray(own.encode(text, add_special_tokens=False).ids, "<u4")
+def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_file(path)
+
+
+def encode(given: Sequence[str], path: str = TOKENIZER) -> list[np.ndarray]:
+    return [np.asarray(x.ids, "<u4") for x in _tokenizer(path).encode_batch_fast(list(given), add_special_tokens=False)]
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and the end's id; one that is longer than the capacity is cut so that all pieces but the first are full."""
+    """doc_id, piece, start, length, ids_crc32, item (the piece's own number): each document's ids and the end's id.
+
+    A document that is longer than the capacity is cut so that all pieces but the first are full. A null text is empty, and
+    so the end's id alone. Repeated rows give pieces each; an empty table gives none.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "item"]
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = TaskContext.get().partitionId() << 40
         for batch in batches(given, text):
             rows, out = [], []
-            for row, x in enumerate(texts(batch, text)):
-                ids = np.append(encode(x, path), np.uint32(end)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                starts = [0, *range(first, len(ids), capacity)]
+            for row, found in enumerate(encode(texts(batch, text), path)):
+                ids = np.append(found, np.uint32(end)).astype("<u4")
+                starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     rows.append(row)
-                    out.append((piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            piece, start, length, crc = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), item))
+                    item += 1
+            columns = zip(zip(*out), (pa.int32(), *[pa.int64()] * 4))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), *(pa.array(x, t) for x, t in columns)], names)
 
-    return docs.select(key, text).mapInArrow(run, PIECE.format(docs.schema[key].dataType.simpleString()))
+    return docs.select(key, text).mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, item long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, offset): the best-fit decreasing packing of so many pieces of each length.
+def matched(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The successor sweep over slots and pieces from large to small, slots first among equals: places of slots and of the pieces that they get.
 
-    A superstep for each length, from the longest. The open sequences stand as runs with the same gap, sorted by gap;
-    the sweep goes up from the smallest gap that holds the length. Where pieces and gaps meet, ranks decide: the n-th
-    piece gets the n-th gap, and a gap takes as many as go in. Then the gaps are updated as runs. What finds no gap opens
-    sequences. All pieces and gaps of one size are placed at once, so the work and the state depend on the
-    capacity, not on the number of documents.
+    Each piece takes the smallest slot that is still free of those before it, the one that came last: slots and pieces
+    match like opening and closing brackets. So they alternate on each level of depth.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, deque[tuple[int, int]]] = defaultdict(deque)
-    sequences = 0
-    for length in range(capacity, 0, -1):
-        left, rank = counts.get(length, 0), 0
-
-        def fill(first: int, n: int, gap: int) -> int:
-            """Puts pieces into n sequences with this gap, as many as go in each; how many sequences that took."""
-            nonlocal left, rank
-            each = gap // length
-            used = 0
-            for m, layers in ((min(n, left // each), each), (1, left % each)):
-                if used == n or not m or not layers:
-                    continue
-                for layer in range(layers):
-                    out.append((length, rank, m, first + used, capacity - gap + layer * length))
-                    rank, left = rank + m, left - m
-                if gap > layers * length:
-                    gaps[gap - layers * length].append((first + used, m))
-                used += m
-            return used
-
-        for gap in range(length, capacity):
-            while left and gaps[gap]:
-                first, n = gaps[gap].popleft()
-                used = fill(first, n, gap)
-                if used < n:
-                    gaps[gap].appendleft((first + used, n - used))
-        sequences += fill(sequences, left, capacity) if left else 0
+    depth = np.cumsum(np.where(slot, 1, -1))
+    floor = np.minimum(np.minimum.accumulate(depth), 0) if len(slot) else depth
+    alone = ~slot & (floor < np.concatenate([[0], floor[:-1]])) if len(slot) else ~slot
+    level = depth - floor + ~slot
+    at = np.flatnonzero(~alone)
+    order = at[np.lexsort((at, level[at]))]
+    pair = np.flatnonzero(slot[order[:-1]] & ~slot[order[1:]] & (level[order[:-1]] == level[order[1:]]))
+    return order[pair], order[pair + 1]
+
+
+def slots_of(gap: np.ndarray, top: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which gap each slot is of, and the slots' sizes: a gap has as many slots as pieces of the length `top` surely go in, `each` at most; the last slot is the rest."""
+    count = np.clip(gap // top, 1, each)
+    of = np.repeat(np.arange(len(gap)), count)
+    size = np.full(len(of), top, np.int64)
+    size[np.cumsum(count) - 1] = gap - (count - 1) * top
+    return of, size
+
+
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(low, top) of the classes of lengths over low, up to top. Pieces over half the capacity are in none: each begins a sequence."""
+    out, top = [], capacity // 2
+    while top:
+        out.append((top // CLASS, top))
+        top //= CLASS
     return out
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def place(length: np.ndarray, gap: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds in one task: for each piece the number of its gap, and its offset. Gaps beyond those given are whole sequences."""
+    where, offset = np.full(len(length), -1), np.zeros(len(length), np.int64)
+    gap = gap.astype(np.int64)
+    for low, top in classes(capacity):
+        mine = np.flatnonzero((length > low) & (length <= top))
+        while len(mine):
+            use = np.flatnonzero(gap >= length[mine].min())
+            if not len(use):
+                gap = np.concatenate([gap, np.full(-(-length[mine].sum() // capacity), capacity)])
+                continue
+            of, size = slots_of(gap[use], top, 1 + len(mine) // len(use))
+            slot = np.arange(len(of) + len(mine)) < len(of)
+            order = np.lexsort((~slot, -np.concatenate([size, length[mine]])))
+            slots, docs = (order[x] for x in matched(slot[order]))
+            to, piece = use[of[slots]], mine[docs - len(of)]
+            by = np.lexsort((piece, to))
+            to, piece = to[by], piece[by]
+            before = np.cumsum(length[piece]) - length[piece]
+            first = np.concatenate([[True], to[1:] != to[:-1]])
+            where[piece], offset[piece] = to, capacity - gap[to] + before - before[first][np.cumsum(first) - 1]
+            np.subtract.at(gap, to, length[piece])
+            mine = mine[where[mine] < 0]
+    return where, offset
+
+
+def finish(docs: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """item, sequence_id, offset of a bounded number of pieces and gaps, in one task."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([np.asarray(b.column(c), np.int64) for c in ("kind", "id", "size")]) for b in given if b.num_rows]
+        if not rows:
+            return
+        kind, id, size = np.concatenate(rows, 1)
+        order = np.lexsort((id, -size))
+        kind, id, size = kind[order], id[order], size[order]
+        doc = kind == DOC
+        where, offset = place(size[doc], size[~doc], capacity)
+        # a new sequence has the number of one of its pieces
+        item, old = id[doc], id[~doc]
+        fresh = np.full(int(where.max(initial=-1)) + 1, -1)
+        fresh[where] = item
+        fresh[: len(old)] = old[: len(fresh)]
+        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(fresh[where]), pa.array(offset)], ["item", "sequence_id", "offset"])
+
+    rows = docs.select(F.lit(DOC).alias("kind"), F.col("item").alias("id"), F.col("length").alias("size")).unionByName(gaps.select(F.lit(SLOT).alias("kind"), F.col("sequence_id").alias("id"), F.col("gap").alias("size")))
+    return rows.repartition(1).mapInArrow(run, "item long, sequence_id long, offset long")
 
-    The pieces are ranked within their length over the cluster; the plan for the counts by length (as many numbers as
-    the capacity) comes from best_fit; a piece's length and rank give its run, and so its sequence and offset. The plan
-    has at most a few runs for each pair of lengths, whatever the number of documents. A null text is empty and makes a
-    piece of the end's id alone. Repeated rows are packed each; rows that are equal in all that is returned may swap
-    places. An empty table gives no pieces. Other columns don't matter.
+
+def sweep(docs: DataFrame, gaps: DataFrame, top: int, each: int) -> DataFrame:
+    """One round's matches, written: kind PAIR with sequence_id, gap, item, length; and the pieces that found no slot: kind DOC with item and length.
+
+    Slots and pieces are sorted by ranges of size and swept in each range. What is left there, free slots and pieces without
+    one, only matches over ranges: again like brackets, of which a range has so many closing and then so many opening
+    ones. These numbers, two a range, say which rank of one range's pieces meets which rank of another's slots.
     """
-    cut = written(pieces(docs, key, text, path, capacity, end), "pieces")
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    runs = np.array(sorted(best_fit(counts, capacity)), np.int64).reshape(-1, 5)
-    ranked = spread_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    names = cut.columns
+    each_slot = F.least(F.greatest(F.floor(F.col("gap") / top), F.lit(1)), F.lit(each)).cast("int")
+    slots = gaps.select("sequence_id", "gap", F.posexplode(F.array_repeat(F.lit(top), each_slot)).alias("n", "size"), each_slot.alias("m"))
+    size = F.when(F.col("n") == F.col("m") - 1, F.col("gap") - F.col("n") * top).otherwise(F.col("size")).cast("long")
+    rows = slots.select(size.alias("size"), F.lit(SLOT).alias("kind"), F.col("sequence_id").alias("id"), "gap").unionByName(docs.select(F.col("length").alias("size"), F.lit(DOC).alias("kind"), F.col("item").alias("id"), F.lit(0).cast("long").alias("gap")))
+    by = [F.col("size").desc(), F.col("kind"), F.xxhash64("id"), F.col("id")]
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = (runs[:, 0] << 48) | runs[:, 1]
-        for batch in given:
-            rank = np.asarray(batch.column("rank"), np.int64)
-            found = np.searchsorted(keys, (np.asarray(batch.column("length"), np.int64) << 48) | rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(runs[found, 3] + rank - runs[found, 1]), pa.array(runs[found, 4])], [*names, "sequence_id", "offset"])
+        part = TaskContext.get().partitionId()
+        held = [np.stack([np.asarray(b.column(c), np.int64) for c in ("size", "kind", "id", "gap")]) for b in given if b.num_rows]
+        if not held:
+            return
+        size, kind, id, gap = np.concatenate(held, 1)
+        slot = kind == SLOT
+        a, b = matched(slot)
+        free = np.ones(len(kind), bool)
+        free[a] = free[b] = False
+        docs, slots = np.flatnonzero(free & ~slot), np.flatnonzero(free & slot)[::-1]  # the slot that came last first
+        columns = {"kind": [np.full(len(a), PAIR), kind[docs], kind[slots]], "sequence_id": [id[a], 0 * docs, id[slots]], "gap": [gap[a], 0 * docs, gap[slots]], "item": [id[b], id[docs], 0 * slots], "length": [size[b], size[docs], 0 * slots]}
+        columns |= {"rank": [0 * a, np.arange(len(docs)), np.arange(len(slots))]}
+        whole = {k: np.concatenate(v) for k, v in columns.items()}
+        whole["part"] = np.full(len(whole["kind"]), part)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole.values()], list(whole))
+
+    found = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "kind long, sequence_id long, gap long, item long, length long, rank long, part long"), "swept")
+    counts = {(r["part"], r["kind"]): r["count"] for r in found.where(F.col("kind") != PAIR).groupBy("part", "kind").count().collect()}  # two a range
+    open_slots: list[list[int]] = []
+    runs = []  # (kind, part, first rank, number of ranks, number of the first pair)
+    pairs = 0
+    for part in sorted({p for p, _ in counts}):
+        rank, left = 0, counts.get((part, DOC), 0)
+        while left and open_slots:
+            other, first, free = open_slots[-1]
+            n = min(left, free)
+            runs += [(DOC, part, rank, n, pairs), (SLOT, other, first, n, pairs)]
+            rank, left, pairs = rank + n, left - n, pairs + n
+            open_slots[-1][1:] = [first + n, free - n]
+            if n == free:
+                open_slots.pop()
+        if n := counts.get((part, SLOT), 0):
+            open_slots.append([part, 0, n])
+    if not runs:
+        return found.where(F.col("kind") != SLOT).select("kind", "sequence_id", "gap", "item", "length")
+    spans = found.sparkSession.createDataFrame(runs, "kind long, part long, first long, n long, pair long")
+    over = found.where(F.col("kind") != PAIR).join(F.broadcast(spans), ["kind", "part"], "left").where(F.col("n").isNull() | F.col("rank").between(F.col("first"), F.col("first") + F.col("n") - 1))
+    over = over.withColumn("pair", F.col("pair") + F.col("rank") - F.col("first"))
+    met = over.where((F.col("kind") == DOC) & F.col("pair").isNotNull()).select("pair", "item", "length").join(over.where((F.col("kind") == SLOT) & F.col("pair").isNotNull()).select("pair", "sequence_id", "gap"), "pair")
+    # a range's pieces meet slots from the first rank on, so what is beyond its ranks that meet one found none
+    ends = F.broadcast(spans.where(F.col("kind") == DOC).groupBy("part").agg(F.sum("n").alias("met")))
+    alone = found.where(F.col("kind") == DOC).join(ends, "part", "left").where(F.col("rank") >= F.coalesce("met", F.lit(0)))
+    names = ["kind", "sequence_id", "gap", "item", "length"]
+    return found.where(F.col("kind") == PAIR).select(*names).unionByName(met.select(F.lit(PAIR).cast("long").alias("kind"), *names[1:])).unionByName(alone.select(*names))
+
+
+def places(docs: DataFrame, gaps: DataFrame, capacity: int, few: int) -> list[DataFrame]:
+    """item, sequence_id, offset of all pieces of docs (item, length; at most half the capacity), round by round. gaps: sequence_id, gap.
+
+    A class of lengths at a time, the longest first. A round offers the gaps as slots to the class's pieces, best fit by
+    best fit (sweep()), then takes what was placed from the gaps; with the next round they are sorted anew. When no gap is
+    left that holds any of the pieces, as many sequences begin as these fill at least.
+    """
+    out: list[DataFrame] = []
+    begun = 0
+    for low, top in classes(capacity):
+        mine = docs.where((F.col("length") > low) & (F.col("length") <= top))
+        while True:
+            of_class = mine.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("sum"), F.min("length").alias("least")).first()
+            shorter = docs.where(F.col("length") <= low)
+            rest = shorter.agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least")).first()
+            if not of_class["n"]:
+                break
+            gaps = gaps.where(F.col("gap") >= min(x for x in (of_class["least"], rest["least"]) if x))
+            fitting = gaps.where(F.col("gap") >= of_class["least"])
+            n, held = fitting.count(), gaps.count()
+            if of_class["n"] + rest["n"] + held <= few:
+                return [*out, finish(mine.select("item", "length").unionByName(shorter.select("item", "length")), gaps, capacity)]
+            if not n:
+                more = -(-of_class["sum"] // capacity)
+                gaps = gaps.unionByName(docs.sparkSession.range(begun + 1, begun + more + 1).select((-F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+                begun += more
+                continue
+            found = written(sweep(mine, fitting, top, 1 + of_class["n"] // n), "round")
+            pairs = found.where(F.col("kind") == PAIR)
+            # a sequence gets so many pieces a round as it has tokens at most
+            kept = pairs.groupBy("sequence_id", "gap").agg(F.array_sort(F.collect_list(F.struct("item", "length"))).alias("p"))
+            taken = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+            offsets = F.transform("p", lambda x, i: F.struct(x["item"].alias("item"), (F.lit(capacity) - F.col("gap") + F.aggregate(F.slice("p", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["length"])).alias("offset")))
+            kept = written(kept.select("sequence_id", taken.alias("taken"), offsets.alias("p")), "placed")
+            out.append(kept.select("sequence_id", F.explode("p").alias("x")).select("x.item", "sequence_id", "x.offset"))
+            gaps = written(gaps.join(kept.select("sequence_id", "taken"), "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
+            mine = found.where(F.col("kind") == DOC).select("item", "length")
+    return out
 
-    return ranked.select(*names, "rank").mapInArrow(run, schema + ", sequence_id long, offset long")
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, few: int = FEW) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Pieces over half the capacity begin a sequence each; the others are placed in rounds over the cluster (see places()),
+    of which a few score are enough whatever the number of documents. No task holds more than a range of sizes, or `few`
+    pieces and gaps. A null text is empty and makes a piece of the end's id alone. Repeated rows are packed each. An empty
+    table gives no pieces. Other columns don't matter.
+    """
+    cut = written(pieces(docs, key, text, path, capacity, end), "pieces")
+    half = capacity // 2
+    long = cut.where(F.col("length") > half)
+    found = places(cut.where(F.col("length") <= half).select("item", "length"), long.select(F.col("item").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0"), capacity, few)
+    out = long.withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
+    if found:
+        placed = functools.reduce(DataFrame.unionByName, found)
+        out = out.unionByName(cut.where(F.col("length") <= half).join(placed, "item").select(*cut.columns, "sequence_id", "offset"))
+    return out.drop("item")
