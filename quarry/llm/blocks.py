@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.llm.common import written
 
@@ -23,9 +24,11 @@ from quarry.llm.common import written
 BLOCK_BYTES = 4 << 20
 #: What a document counts besides its text, so that a block of empty ones ends.
 EACH_BYTES = 16
-#: About so many bytes of text fall to a bucket; there are so many buckets at most.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 14
-SENT = "block long, bucket int, kind int, keys binary"
+#: About so many bytes of text fall to a bucket.
+BUCKET_BYTES = 16 << 20
+#: From this size on, blocks grow with the root of the text and buckets with the root of that, as their product is what the shuffle's rows shrink by.
+LARGE = 256 << 30
+SENT = "block long, bucket int, kind int, keys binary, checks binary"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -38,8 +41,31 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), kind)
 
 
+def sorted_packed(x: np.ndarray) -> bytes:
+    """packed() for sorted 64-bit numbers: their differences, byte by byte, of which the upper ones are 0."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return packed(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def sorted_unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpacked(x, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def scale(size: int) -> float:
+    return max(1.0, size / LARGE) ** 0.5
+
+
+def table_bytes(df: DataFrame) -> int:
+    """What Spark takes the table's size for: its files, mostly."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def block_table(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_bytes, n_docs, docs: the key and text (null as empty) of a block's documents, compressed; written to the shared folder, so blocks stay as they are."""
+    """block, n_bytes, n_docs, docs: the key and text (null as empty) of a block's documents, compressed; written to the shared folder, so blocks stay as they are.
+
+    Blocks have block_bytes of text; of tables over LARGE they are larger, some 60 MB at 100 TB, where workers need a few GB.
+    """
+    block_bytes = int(block_bytes * scale(table_bytes(docs.select(text))))
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = TaskContext.get().partitionId() << 32
@@ -91,9 +117,9 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_count(blocks: DataFrame) -> int:
-    """A power of 2, in proportion to the text."""
+    """A power of 2, in proportion to the text up to LARGE, and then to less."""
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return min(MOST_BUCKETS, 1 << max(3, (size // BUCKET_BYTES).bit_length()))
+    return 1 << max(3, int(size / (BUCKET_BYTES * scale(size) ** 0.5)).bit_length())
 
 
 def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -119,9 +145,14 @@ def rows_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (block, bucket, kind, keys) as SENT."""
-    block, bucket, kind, keys = zip(*rows) if rows else ((), (), (), ())
-    return rows_of({"block": (block, pa.int64()), "bucket": (bucket, pa.int32()), "kind": (kind, pa.int32()), "keys": (keys, pa.binary())})
+    """Rows (block, bucket, kind, keys, checks) as SENT."""
+    block, bucket, kind, keys, checks = zip(*rows) if rows else ((),) * 5
+    return rows_of({"block": (block, pa.int64()), "bucket": (bucket, pa.int32()), "kind": (kind, pa.int32()), "keys": (keys, pa.binary()), "checks": (checks, pa.binary())})
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type in which a column of a table comes to and from Python, whatever it is."""
+    return to_arrow_schema(df.select(df[f"`{column}`"]).schema).field(0).type
 
 
 def per_block(blocks: DataFrame, run: Callable[[int, bytes], pa.RecordBatch], schema: str) -> DataFrame:

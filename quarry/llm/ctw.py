@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, rows_of, text_bytes, unpacked
+from quarry.llm.blocks import arrow_type, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, rows_of, text_bytes, unpacked
 from quarry.llm.common import written
 
 #: Bytes of context; the tree's leaves are at this depth.
@@ -259,6 +259,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     above = [(np.exp(own - np.log(2) - weighed(own, root[2])), (root[1] + 0.5) / (root[0] + root[1] + 1)), first]
     grams = per_block(blocks, send_grams(False), SENT).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer_grams, SENT)
     answers = words.where("block >= 0").unionByName(grams)
-    key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    shape = pa.schema(list(zip(names, [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])))
+    shape = pa.schema(list(zip(names, [arrow_type(docs, key), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])))
     return per_block_with(blocks, answers, last, f"doc_id {kind}, {RESULT}", shape)

@@ -1,75 +1,142 @@
 """Suffix-array dedup over prefix-free parsing: bytes in strings that stand more than once in the corpus.
 
-A rolling hash over 8 bytes makes triggers: where it is least within REACH places either way. They lie REACH to a few
-times REACH apart, so every string holds several, and cut each document into phrases; a phrase reaches over the next
-trigger and what decided on it. Equal text is parsed equally, so what the corpus holds more than once shows in the
-dictionary (the distinct phrases) and the parse (their sequence):
+A rolling hash over 8 bytes makes triggers: where it is least within REACH places either way. The window that decides on a
+trigger, WINDOW bytes, is what two phrases share: a phrase goes from one window's start to the next one's end. Equal text
+is parsed equally, and no phrase's suffix of more than a window begins another one. A block of documents is parsed into its
+dictionary (the distinct phrases) and its parse (their sequence), and both are put in suffix order:
 
-- a string that holds a phrase, with what decided on its two triggers, of which there is one only is unique;
+- the dictionary's suffixes by their bytes, so that phrases and suffixes have ranks in the alphabet's order;
+- the parse's suffixes by their phrases' ranks, by prefix doubling.
+
+A place in the text has the rank of the dictionary suffix that starts there and that of the parse's suffix after it. In
+the order of these two, strings of equal bytes are neighbours: that is the block's order, and it tells which strings the
+block has, exactly. Over all blocks, buckets merge them in the order of fingerprints, as from there on it only matters
+what is equal. So that few strings have to be merged, the dictionary and the parse are merged first:
+
+- a string that holds a phrase of which there is one only is unique;
 - a parse suffix, cut where it has covered a string's length beyond its first phrase, tells of all strings that start in
   that phrase: if the cut suffix stands twice, all of them do. One key stands for a whole phrase's strings.
 
-What neither decides lies at the ends of repeats: there the strings themselves (a dictionary suffix, then the parse) are
-put in order, against one occurrence of each repeated parse suffix. The order is that of 64-bit fingerprints, dealt
-over the cluster by blocks.py, as only equal neighbours matter here and not which comes first.
+What neither decides lies at the ends of repeats: there the strings themselves are merged, against one occurrence of each
+repeated parse suffix. A fingerprint is 64 bits of one hash, by which it is dealt and sorted, and 31 of another of a
+different kind, by which equal ones are checked. Both draw their constants anew for each run.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import secrets
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.blocks import SENT, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, sent_batch, text_bytes, unpacked
+from quarry.llm.blocks import SENT, arrow_type, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, sent_batch, sorted_packed, sorted_unpacked, text_bytes, unpacked
 from quarry.llm.common import written
 
-#: A string's bytes; those of a trigger; how far around a trigger's hash is the least.
+#: A string's bytes; those of a trigger; how far around a trigger's hash is the least; what decides on a trigger.
 LENGTH, TRIGGER, REACH = 200, 8, 20
+WINDOW = REACH + TRIGGER + REACH
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: The second hash is taken modulo this prime.
+PRIME = np.uint64((1 << 31) - 1)
 PHRASES, CONTEXTS, STRINGS = 0, 1, 2
 #: A block's texts; several numbers are held for each byte.
 BLOCK_BYTES = 3 << 20
 
 
-@functools.cache
-def _letters() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64), 77)
+@functools.lru_cache(2)
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a seed: the letters' numbers, the powers of a multiplier and their inverses modulo 2**64, and the same of another modulo PRIME."""
+    letters = mixed(np.arange(1, 257, dtype=np.uint64), seed)
+    base = int(mixed(np.array([seed], np.uint64), 5)[0]) | 1
+    up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
+    small = int(mixed(np.array([seed], np.uint64), 6)[0]) % (int(PRIME) - 1000) + 500
 
+    def powers(x: int) -> np.ndarray:
+        out, have = np.ones(n, np.uint64), 1
+        while have < n:
+            step = min(have, n - have)
+            out[have : have + step] = out[:step] * np.uint64(pow(x, have, int(PRIME))) % PRIME
+            have += step
+        return out
 
-@functools.lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and their inverses modulo 2**64."""
-    up, down = np.full(n, MULTIPLIER, np.uint64), np.full(n, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)), np.uint64)
-    up[:1] = down[:1] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return letters, np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), powers(small), powers(pow(small, -1, int(PRIME)))
 
 
 class Fingerprints:
-    """Of any substring, from sums of its letters times powers: f(a, b) doesn't depend on where the substring stands."""
+    """Of any substring, from sums of its letters times powers, two hashes that don't depend on where it stands. bits: how many the first one has."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, seed: int, bits: int = 64) -> None:
         n = 1 << max(16, int(len(flat) + 1).bit_length())
-        up, self.down = _powers(n)
-        self.sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(_letters()[flat] * up[: len(flat)], out=self.sums[1:])
+        letters, up, self.down, small, self.small_down = _powers(n, seed)
+        self.mask = np.uint64(((1 << 64) - 1) ^ ((1 << (65 - bits)) - 1 | 1))
+        self.sums, self.small = np.zeros(len(flat) + 1, np.uint64), np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(letters[flat] * up[: len(flat)], out=self.sums[1:])
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * small[: len(flat)] % PRIME, out=self.small[1:])
 
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * MULTIPLIER) & ~np.uint64(1)
+    def __call__(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        size = (b - a).astype(np.uint64) + np.uint64(1 << 40) * np.asarray(salt, np.uint64)
+        first = mixed((self.sums[b] - self.sums[a]) * self.down[a] + size * MULTIPLIER) & self.mask
+        second = (self.small[b] - self.small[a]) % PRIME * self.small_down[a] + size
+        return first, (second % PRIME).astype(np.uint32)
 
 
 class Parse(NamedTuple):
-    start: np.ndarray  # of each phrase
+    start: np.ndarray  # of each phrase: its first trigger window's, or the document's
     next: np.ndarray  # where the next phrase or document starts
-    end: np.ndarray  # of the phrase, over the next trigger and what decided on it
+    end: np.ndarray  # of the phrase, with the window that it shares with the next
     first: np.ndarray  # whether it starts its document
-    doc_start: np.ndarray
     doc_end: np.ndarray
 
 
+def ranks(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The substrings' places in the alphabet's order, by LENGTH bytes at most; equal ones have equal places, and what begins another comes first.
+
+    Eight bytes at a time; only what is not told apart yet goes on.
+    """
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(flat) + 1,), ">u8", padded.data, strides=(1,))
+    size = np.minimum(end - start, LENGTH)
+    rank = np.zeros(len(start), np.int64)
+    tied = np.arange(len(start))
+    for at in range(0, LENGTH, 8):
+        left = np.clip(size[tied] - at, 0, 8)
+        word = words[np.minimum(start[tied] + at, len(flat))].astype(np.uint64)
+        gone = ((8 - left) * 8).astype(np.uint64)
+        word = np.where(left > 0, word >> np.minimum(gone, np.uint64(63)) << np.minimum(gone, np.uint64(63)), 0)
+        order = np.lexsort((left, word, rank[tied]))
+        tied, word, left = tied[order], word[order], left[order]
+        old = rank[tied]
+        new_old = np.concatenate([[True], old[1:] != old[:-1]])
+        new = new_old | np.concatenate([[True], (word[1:] != word[:-1]) | (left[1:] != left[:-1])])
+        index = np.arange(len(tied))
+        rank[tied] = old + np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(new_old, index, 0))
+        several = ~(new & np.concatenate([new[1:], [True]])) & (left == 8)
+        tied = tied[several]
+        if not len(tied):
+            break
+    return rank
+
+
+def parse_ranks(rank: np.ndarray, p: Parse) -> np.ndarray:
+    """The suffix order of the parse, by as many phrases as a string may reach into: prefix doubling over the phrases' ranks. A place more, of rank 0, for what is behind the last."""
+    n = len(rank)
+    out = np.append(rank + 1, 0)
+    doc = np.append(np.cumsum(p.first), 0)
+    step = 1
+    while step * (REACH + 1) < LENGTH:  # triggers are REACH + 1 places apart at least
+        after = np.minimum(np.arange(n) + step, n)
+        follow = np.where(doc[after] == doc[:n], out[after], 0)
+        _, back = np.unique(out[:n] * (int(out.max(initial=0)) + 1) + follow, return_inverse=True)
+        out = np.append(back + 1, 0)
+        step *= 2
+    return out
+
+
 def triggers(flat: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """The places whose hash is less than those of the REACH places before in the document, and at most those of the REACH after."""
     n, none = len(flat), np.uint32(0xFFFFFFFF)
@@ -93,21 +160,17 @@ def triggers(flat: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray) ->
 
 
 def parse(flat: np.ndarray, starts: np.ndarray) -> Parse:
-    """The phrases of documents that stand after one another; starts: of each, and the end. Empty documents have none."""
+    """The phrases of documents that stand after one another; starts: of each, and the end. Empty documents have none. Windows that a document's end cuts are none."""
     n = len(flat)
     doc_starts = np.unique(starts[:-1][starts[1:] > starts[:-1]])
     doc_ends = np.append(doc_starts[1:], n)[: len(doc_starts)]
-    start = np.union1d(doc_starts, triggers(flat, doc_starts, doc_ends))
+    windows = triggers(flat, doc_starts, doc_ends) - REACH
+    doc = np.searchsorted(doc_starts, windows + REACH, "right") - 1
+    windows = windows[(windows > doc_starts[doc]) & (windows + WINDOW <= doc_ends[doc])]
+    start = np.union1d(doc_starts, windows)
     doc = np.searchsorted(doc_starts, start, "right") - 1
     following = np.append(start[1:], n)[: len(start)]
-    return Parse(start, following, np.minimum(following + TRIGGER + REACH, doc_ends[doc]), np.isin(start, doc_starts, assume_unique=True), doc_starts[doc], doc_ends[doc])
-
-
-def phrases(p: Parse) -> tuple[np.ndarray, np.ndarray]:
-    """Where the phrases between two triggers start and end, with what decided on the triggers, that a string can hold."""
-    start, end = p.start - REACH, p.next + TRIGGER + REACH
-    good = ~p.first & (start >= p.doc_start) & (p.next < p.doc_end) & (end <= p.doc_end) & (end - start <= LENGTH)
-    return start[good], end[good]
+    return Parse(start, following, np.minimum(following + WINDOW, doc_ends[doc]), np.isin(start, doc_starts, assume_unique=True), doc_ends[doc])
 
 
 def contexts(p: Parse) -> tuple[np.ndarray, np.ndarray]:
@@ -118,46 +181,63 @@ def contexts(p: Parse) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(has), np.minimum(p.end[np.minimum(to, len(p.end) - 1)], p.doc_end[has])
 
 
-def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, where each stands first, and for each key its place among them; of the distinct, the lowest bit says whether there are several."""
-    found, first, back, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return found | (count > 1).astype(np.uint64), first, back
+class Keys(NamedTuple):
+    """Distinct fingerprints in order; of the first hash, the lowest bit says whether several places have them."""
+
+    keys: np.ndarray
+    checks: np.ndarray
+    first: np.ndarray  # where each stands first
+    back: np.ndarray  # of each place, which it has
+
+
+def keyed(keys: np.ndarray, checks: np.ndarray, many: np.ndarray | None = None) -> Keys:
+    """many: which places stand for several."""
+    order = np.lexsort((checks, keys))
+    a, b = keys[order], checks[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    several = np.diff(np.append(at, len(a))) > 1
+    if many is not None:
+        several |= np.bincount(back, many, len(at)) > 0
+    return Keys(a[at] | several.astype(np.uint64), b[at], order[at], back)
 
 
-def _send(block: int, kind: int, keys: np.ndarray, buckets: int) -> list[tuple]:
-    return [(block, bucket, kind, packed(keys[part])) for bucket, part in dealt(keys, buckets)]
+def _send(block: int, kind: int, k: Keys, buckets: int) -> list[tuple]:
+    return [(block, bucket, kind, sorted_packed(k.keys[part]), packed(k.checks[part])) for bucket, part in dealt(k.keys, buckets)]
 
 
 class Block:
-    """A block's parse and keys."""
+    """A block's dictionary, parse and keys."""
 
-    def __init__(self, docs: bytes) -> None:
+    def __init__(self, docs: bytes, seed: int, bits: int = 64) -> None:
         self.keys, text = block_docs(docs)
         self.flat, self.starts = text_bytes(text)
         self.parse = p = parse(self.flat, self.starts)
-        self.prints = Fingerprints(self.flat)
-        self.phrase_start, self.phrase_end = phrases(p)
-        self.phrases, _, self.phrase_at = _unique(self.prints(self.phrase_start, self.phrase_end))
+        self.prints = Fingerprints(self.flat, seed, bits)
+        inner = np.flatnonzero(~p.first & (p.end == p.next + WINDOW) & (p.end - p.start <= LENGTH))  # between two windows, and a string can hold it
+        self.phrase_start, self.phrase_end = p.start[inner], p.end[inner]
+        self.phrases = keyed(*self.prints(self.phrase_start, self.phrase_end))
         self.context, to = contexts(p)
         # the first phrase's length is part of the key: one occurrence then has all the strings of the others
-        first = (p.next - p.start)[self.context].astype(np.uint64)
-        self.contexts, self.context_first, self.context_at = _unique(mixed(self.prints(p.start[self.context], to) + first, 3) & ~np.uint64(1))
+        self.contexts = keyed(*self.prints(p.start[self.context], to, (p.next - p.start)[self.context]))
 
     def decided(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """By phrases and parse suffixes: the places whose strings are repeated, and those whose strings are to be compared (the undecided, and one occurrence of each repeated suffix)."""
         p, n = self.parse, len(self.flat)
         phrase, context = answer(answers, PHRASES), answer(answers, CONTEXTS)
         edges = np.zeros(n + 1, np.int32)
-        alone = phrase[self.phrase_at] & 1 == 0
+        alone = phrase[self.phrases.back] & 1 == 0
         start, end = self.phrase_start[alone], self.phrase_end[alone]
         low, high = np.maximum(end - LENGTH, self.starts[np.searchsorted(self.starts, start, "right") - 1]), start + 1
         edges += np.bincount(low, minlength=n + 1).astype(np.int32) - np.bincount(high, minlength=n + 1).astype(np.int32)
         unique = np.cumsum(edges[:n]) > 0
         # all places in a phrase share its suffix's answer: bit 0 repeated, bit 1 to be compared for the others
         state = np.zeros(len(p.start), np.uint8)
-        repeated = context[self.context_at] & 1 > 0
+        repeated = context[self.contexts.back] & 1 > 0
         state[self.context] = 4 + repeated
-        donor = self.context_first[context & 2 > 0]
+        donor = self.contexts.first[context & 2 > 0]
         state[self.context[donor]] |= 2
         spread = np.repeat(state, p.next - p.start)
         last = np.repeat(p.doc_end, p.next - p.start) - LENGTH
@@ -165,10 +245,37 @@ class Block:
         known = fits & (spread & 1 > 0)
         return known, fits & ~unique & (~known | (spread & 2 > 0))
 
-    def strings(self, compare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def order(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the block's suffix order, and whether each one's string differs from that of the place before it."""
+        p = self.parse
+        rank = ranks(self.flat, p.start, p.end)  # of the dictionary's phrases
+        follow = parse_ranks(rank, p)
+        phrase = np.searchsorted(p.start, at, "right") - 1
+        # the dictionary's suffixes that start at the places, each once
+        offset = at - p.start[phrase]
+        _, one, back = np.unique(rank[phrase] * (int(offset.max(initial=0)) + 1) + offset, return_index=True, return_inverse=True)
+        suffix = ranks(self.flat, at[one], p.end[phrase[one]])[back]
+        after = follow[np.where(p.end[phrase] < p.doc_end[phrase], phrase + 1, len(rank))]
+        order = np.lexsort((after, suffix))
+        a, b = at[order[:-1]], at[order[1:]]
+        same = suffix[order[1:]] == suffix[order[:-1]]
+        look = np.flatnonzero(same & (after[order[1:]] != after[order[:-1]]))  # the phrases after may differ beyond the strings' ends
+        words = np.ndarray((max(0, len(self.flat) - 7),), "<u8", np.ascontiguousarray(self.flat).data, strides=(1,))
+        for step in range(LENGTH - 8, -1, -8):
+            equal = words[a[look] + step] == words[b[look] + step]
+            same[look[~equal]] = False
+            look = look[equal]
+        return order, np.concatenate([[True], ~same])[: len(order)]
+
+    def strings(self, compare: np.ndarray) -> tuple[Keys, np.ndarray, np.ndarray]:
+        """The keys of the distinct strings to be compared, the places, and which key each has."""
         at = np.flatnonzero(compare)
-        keys, _, back = _unique(self.prints(at, at + LENGTH))
-        return keys, at, back
+        order, new = self.order(at)
+        group = np.empty(len(at), np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = at[order[new]]
+        found = keyed(*self.prints(one, one + LENGTH), np.bincount(group, minlength=len(one)) > 1)
+        return found, at, found.back[group]
 
 
 def answer(rows: list[dict], kind: int) -> np.ndarray:
@@ -179,49 +286,45 @@ def answer(rows: list[dict], kind: int) -> np.ndarray:
 
 def compare_keys(table: pa.Table) -> pa.Table:
     """A bucket's keys from all blocks, put in order. Each block's answer: bit 0 for a key that stands twice or more, bit 1 as well where it is the first of them."""
-    rows = sorted(table.select(["block", "bucket", "kind", "keys"]).to_pylist(), key=lambda r: r["block"])
-    parts = [unpacked(r["keys"], "<u8") for r in rows]
-    keys = np.concatenate(parts)
-    several, plain = keys & np.uint64(1), keys & ~np.uint64(1)
-    order = np.argsort(plain, kind="stable")
-    sorted_keys = plain[order]
-    first = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
-    group = np.cumsum(first) - 1
-    repeated = (np.bincount(group) > 1) | (np.bincount(group, several[order]) > 0)
-    bits = np.empty(len(keys), np.uint8)
-    bits[order] = repeated[group] * (1 + 2 * first.astype(np.uint8))
+    rows = sorted(table.select(["block", "bucket", "kind", "keys", "checks"]).to_pylist(), key=lambda r: r["block"])
+    parts = [sorted_unpacked(r["keys"]) for r in rows]
+    keys, checks = np.concatenate(parts), np.concatenate([unpacked(r["checks"], "<u4") for r in rows])
+    k = keyed(keys & ~np.uint64(1), checks, keys & np.uint64(1) > 0)
+    bits = (k.keys & np.uint64(1)).astype(np.uint8)[k.back]
+    bits[k.first] *= 3
     ends = np.cumsum([len(x) for x in parts])
-    return pa.Table.from_batches([sent_batch([(r["block"], r["bucket"], r["kind"], packed(bits[e - len(x) : e])) for r, x, e in zip(rows, parts, ends)])])
+    return pa.Table.from_batches([sent_batch([(r["block"], r["bucket"], r["kind"], packed(bits[e - len(x) : e]), b"") for r, x, e in zip(rows, parts, ends)])])
 
 
 def _sent_schema() -> pa.Schema:
     return sent_batch([]).schema
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte of a string of 200 bytes that starts at another place of the corpus as well, the same document
     included, overlaps too. Strings lie within a document and are judged on the input. A null text is empty; documents
     of under 200 bytes keep all. Equal rows give equal results, all removed if they are long enough. Whole texts are
-    parsed, in blocks; an empty table gives no rows; other columns don't matter.
+    parsed, in blocks; an empty table gives no rows; other columns don't matter. Strings of different blocks are the same
+    if both their hashes are; bits: how many bits the first one has (few of them leave the decision to the second).
     """
     blocks = block_table(docs, key, text, block_bytes)
     buckets = bucket_count(blocks)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, seed = docs.schema[key].dataType.simpleString(), secrets.randbits(62)
 
     def first(block: int, held: bytes) -> pa.RecordBatch:
-        b = Block(held)
+        b = Block(held, seed, bits)
         return sent_batch(_send(block, PHRASES, b.phrases, buckets) + _send(block, CONTEXTS, b.contexts, buckets))
 
     def second(block: int, held: bytes, answers: list[dict]) -> pa.RecordBatch:
-        b = Block(held)
+        b = Block(held, seed, bits)
         return sent_batch(_send(block, STRINGS, b.strings(b.decided(answers)[1])[0], buckets))
 
     def last(block: int, held: bytes, answers: list[dict]) -> pa.RecordBatch:
-        b = Block(held)
+        b = Block(held, seed, bits)
         known, compare = b.decided(answers)
-        keys, at, back = b.strings(compare)
+        _, at, back = b.strings(compare)
         found = at[answer(answers, STRINGS)[back] & 1 > 0]
         n = len(b.flat)
         edges = np.zeros(n + 1, np.int32)
@@ -244,8 +347,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         return pa.RecordBatch.from_arrays([b.keys, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    shape = pa.schema([("doc_id", key_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    shape = pa.schema([("doc_id", arrow_type(docs, key)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     by = ["bucket", "kind"]
     parsed = written(per_block(blocks, first, SENT).groupBy(*by).applyInArrow(compare_keys, SENT), "parse")
     sent = per_block_with(blocks, parsed, second, SENT, _sent_schema())

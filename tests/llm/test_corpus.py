@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm import ctw, dartminhash, maxscore, mixing, packing, pfp, sharding
+from quarry.llm import blocks, ctw, dartminhash, maxscore, mixing, packing, pfp, sharding
 from tests.llm.helpers import by_id, frame, words
 
 
@@ -249,8 +249,9 @@ def dedup_of(given):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [3000, 1 << 20])
-def test_pfp(spark, sf_dir, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "bits"), [(3000, 64), (1 << 20, 64), (3000, 6)])
+def test_pfp(spark, sf_dir, block_bytes, bits):
+    """bits: with 6 of them, all strings share their first hashes with others, and only the second tells them apart."""
     import random
 
     rng = random.Random(1)
@@ -258,7 +259,39 @@ def test_pfp(spark, sf_dir, block_bytes):
     odd = [(i, base[(a := rng.randrange(2000)) : a + rng.randrange(1000)] + "".join(rng.choice("abcdé \n") for _ in range(rng.randrange(300)))) for i in range(40)]
     odd += [(101, ""), (102, "a" * 199), (103, "a" * 200), (104, "b" * 201), (105, "xy" * 500), (106, base[:200]), (107, base[1:201])]
     for docs in (frame(spark), spark.createDataFrame(odd, "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/documents.parquet")):
-        assert Counter(tuple(r) for r in pfp.dedup(docs, block_bytes=block_bytes).collect()) == dedup_of([(r["doc_id"], r["text"]) for r in docs.collect()])
+        assert Counter(tuple(r) for r in pfp.dedup(docs, block_bytes=block_bytes, bits=bits).collect()) == dedup_of([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_suffix_orders():
+    """The dictionary's suffixes by their bytes; a block's places in the order of their suffixes, strings of equal bytes together."""
+    rng = np.random.default_rng(4)
+    flat = rng.integers(97, 99, 4000).astype(np.uint8)
+    start = rng.integers(0, 4000, 300)
+    end = np.minimum(start + rng.integers(1, 260, 300), 4000)
+    held = [flat[a : min(b, a + 200)].tobytes() for a, b in zip(start, end)]
+    assert pfp.ranks(flat, start, end).tolist() == [sum(y < x for y in held) for x in held]
+    parts = [rng.integers(97, 123, 500).astype(np.uint8) for _ in range(6)]
+    texts = [np.concatenate([parts[i] for i in rng.integers(0, 6, rng.integers(1, 8))]).tobytes() for _ in range(12)] + [b"a" * 900, b"ab" * 500, b"", b"x" * 199]
+    b = object.__new__(pfp.Block)
+    b.flat, b.starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    b.parse = pfp.parse(b.flat, b.starts)
+    at = np.concatenate([np.arange(s, e - 199) for s, e in zip(b.starts[:-1], b.starts[1:]) if e - s >= 200])
+    order, new = b.order(at)
+    strings = [b.flat[i : i + 200].tobytes() for i in at[order]]
+    assert strings == sorted(strings) and new.tolist() == [not k or strings[k] != strings[k - 1] for k in range(len(strings))]
+
+
+def test_blocks_of_large_tables(spark, monkeypatch):
+    """Blocks and buckets over the size from which they grow; keys of other types than long."""
+    monkeypatch.setattr(blocks, "LARGE", 1000)
+    docs = frame(spark).where("doc_id IS NOT NULL")
+    want = Counter((str(r[0]), *r[1:]) for r in pfp.dedup(docs).collect())
+    assert want == dedup_of([(str(r["doc_id"]), r["text"]) for r in docs.collect()])
+    scores = {str(r["doc_id"]): r["score"] for r in ctw.score(docs).collect()}
+    for kind in ("string", "smallint", "decimal(10,0)"):
+        typed = docs.withColumn("doc_id", docs["doc_id"].cast(kind))
+        assert Counter((str(r[0]), *r[1:]) for r in pfp.dedup(typed, block_bytes=500).collect()) == want
+        assert {str(r["doc_id"]): r["score"] for r in ctw.score(typed, block_bytes=500).collect()} == pytest.approx(scores)
 
 
 def check_places(got):
