@@ -32,7 +32,9 @@ IMPORTS = {
     "include": (r"""^\s*#\s*include\s+[<"]([^>"]+)[>"]""",),
     "rust": (r"^\s*use\s+([A-Za-z_][\w:]*)(?:\s+as\s+\w+)?\s*;",),
 }
-PYTHON_IMPORT, PYTHON_FROM = r"^\s*import\s+(.+)$", r"^\s*from\s+([.\w]+)\s+import\s+(.+)$"
+#: Python's two forms of imports.
+PYTHON_IMPORT = r"^\s*import\s+(.+)$"
+PYTHON_FROM = r"^\s*from\s+([.\w]+)\s+import\s+(.+)$"
 #: Languages and their family; others, and none, look for all.
 FAMILIES = {
     "python": ("python",), "javascript": ("js",), "typescript": ("js",), "tsx": ("js",), "jsx": ("js",), "go": ("go",), "rust": ("rust",), "java": ("java",), "kotlin": ("java",), "scala": ("java",),

@@ -154,7 +154,7 @@ def _has(e: str, pattern: str) -> str:
 
 def is_test_file(p: str) -> str:
     s = slashes(p)
-    return f"({_has(f'lower({s})', paths.TEST_PATHS[0])} OR {_has(f'lower({s})', paths.TEST_PATHS[1])} OR {_has(file_name(s), paths.TEST_NAME)} OR {_has(s, paths.TEST_DIR)})"
+    return f"({_has(f'lower({s})', paths.TEST_FILE)} OR {_has(f'lower({s})', paths.TEST_DIR)} OR {_has(file_name(s), paths.TEST_NAME)} OR {_has(s, paths.CAMEL_TEST_DIR)})"
 
 
 def is_generated_file(p: str) -> str:
