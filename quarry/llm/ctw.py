@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import arrow_type, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, rows_of, text_bytes, unpacked
+from quarry.llm.blocks import arrow_type, block_docs, block_table, bucket_count, dealt, mixed, packed, per_block, per_block_with, rows_of, sorted_packed, sorted_unpacked, text_bytes, unpacked
 from quarry.llm.common import written
 
-#: Bytes of context; the tree's leaves are at this depth.
-DEPTH = 4
+#: Bytes of context; the tree's leaves are at this depth. Contexts and nodes are numbers of 64 bits, which is enough for MOST_DEPTH.
+DEPTH, MOST_DEPTH = 5, 6
+#: A bucket's arrays of so many blocks are put together at once, and then the sums of so many.
+TOGETHER = 256
 #: Of crc32(doc_id as text) modulo 7, the remainder that isn't learnt from.
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 4 << 20
@@ -43,13 +45,13 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Tree:
     """The context tree's nodes for some byte strings (context and the byte after it), from one depth to another.
 
-    grams: strings as numbers, the byte just before in the highest of DEPTH + 1 bytes, the byte itself in the lowest.
+    grams: strings as numbers, the byte just before in the highest of depth + 1 bytes, the byte itself in the lowest.
     Each byte is 8 binary decisions; at each, a context has a node of its own: its number is the context and the bits so
     far. A node weighs its own KT estimate against its children's (the contexts one byte longer) evenly, a priori.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> None:
-        byte = (grams & 255).astype(np.int64)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, top: int, depth: int) -> None:
+        byte = (grams & np.uint64(255)).astype(np.int64)
         steps = np.arange(8)
         node = (1 << steps) | (byte[:, None] >> (8 - steps))
         self.bit = ((byte[:, None] >> (7 - steps)) & 1).astype(bool)
@@ -57,7 +59,7 @@ class Tree:
         self.back, self.zeros, self.ones, self.own, self.all, self.keys = {}, {}, {}, {}, {}, {}
         weight = np.repeat(counts.astype(np.float64), 8)
         for d in range(depth, top - 1, -1):
-            context = (grams >> (8 * (depth + 1 - d))).astype(np.int64)
+            context = (grams >> np.uint64(8 * (depth + 1 - d))).astype(np.int64)
             self.keys[d], back = np.unique(context[:, None] * 256 + node, return_inverse=True)
             self.back[d] = back = back.reshape(-1, 8)
             n = len(self.keys[d])
@@ -89,17 +91,18 @@ def weighed(own: np.ndarray, children: np.ndarray) -> np.ndarray:
     return np.logaddexp(own, children) - np.log(2)
 
 
-def keyed(grams: np.ndarray) -> np.ndarray:
-    """A gram's key: a hash of the context's last two bytes above the gram, so that they decide the bucket."""
-    return (mixed(grams >> np.uint64(8 * (DEPTH - 1)), 5) & ~np.uint64((1 << 40) - 1)) | grams
+def dealt_grams(grams: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted grams' order by bucket, then by themselves, and where each bucket's end. The context's last two bytes decide the bucket."""
+    bucket = mixed(grams >> np.uint64(8 * (depth - 1)), 5) >> np.uint64(64 - buckets.bit_length() + 1)
+    return np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable"), np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
 
 
-def grams_of(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """At each byte, it and the DEPTH before it in its document; 0 before the document."""
+def grams_of(flat: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """At each byte, it and the `depth` before it in its document; 0 before the document."""
     at = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
     out = flat.astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        out[back:] |= np.where(at[back:] >= back, flat[:-back], 0).astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
+    for back in range(1, depth + 1):
+        out[back:] |= np.where(at[back:] >= back, flat[:-back], 0).astype(np.uint64) << np.uint64(8 * (depth + 1 - back))
     return out
 
 
@@ -129,30 +132,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _send(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
-    return [(block, bucket, kind, packed(keys[part]), packed(counts[part])) for bucket, part in dealt(keys, buckets)]
+    return [(block, bucket, kind, sorted_packed(keys[part]), packed(counts[part])) for bucket, part in dealt(keys, buckets)]
+
+
+def _send_grams(block: int, grams: np.ndarray, counts: np.ndarray, depth: int, buckets: int) -> list[tuple]:
+    order, ends = dealt_grams(grams, depth, buckets)
+    parts = zip(np.split(order, ends[:-1]), range(buckets))
+    return [(block, bucket, GRAMS, sorted_packed(grams[part]), packed(counts[part] if len(counts) else counts)) for part, bucket in parts if len(part)]
 
 
 def _parts(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's rows by block; their keys and counts after one another, and where each row's end."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    keys, counts = [unpacked(r["keys"], "<u8") for r in rows], [unpacked(r["counts"], "<i8") for r in rows]
+    keys, counts = [sorted_unpacked(r["keys"]) for r in rows], [unpacked(r["counts"], "<i8") for r in rows]
     return rows, np.concatenate(keys), np.concatenate(counts), np.cumsum([len(x) for x in keys])
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, depth: int = DEPTH, together: int = TOGETHER) -> DataFrame:
     """One row per document: doc_id and RESULT.
 
-    score is the log10 probability of the text's bytes under a binary context tree of depth DEPTH learnt from the
+    score is the log10 probability of the text's bytes under a binary context tree of this depth learnt from the
     documents that aren't held out: Krichevsky-Trofimov estimates of all depths, mixed by their posterior weights. Before
     a document's first byte stand zeros. base_score sums log10((c + 1) / (N + V + 1)) over its words and one end.
     A null text is empty (score 0, one token); a null id is learnt from. Equal texts get equal scores; whole texts are
     read, in blocks; an empty table gives no rows; other columns don't matter. Words go by 64-bit hashes.
 
     The tree is never in one place: what has the same last two bytes of context shares a bucket, which holds the subtrees
-    from depth 2 on; depths 0 and 1, 65,792 nodes at most, are put together on the driver and sent to all.
+    from depth 2 on; depths 0 and 1, 65,792 nodes at most, are put together on the driver and sent to all. A bucket's grams
+    come from all blocks: they are summed for `together` blocks at a time, then again their sums, and so on; and they are
+    answered for so many blocks at a time. So a task holds what a subtree has of different grams, however large the corpus
+    and however frequent its two bytes.
     """
+    if not 2 <= depth <= MOST_DEPTH:
+        raise ValueError(f"the depth must be from 2 to {MOST_DEPTH}")
     blocks = block_table(docs, key, text, block_bytes)
     buckets = bucket_count(blocks)
+    n_blocks = blocks.count()
     kind = docs.schema[key].dataType.simpleString()
 
     def send_words(block: int, held: bytes) -> pa.RecordBatch:
@@ -160,7 +175,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         words, learnt = Words(texts), ~is_held_out(keys)
         counts = np.bincount(words.at, learnt[words.doc], len(words.hashes)).astype(np.int64)
         # the ends' count goes to every bucket's row of its own
-        return _batch(_send(block, WORDS, words.hashes, counts, buckets) + [(block, -1, WORDS, packed(np.zeros(1, np.uint64)), packed(np.array([learnt.sum()], np.int64)))])
+        return _batch(_send(block, WORDS, words.hashes, counts, buckets) + [(block, -1, WORDS, sorted_packed(np.zeros(1, np.uint64)), packed(np.array([learnt.sum()], np.int64)))])
 
     def count_words(table: pa.Table) -> pa.Table:
         rows, keys, counts, ends = _parts(table)
@@ -177,29 +192,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         def run(block: int, held: bytes) -> pa.RecordBatch:
             keys, texts = block_docs(held)
             flat, starts = text_bytes(texts)
-            grams = grams_of(flat, starts)
+            grams = grams_of(flat, starts, depth)
             if not counted:
-                return _batch(_send(block, GRAMS, np.sort(keyed(np.unique(grams))), np.zeros(0, np.int64), buckets))
-            learnt = np.repeat(~is_held_out(keys), np.diff(starts))
-            found, counts = np.unique(grams[learnt], return_counts=True)
-            found = keyed(found)
-            order = np.argsort(found)
-            return _batch(_send(block, GRAMS, found[order], counts[order].astype(np.int64), buckets))
+                return _batch(_send_grams(block, np.unique(grams), np.zeros(0, np.int64), depth, buckets))
+            found, counts = np.unique(grams[np.repeat(~is_held_out(keys), np.diff(starts))], return_counts=True)
+            return _batch(_send_grams(block, found, counts.astype(np.int64), depth, buckets))
 
         return run
 
     def sum_grams(table: pa.Table) -> pa.Table:
         rows, keys, counts, _ = _parts(table)
         found, back = np.unique(keys, return_inverse=True)
-        return pa.Table.from_batches([_batch([(-1, rows[0]["bucket"], GRAMS, packed(found), packed(np.bincount(back, counts, len(found)).astype(np.int64)))])])
+        return pa.Table.from_batches([_batch([(rows[0]["block"], rows[0]["bucket"], GRAMS, sorted_packed(found), packed(np.bincount(back, counts, len(found)).astype(np.int64)))])])
 
-    plain = np.uint64((1 << 40) - 1)
+    def summed(sent: DataFrame) -> DataFrame:
+        several = n_blocks
+        while several > 1:
+            several = -(-several // together)
+            sent = sent.groupBy("bucket", F.pmod(F.hash("block", F.lit(several)), F.lit(several))).applyInArrow(sum_grams, SENT)
+            sent = written(sent, "grams")
+        return sent if n_blocks > 1 else written(sent, "grams")
 
     def upper_nodes(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each node of depth 1, what this bucket has below it."""
         for batch in given:
             for r in batch.to_pylist():
-                tree = Tree(unpacked(r["keys"], "<u8") & plain, unpacked(r["counts"], "<i8"), 2)
+                tree = Tree(sorted_unpacked(r["keys"]), unpacked(r["counts"], "<i8"), 2, depth)
                 node = (tree.keys[2] >> 16) * 256 + (tree.keys[2] & 255)
                 found, back = np.unique(node, return_inverse=True)
                 sums = [np.bincount(back, x, len(found)) for x in (tree.zeros[2], tree.ones[2], tree.all[2])]
@@ -207,16 +225,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
 
     def answer_grams(sent: pa.Table, model: pa.Table) -> pa.Table:
         rows = sent.to_pylist()
-        keys = [unpacked(r["keys"], "<u8") for r in rows]
+        keys = [sorted_unpacked(r["keys"]) for r in rows]
         found = np.unique(np.concatenate(keys)) if rows else np.zeros(0, np.uint64)
         out = []
         if len(found):
-            counts = np.zeros(len(found), np.int64)
+            # the nodes need all that was learnt, whether these blocks ask for it or not
+            learnt, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for r in model.to_pylist():
-                learnt, n = unpacked(r["keys"], "<u8"), unpacked(r["counts"], "<i8")
-                counts[np.searchsorted(found, learnt)] = n
-            logs = Tree(found & plain, counts, 2).log10(above)
-            out = [(r["block"], r["bucket"], GRAMS, b"", packed(logs[np.searchsorted(found, x)])) for r, x in zip(rows, keys)]
+                learnt, n = sorted_unpacked(r["keys"]), unpacked(r["counts"], "<i8")
+            every = np.union1d(found, learnt)
+            counts = np.zeros(len(every), np.int64)
+            counts[np.searchsorted(every, learnt)] = n
+            logs = Tree(every, counts, 2, depth).log10(above)
+            out = [(r["block"], r["bucket"], GRAMS, b"", packed(logs[np.searchsorted(every, x)])) for r, x in zip(rows, keys)]
         return pa.Table.from_batches([_batch(out)])
 
     def last(block: int, held: bytes, answers: list[dict]) -> pa.RecordBatch:
@@ -229,15 +250,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         base = np.bincount(words.doc, log(count), n) + log(ends)
         known = np.bincount(words.doc, count > 0, n) + (ends > 0)
         flat, starts = text_bytes(texts)
-        grams = grams_of(flat, starts)
         size = np.diff(starts)
-        # (gram, document) in order: a gram's documents then stand together
-        pairs = np.sort((grams << np.uint64(22)) | np.repeat(np.arange(n, dtype=np.uint64), size))
-        gram = pairs >> np.uint64(22)
-        new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
-        logs = np.empty(int(new.sum()))
-        logs[np.argsort(keyed(gram[new]))] = get(GRAMS, "<f8")
-        sums = np.bincount((pairs & np.uint64((1 << 22) - 1)).astype(np.int64), logs[np.cumsum(new) - 1], n)
+        found, back = np.unique(grams_of(flat, starts, depth), return_inverse=True)
+        logs = np.empty(len(found))
+        logs[dealt_grams(found, depth, buckets)[0]] = get(GRAMS, "<f8")
+        sums = np.bincount(np.repeat(np.arange(n), size), logs[back], n)  # in the order of the bytes, so equal texts have equal sums
         columns = [keys, held_out, words.counts + 1, known.astype(np.int64), np.full(n, total), base, sums, np.where(size > 0, -sums / np.log10(2) / np.maximum(size, 1), 0.0)]
         return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names)
 
@@ -248,7 +265,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         n, v = unpacked(bytes(row["counts"]), "<i8").tolist()
         total, different = total + n, different + v
         ends += n if row["bucket"] == -1 else 0
-    model = written(per_block(blocks, send_grams(True), SENT).groupBy("bucket").applyInArrow(sum_grams, SENT), "grams")
+    model = summed(per_block(blocks, send_grams(True), SENT))
     sums = model.select("keys", "counts").mapInArrow(upper_nodes, "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
     node, zeros, ones, below = (np.array(x) for x in zip(*sums.orderBy("node").collect())) if model.count() else (np.zeros(0, np.int64), *(np.zeros(0),) * 3)
     full = [np.bincount(node.astype(np.int64), x, 65536) for x in (zeros, ones, below)]
@@ -257,7 +274,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     root = [x.reshape(256, 256).sum(0) for x in (full[0], full[1], weighed(own, full[2]))]
     own = log_kt(root[0], root[1])
     above = [(np.exp(own - np.log(2) - weighed(own, root[2])), (root[1] + 0.5) / (root[0] + root[1] + 1)), first]
-    grams = per_block(blocks, send_grams(False), SENT).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer_grams, SENT)
+    slices = max(1, -(-n_blocks // together))
+    asked = per_block(blocks, send_grams(False), SENT).withColumn("slice", F.pmod(F.hash("block"), F.lit(slices)))
+    model = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    grams = asked.groupBy("bucket", "slice").cogroup(model.groupBy("bucket", "slice")).applyInArrow(answer_grams, SENT)
     answers = words.where("block >= 0").unionByName(grams)
     shape = pa.schema(list(zip(names, [arrow_type(docs, key), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])))
     return per_block_with(blocks, answers, last, f"doc_id {kind}, {RESULT}", shape)

@@ -38,24 +38,25 @@ def test_ctw_base(spark, sf_dir):
         assert all(r["score"] == 0 for r in got if r["n_tokens"] == 1 and r["bits_per_byte"] == 0) and all(r["score"] <= 0 for r in got)
 
 
-def test_ctw_is_the_tree(spark):
-    """Against a plain recursive context tree."""
+@pytest.mark.parametrize(("depth", "together"), [(5, 256), (5, 2), (2, 256), (6, 2)])
+def test_ctw_is_the_tree(spark, depth, together):
+    """Against a plain recursive context tree; also when sums and answers are put together from a few blocks at a time."""
     given = [(i, t) for i, t in enumerate(["abab abra", "the cat sat on the mat", "", "the cat", "zq", "the dog sat on the rug", "é"])]
-    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(given, "doc_id long, text string"), block_bytes=30).collect()}
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(given, "doc_id long, text string"), block_bytes=30, depth=depth, together=together).collect()}
     counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
 
     def path(text):
-        b = bytes(ctw.DEPTH) + text.encode()
-        for k in range(ctw.DEPTH, len(b)):
+        b = bytes(depth) + text.encode()
+        for k in range(depth, len(b)):
             for s in range(8):
-                yield [(b[k - d : k], (1 << s) | (b[k] >> (8 - s))) for d in range(ctw.DEPTH + 1)], (b[k] >> (7 - s)) & 1
+                yield [(b[k - d : k], (1 << s) | (b[k] >> (8 - s))) for d in range(depth + 1)], (b[k] >> (7 - s)) & 1
 
     for i, t in given:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             for nodes, bit in path(t):
                 for d, x in enumerate(nodes):
                     counts[x][bit] += 1
-                    if d < ctw.DEPTH:
+                    if d < depth:
                         children[x].add(nodes[d + 1])
 
     def own(x):
@@ -64,7 +65,7 @@ def test_ctw_is_the_tree(spark):
 
     @cache
     def weighed(x):
-        return own(x) if len(x[0]) == ctw.DEPTH else float(np.logaddexp(own(x), sum(weighed(c) for c in children.get(x, ())))) - math.log(2)
+        return own(x) if len(x[0]) == depth else float(np.logaddexp(own(x), sum(weighed(c) for c in children.get(x, ())))) - math.log(2)
 
     def chance(nodes, bit):
         p = None
