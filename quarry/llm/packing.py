@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +29,63 @@ FEW = 1 << 18
 SLOT, DOC, PAIR = 0, 1, 2
 
 
+#: Words whose ids a worker remembers, of so many letters at most.
+REMEMBERED, LETTERS = 1 << 19, 64
+
+
+class Encoder:
+    """The tokenizer of a file, asked for each different word once.
+
+    A byte-level tokenizer cuts a text into words by a pattern and looks at each alone. So the ids of a text are its words'
+    ids, and as words repeat, most needn't be found again. Texts with the tokenizer's own marks, or with letters of which
+    Unicode's versions might differ in opinion, are given to it whole, as are all texts if it works in another way.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        cut = given.get("pre_tokenizer") or {}
+        self.by_word = given.get("normalizer") is None and given.get("post_processor") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+        self.marks = [x["content"] for x in given["added_tokens"]]
+        self.words = regex.compile(public_tokenizers.PATTERN)
+        self.ids: dict[str, bytes] = {}
+        self.plain: set[str] = set()
+        self.odd: set[str] = set()
+
+    def _is_plain(self, text: str) -> bool:
+        letters = set(text) - self.plain
+        for c in letters - self.odd:
+            kind = unicodedata.category(c)
+            good = c in "\t\n\r " or kind[0] not in "ZC" and kind == unicodedata.ucd_3_2_0.category(c)
+            (self.plain if good else self.odd).add(c)
+        return not letters & self.odd and not any(x in text for x in self.marks)
+
+    def __call__(self, given: Sequence[str]) -> list[np.ndarray]:
+        cut = [self.words.findall(x) if self.by_word and self._is_plain(x) else None for x in given]
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        ids = self.ids
+        new = list({w for words in cut if words for w in words if w not in ids})
+        whole = [x for x, words in zip(given, cut) if words is None]
+        found = iter(self.own.encode_batch_fast(new + whole, add_special_tokens=False))
+        ids.update((w, np.asarray(next(found).ids, "<u4").tobytes()) for w in new)
+        out = [np.asarray(next(found).ids, "<u4") if words is None else np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4") for words in cut]
+        for w in new:
+            if len(w) > LETTERS:
+                del ids[w]
+        return out
+
+
 @functools.cache
-def _tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Tokenizer.from_file(path)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(given: Sequence[str], path: str = TOKENIZER) -> list[np.ndarray]:
-    return [np.asarray(x.ids, "<u4") for x in _tokenizer(path).encode_batch_fast(list(given), add_special_tokens=False)]
+    """The ids of each text, as the tokenizer gives them without special tokens."""
+    return _encoder(path)(given)
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:

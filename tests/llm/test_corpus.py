@@ -390,7 +390,11 @@ def test_rounds_over_the_cluster(spark, sizes):
 
 def test_long_runs_encode():
     own = Tokenizer.from_file(packing.TOKENIZER)
-    given = [" " * 3000, "a" * 3000, "\n\n\t x" * 50, "!?" * 900, "<|endoftext|>", "\x00 é😀", ""]
+    given = [" " * 3000, "a" * 3000, "\n\n\t x" * 50, "!?" * 900, "<|endoftext|>", "\x00 é😀", "", "a\u00a0b\u2003c\u3000d\x1ce\x85f", "日本語  テキスト\r\n\t x", "it's we'll I'm don'T 'd", "½ ² Ⅷ ١٢ a1b2", "\U0001fae8\u1c89 x", "  a   b    ", "ǅ ʰ ª ٠"]
+    rng = np.random.default_rng(6)
+    for top in (128, 0x250, 0x3000, 0x11000):
+        given += ["".join(chr(c) for c in rng.integers(0, top, 200) if not 0xD800 <= c < 0xE000) for _ in range(30)]
+        given += ["".join(rng.choice(list(" \n\tab1'.é日")) for _ in range(80)) for _ in range(30)]
     assert [x.tolist() for x in packing.encode(given)] == [own.encode(x, add_special_tokens=False).ids for x in given]
 
 
