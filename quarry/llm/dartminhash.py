@@ -193,18 +193,6 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(roots, "label", "left").select("h", F.coalesce("root", "label").alias("label"))
 
 
-def row_key(id: Column) -> Column:
-    """Never null."""
-    return F.coalesce(F.concat(F.lit("="), id.cast("string")), F.lit("-"))
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents that have an id and a text's hash in wanted (id, h), with `h`; each once, whatever rows repeat."""
-    rows = docs.withColumn("h", text_hash(F.col(text))).withColumn("_k", row_key(F.col(key)))
-    rows = rows.join(wanted.select("h", row_key(F.col("id")).alias("_k")), ["h", "_k"])
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("h", "_k").orderBy(F.lit(0)))).where("_n = 1").drop("_n", "_k")
-
-
 def bounded_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of different labels in a bucket that may be similar, for buckets of up to SMALL texts. rows: band, label, h, weight.
 
@@ -280,11 +268,11 @@ def row_key(id: Column) -> Column:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """h and d, a document's whole row, of the documents that have an id and a text's hash in wanted (id, h); each once, whatever rows repeat. Rows are one column, so no names clash."""
+    """h and d, a document's whole row, of the documents that have an id and a text's hash in wanted (id, h); each once: of rows that are equal in both, the least by its whole text. Rows are one column, so no names clash."""
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
     rows = docs.select(whole.alias("d"), text_hash(F.col(text)).alias("h"), row_key(F.col(key)).alias("k"))
     rows = rows.join(wanted.select("h", row_key(F.col("id")).alias("k")), ["h", "k"])
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("h", "k").orderBy(F.lit(0)))).where("n = 1").select("h", "d")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("h", "k").orderBy(F.col("d").cast("string")))).where("n = 1").select("h", "d")
 
 
 def grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +311,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """Of each class of classes(), the document with the least id (null ids last); the columns of docs. Rows without words stay."""
+    """Of each class of classes(), the document with the least id (null ids last); the columns of docs. Rows without words stay.
+
+    Of rows with the same id and text, the least by all its columns stays, so reruns agree. A null text has no words; an
+    empty table stays empty.
+    """
     rows, named = grouped(docs, key, text, least)
     first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("m")).select("m.id", "m.h")
     plain = docs.where(F.coalesce(word_count(F.col(text)), F.lit(0)) == 0)

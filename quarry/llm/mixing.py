@@ -63,9 +63,13 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise(2 * share / (start + F.sqrt(F.greatest(start * start + 2 * slope * share, F.lit(0.0)))))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, key: str = "doc_id", source: str = "source", text: str = "text", schedules: Sequence[tuple[float, float]] = SCHEDULES) -> DataFrame:
+def placed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, key: str = "doc_id", source: str = "source", text: str = "text", schedules: Sequence[tuple[float, float]] = SCHEDULES) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, positions.
 
+    A position is a time: the share of the training that has gone when the source has been asked for so many tokens. A
+    source of weight w is asked for w times its schedule's density at each time; as densities change, so does the rate of
+    all sources together, and positions are not shares of the trained tokens.
+
     A document's size is its words (null text: 0). In each source, documents follow one another by the ids' md5; the
     sizes' running sums put each on the source's line of demand, which is gone through again when it ends (an epoch).
     A document is taken in an epoch if its middle lies within the target, so a source's taken words miss the target by
@@ -88,15 +92,46 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int =
     return joined.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
 
 
+def ordered(copies: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The rows in the order of training: sorted by ranges of `at`, `k` and `nth`. Adds `place`, from 0 without gaps. Written; a range's rows are in its file in order."""
+    by = ["at", "k", "nth"]
+    rows = copies.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = written(rows.select(*keep, F.monotonically_increasing_id().alias("_m")), "ordered")  # a range's number, and the row's in it
+    rows = rows.withColumn("_p", F.shiftright("_m", 33))
+    held = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}  # a row a range
+    starts, total = [], 0
+    for part in sorted(held):
+        starts.append((part, total))
+        total += held[part]
+    starts = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return rows.join(F.broadcast(starts), "_p").withColumn("place", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_start", "_m")
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """What placed() gives, and `places`: where in the whole training order each copy comes, from 0 without gaps.
+
+    The copies are range-sorted by position, then by the id's text and the copy's number; rows equal in all of that may
+    swap places. Documents that aren't taken have none.
+    """
+    rows = written(placed(docs, weights, most_times, key, source, text).withColumn("_r", F.monotonically_increasing_id()), "plan")
+    copies = rows.select("_r", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), F.posexplode("positions").alias("nth", "at"))
+    found = ordered(copies.withColumn("at", F.round("at", 12)), ["_r"]).groupBy("_r").agg(F.sort_array(F.collect_list("place")).alias("places"))  # most_times at most
+    out = rows.join(found, "_r", "left").drop("_r")
+    return out.withColumn("places", F.coalesce("places", F.array().cast("array<long>")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents in the order of training: each as often as it is taken, range-sorted by position; the columns of docs.
 
+    Null ids and sources are values of their own; null and empty texts have no words and are never taken; an empty table
+    stays empty.
+
     Documents meet their positions by id, source and size. Only if rows repeat in these three are they numbered among
     their equals first, which takes a shuffle of the texts more.
     """
     known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))  # noqa: E731  never null
     by = ["k", "s", "z"]
-    taken = written(plan(docs, weights, most_times, key, source, text).select(known(F.col("doc_id")).alias("k"), known(F.col("source")).alias("s"), F.col("size").alias("z"), "positions"), "positions")
+    taken = written(placed(docs, weights, most_times, key, source, text).select(known(F.col("doc_id")).alias("k"), known(F.col("source")).alias("s"), F.col("size").alias("z"), "positions"), "positions")
     # the whole row as one column: whatever names it has, none clashes
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("d"), known(F.col(key)).alias("k"), known(F.col(source)).alias("s"), word_count(F.col(text)).alias("z"), F.col(text).alias("t"))
     if not taken.groupBy(*by).count().where("count > 1").isEmpty():

@@ -137,7 +137,7 @@ def score(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns, whatever these are. Null and empty texts have no words and go; repeated rows are judged alike; an empty table stays empty."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(given, text):

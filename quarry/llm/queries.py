@@ -97,11 +97,37 @@ placed AS (
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 taken AS (
   SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE least(3, greatest(0, floor((target - middle) / source_size) + 1)) END AS INT) AS copies,
-    CAST([1.0, 0.5, 1.5] AS DOUBLE[])[CAST(nth % 3 AS INT) + 1] AS a, CAST([1.0, 1.5, 0.5] AS DOUBLE[])[CAST(nth % 3 AS INT) + 1] AS e FROM placed)
-SELECT doc_id, source, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken,
-  list_transform(list_transform(range(copies), lambda i: least(1.0, (middle + i * source_size) / target)),
-    lambda x: CASE WHEN e = a THEN x ELSE 2 * x / (a + sqrt(greatest(a * a + 2 * (e - a) * x, 0))) END) AS positions
-FROM taken
+    CAST([1.0, 0.5, 1.5] AS DOUBLE[])[CAST(nth % 3 AS INT) + 1] AS a, CAST([1.0, 1.5, 0.5] AS DOUBLE[])[CAST(nth % 3 AS INT) + 1] AS e FROM placed),
+positioned AS (
+  SELECT row_number() OVER () AS r, doc_id, source, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken,
+    list_transform(list_transform(range(copies), lambda i: least(1.0, (middle + i * source_size) / target)),
+      lambda x: CASE WHEN e = a THEN x ELSE 2 * x / (a + sqrt(greatest(a * a + 2 * (e - a) * x, 0))) END) AS positions
+  FROM taken),
+copied AS (SELECT r, doc_id, unnest(positions) AS position, unnest(range(len(positions))) AS n FROM positioned),
+ordered AS (SELECT r, row_number() OVER (ORDER BY round(position, 12), coalesce(CAST(doc_id AS VARCHAR), ''), n) - 1 AS place FROM copied),
+listed AS (SELECT r, list(place ORDER BY place) AS places FROM ordered GROUP BY r)
+SELECT doc_id, source, size, source_size, target, copies, taken, positions, coalesce(places, CAST([] AS BIGINT[])) AS places
+FROM positioned LEFT JOIN listed USING (r)
+""",
+    "op8_jump_shards": """
+WITH RECURSIVE polynomial(i, n, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM polynomial WHERE n < 8),
+letters AS (SELECT list(c ORDER BY i) AS t FROM polynomial WHERE n = 8),
+sized AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+summed AS (
+  SELECT r, doc_id, h, CAST(strlen(x) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32
+  FROM sized, letters),
+jumps(r, k, b, j) AS (
+  SELECT r, CAST('0x' || h[1:16] AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM summed
+  UNION ALL
+  SELECT r, n, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / CAST((n >> 33) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT r, j, (k * 2862933555777941757 + 1) % CAST(18446744073709551616 AS UHUGEINT) AS n FROM jumps WHERE j < 25)),
+shards AS (SELECT r, CAST(max(b) FILTER (WHERE b < 24) AS INT) AS shard, CAST(max(b) AS INT) AS grown_shard FROM jumps GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM summed JOIN shards USING (r)
 """,
     "op5_maxscore": """
 WITH rows AS (

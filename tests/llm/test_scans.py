@@ -132,6 +132,15 @@ def test_quality(spark, sf_dir):
         got = quality.score(docs, ["doc_id"]).collect()
         assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
         assert not any(r["kept"] and r["base_failed"] for r in got)
+        short = Counter()
+        for r in docs.collect():
+            w = words(r["text"])
+            if len(w) <= 250:
+                longest = longest_of(w)
+                inside = {j for i, n in enumerate(longest) if n >= quality.REPEAT_WORDS for j in range(i, i + n)}
+                top = max(longest, default=0)
+                short[(r["doc_id"], len(w), len(inside), top, not quality_of(r["text"])[-1] and len(inside) <= quality.MOST_COVERED * len(w) and top <= quality.LONGEST_REPEAT)] += 1
+        assert Counter((r["doc_id"], r["n_words"], r["n_covered_words"], r["longest_repeat"], r["kept"]) for r in got if r["n_words"] <= 250) == short
 
 
 def longest_of(w):
