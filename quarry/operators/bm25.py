@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.schema import FIELD_WEIGHTS, Bm25
+from quarry.shared import written
 
 FIELDS = tuple(FIELD_WEIGHTS)
 #: Scores are rounded to so many digits before they are ranked, as sums come in any order.
@@ -35,18 +36,16 @@ def field_stats(documents: DataFrame) -> DataFrame:
     return documents.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def postings(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """A row for each field, chunk and term; with terms (field, term), of these only, which the join sifts before the shuffle."""
-    rows = documents.select("field", "chunk_ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
-    return rows.groupBy("field", "term", "chunk_ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def index(chunks: DataFrame, terms: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> Index:
+    """The whole index or, with terms (field, term), what these need. Texts are cut into tokens once: postings are written, and lengths with them, as those of no term."""
     documents = field_tokens(chunks, fields)
-    held = postings(documents, terms)
-    return Index(held, field_stats(documents), held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
+    rows = documents.select("field", "chunk_ord", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("field", "term").distinct().withColumn("wanted", F.lit(True)), ["field", "term"], "left").where("wanted OR term IS NULL").drop("wanted")
+    rows = written(rows.groupBy("field", "term", "chunk_ord", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    held = rows.where("term IS NOT NULL")
+    stats = rows.where("term IS NULL").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(held, stats, held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
 
 
 def query_terms(queries: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -74,18 +73,18 @@ def top(scored: DataFrame, k: int, by: list[str], tie: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), *tie))).where(F.col("rank") <= k)
 
 
-def search_fields(chunks: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def search_fields(chunks: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, held: Index | None = None) -> DataFrame:
     """query_id, field, rank, chunk_ord, score: each field's k best chunks; ties go to the earlier chunk."""
     terms = query_terms(queries, fields)
-    return top(scores(terms, index(chunks, terms, fields)), k, ["query_id", "field"], ["chunk_ord"])
+    return top(scores(terms, held or index(chunks, terms, fields)), k, ["query_id", "field"], ["chunk_ord"])
 
 
-def search_combined(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_combined(chunks: DataFrame, queries: DataFrame, k: int, held: Index | None = None) -> DataFrame:
     """query_id, rank, chunk_ord, score: the fields' scores, each over its greatest, weighed and added; ties go to the field that comes first, then the chunk."""
     terms = query_terms(queries)
-    found = scores(terms, index(chunks, terms))
+    found = written(scores(terms, held or index(chunks, terms)), "scores")
     by_field = lambda values: reduce(lambda a, b: a.when(F.col("field") == b[0], b[1]), values.items(), F)
-    share = by_field(FIELD_WEIGHTS) * F.col("score") / F.max("score").over(Window.partitionBy("query_id", "field"))
-    parts = found.select("query_id", "chunk_ord", share.alias("part"), by_field({f: i for i, f in enumerate(FIELDS)}).alias("first"))
+    most = found.groupBy("query_id", "field").agg(F.max("score").alias("most"))  # a row for each query and field
+    parts = found.join(most, ["query_id", "field"]).select("query_id", "chunk_ord", (by_field(FIELD_WEIGHTS) * F.col("score") / F.col("most")).alias("part"), by_field({f: i for i, f in enumerate(FIELDS)}).alias("first"))
     summed = parts.groupBy("query_id", "chunk_ord").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min("first").alias("first"))
     return top(summed, k, ["query_id"], ["first", "chunk_ord"]).select("query_id", "rank", "chunk_ord", "score")

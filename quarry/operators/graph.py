@@ -6,6 +6,7 @@ import posixpath
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quarry.functions import text as T
 from quarry.functions.terms import ALIASES
 from quarry.schema import CONTAINS, DEFINES, DEFINITION_BOOST, IMPORT_BOOST, IMPORTS_FILE, IMPORTS_MODULE, MOST_IDENTIFIERS, REFERENCE_BOOST, REFERENCES, SEEDS, SUFFIXES
+from quarry.shared import written
 
 #: Identifiers that are a language's own words.
 KEYWORDS = tuple(
@@ -81,7 +83,7 @@ def imports_in(source: str, language: str | None) -> list[str]:
     """The modules that a source's lines import, sorted, each once."""
     families = FAMILIES.get((language or "").lower(), ("python", *IMPORTS))
     found: set[str] = set()
-    for line in source.splitlines():
+    for line in filter(re.compile(_HINTS).search, source.splitlines()):
         for family in families:
             if family == "python":
                 found.update(python_imports(line))
@@ -222,13 +224,32 @@ def references(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(identifiers(F.col("content"))).alias("x"), "chunk_ord").select(F.lower("x").alias("term"), "chunk_ord").distinct()
 
 
-def seed_links(seeds: DataFrame, chunks: DataFrame, graph_edges: DataFrame) -> DataFrame:
+class Lookup(NamedTuple):
+    """neighbours: file, other. definitions and references: term, chunk_ord."""
+
+    neighbours: DataFrame
+    definitions: DataFrame
+    references: DataFrame
+
+
+def file_neighbours(chunks: DataFrame) -> DataFrame:
+    """neighbours() of the chunks' graph, of which only the imports between files are made."""
+    found = resolved_imports(written(imports(chunks), "imports"), chunks.select("file_path").distinct())
+    both = F.array(F.struct(F.col("file_path").alias("file"), F.col("target").alias("other")), F.struct(F.col("target").alias("file"), F.col("file_path").alias("other")))
+    return found.select(F.explode(both).alias("n")).select("n.*").distinct()
+
+
+def lookup(chunks: DataFrame, graph_edges: DataFrame | None = None) -> Lookup:
+    return Lookup(file_neighbours(chunks) if graph_edges is None else neighbours(graph_edges), definitions(chunks), references(chunks))
+
+
+def seed_links(seeds: DataFrame, chunks: DataFrame, held: Lookup) -> DataFrame:
     """seed, chunk_ord, boost: what a seed's score is worth to its neighbours, at most. seeds: seed (a chunk_ord)."""
     seeds = seeds.select("seed").distinct()
     files = seeds.join(chunks.select(F.col("chunk_ord").alias("seed"), "file_path"), "seed")
-    near = files.join(neighbours(graph_edges), F.col("file_path") == F.col("file")).select("seed", "other")
+    near = files.join(held.neighbours, F.col("file_path") == F.col("file")).select("seed", "other")
     by_import = near.join(chunks.select("chunk_ord", F.col("file_path").alias("other")), "other").select("seed", "chunk_ord", F.lit(IMPORT_BOOST).alias("boost"))
-    defined, referred = definitions(chunks), references(chunks)
+    defined, referred = held.definitions, held.references
     of = lambda df: seeds.join(df.withColumnRenamed("chunk_ord", "seed"), "seed")
     by_definition = of(referred).join(defined, "term").select("seed", "chunk_ord", F.lit(DEFINITION_BOOST).alias("boost"))
     by_reference = of(defined).join(referred, "term").select("seed", "chunk_ord", F.lit(REFERENCE_BOOST).alias("boost"))

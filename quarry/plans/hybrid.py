@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths, rank
+from quarry.functions import text as T
 from quarry.functions.terms import QUERY, query_row
 from quarry.operators import bm25, graph, vectors
 from quarry.operators.bm25 import DIGITS
@@ -41,11 +42,31 @@ def columns(df: DataFrame, names: Sequence[str]) -> dict:
     return {n: F.col(n) for n in names if n in df.columns}
 
 
-def symbol_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, chunk_ord, score. Names are narrow, and a chunk goes on only if its name gives a bonus to some query; the stated queries meet all names in one pass."""
+def name_keys(chunks: DataFrame) -> DataFrame:
+    """chunk_ord, key: an index of names, by which symbol_channel finds all that may gain a bonus. Keys are a name as a whole, its parts of up to three letters, and its tokens' beginnings."""
+    names = chunks.where(F.coalesce("name", F.lit("")) != "").select("chunk_ord", T.compact(F.col("name")).alias("n"), T.tokens(F.col("name")).alias("t"))
+    part = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - (size - 1), F.lit(1))), lambda i: F.concat(F.lit("p:"), F.substr("n", i, F.lit(size))))
+    keys = F.concat(F.array(F.concat(F.lit("w:"), F.col("n"))), part(1), part(2), part(3), F.transform("t", lambda x: F.concat(F.lit("t:"), F.substring(x, 1, 3))))
+    return names.select("chunk_ord", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def symbol_channel(chunks: DataFrame, queries: DataFrame, k: int, keys: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, chunk_ord, score. keys: name_keys(chunks).
+
+    A bonus needs a name that is one of the query's words, or holds the whole query and so its first letters, or a token
+    for each term and so for the first: one starts with the other's first letters then. By such keys queries meet names;
+    the rule itself then judges these.
+    """
     asked = queries.select("query_id", "search_text", "compact", "word_compacts", "raw_terms")
-    names = chunks.where(F.coalesce("name", F.lit("")) != "").select("chunk_ord", "content", "kind", "name")
-    both = names.join(asked, rank.name_bonus(F.col("name"), F.col("search_text"), F.col("compact"), F.col("word_compacts"), F.col("raw_terms")) > 0)
+    begin = lambda x: F.concat(F.lit("t:"), F.substring(x, 1, 3))
+    wanted = F.concat(
+        F.transform("word_compacts", lambda x: F.concat(F.lit("w:"), x)),
+        F.when(F.col("compact") != "", F.array(F.concat(F.lit("p:"), F.substring("compact", 1, 3)))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size("raw_terms") > 1, F.array(begin(F.get("raw_terms", F.lit(0))))).otherwise(F.array().cast("array<string>")),
+    )
+    met = asked.select("query_id", F.explode(F.array_distinct(wanted)).alias("key")).join(name_keys(chunks) if keys is None else keys, "key").select("query_id", "chunk_ord").distinct()
+    both = met.join(chunks.select("chunk_ord", "content", "kind", "name"), "chunk_ord").join(asked, "query_id")
+    both = both.where(rank.name_bonus(F.col("name"), F.col("search_text"), F.col("compact"), F.col("word_compacts"), F.col("raw_terms")) > 0)
     scored = both.select("query_id", "chunk_ord", F.round(rank.symbol_score(columns(both, both.columns), columns(both, both.columns)), DIGITS).alias("score"))
     return bm25.top(scored, k, ["query_id"], ["chunk_ord"]).select("query_id", "rank", "chunk_ord", "score")
 
@@ -79,10 +100,10 @@ def saturated(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_n", "_old")
 
 
-def expanded(fused: DataFrame, queries: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+def expanded(fused: DataFrame, queries: DataFrame, chunks: DataFrame, held: graph.Lookup) -> DataFrame:
     """query_id, chunk_ord, score, with the neighbours of the best chunks of queries that ask for relations. fused: written, as several joins read it."""
     seeds = written(graph.seeds_of(fused.join(queries.where("expand").select("query_id"), "query_id"), ["first"]), "seeds")
-    links = written(graph.seed_links(seeds, chunks, edges), "links")
+    links = written(graph.seed_links(seeds, chunks, held), "links")
     return graph.expand(fused.select("query_id", "chunk_ord", "score"), seeds, links)
 
 
@@ -92,24 +113,28 @@ def search(
     vector_hits: DataFrame | None = None,
     top_k: int = 10,
     penalize_paths: bool = True,
-    edges: DataFrame | None = None,
+    links: graph.Lookup | None = None,
     expand: bool = False,
     held: bm25.Index | None = None,
+    keys: DataFrame | None = None,
+    given: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """query_id, rank, chunk_ord, score and the chunk's columns.
 
     chunks: chunk_ord and CHUNK. vector_hits: query_id, rank, chunk_ord, at least max(10 * top_k, 100) a query. expand:
-    whether some query asks for relations; its edges are the graph's. Filters come after recall. Content is joined again
-    for the candidates only. The fused rows are written, so what follows is a plan of its own.
+    whether some query asks for relations; links are the graph's. held and keys: the written index, if there is one.
+    given: channels from elsewhere, instead of the lexical ones. Filters come after recall. Content is joined again for the
+    candidates only. The fused rows are written, so what follows is a plan of its own.
     """
     depth = max(10 * top_k, RECALL)
-    terms = bm25.query_terms(queries)
-    fields = bm25.top(bm25.scores(terms, held or bm25.index(chunks, terms)), depth, ["query_id", "field"], ["chunk_ord"])
-    channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"symbol": symbol_channel(chunks, queries, depth)}
+    if given is None:
+        fields = bm25.search_fields(chunks, queries, depth, held=held)
+        given = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS}
+    channels = given | {"symbol": symbol_channel(chunks, queries, depth, keys)}
     if vector_hits is not None:
         channels["vector"] = vector_hits.where(F.col("rank") <= depth)
     fused = written(fuse({c: channels[c] for c in CHANNELS if c in channels}, queries), "fused")  # a few hundred rows a query
-    scored = expanded(fused, queries, chunks, edges) if expand and edges is not None else fused.select("query_id", "chunk_ord", "score")
+    scored = expanded(fused, queries, chunks, links) if expand and links is not None else fused.select("query_id", "chunk_ord", "score")
     rows = scored.join(chunks, "chunk_ord").join(queries, "query_id")
     own = {c: F.col(c) for c in CHUNK_COLUMNS}
     asked = {c: F.col(c) for c in queries.columns}
@@ -120,12 +145,3 @@ def search(
     narrow = rows.select("query_id", "chunk_ord", "file_path", "start_line", F.round(adjusted, 12).alias("score"), penalty.alias("penalty"))
     ranked = saturated(coherent(narrow).withColumn("score", F.col("score") * F.col("penalty")), top_k)
     return ranked.select("query_id", "rank", "chunk_ord", "score").join(chunks, "chunk_ord")
-
-
-def search_text(chunks: DataFrame, queries: Sequence[str], model: vectors.Model, embedded: DataFrame, top_k: int = 10, alpha: float | None = None, penalize_paths: bool = True, edges: DataFrame | None = None) -> DataFrame:
-    """search() for query strings, whose vectors the model gives. embedded: chunk_ord, embedding."""
-    asked = query_frame(chunks.sparkSession, queries, alpha)
-    rows = asked.select("query_id", "search_text", "expand").collect()
-    found = vectors.embed_texts(model, [r["search_text"] for r in rows])
-    hits = vectors.cosine_top(embedded, [(r["query_id"], v) for r, v in zip(rows, found)], max(10 * top_k, RECALL))
-    return search(chunks, asked, hits, top_k, penalize_paths, edges, any(r["expand"] for r in rows))

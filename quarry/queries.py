@@ -6,6 +6,7 @@ The tables hold no source code, so documents stand as chunks: chunks_of() gives
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,36 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
+class SearchIndex(NamedTuple):
+    """What searches over the documents read: chunks, BM25 frames, keys of names, and the graph's lookups."""
+
+    chunks: DataFrame
+    held: bm25.Index
+    keys: DataFrame
+    links: graph.Lookup
+
+
+_INDEXES: dict[tuple, SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the documents, written to the shared folder when it is first needed, and again when the application or the table's files are others.
+
+    Postings lie by field and sorted by term, so a query's terms skip most of them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in [files.getFileStatus(path), *files.listStatus(path)]))
+    if (key := (spark.sparkContext.applicationId, state)) not in _INDEXES:
+        rows = written(chunks(spark, sf_dir), "chunks")
+        held = bm25.index(rows)
+        postings = written(held.postings.repartitionByRange("field", "term", "chunk_ord").sortWithinPartitions("field", "term"), "postings", ["field"]).select(held.postings.columns)
+        held = bm25.Index(postings, written(held.stats, "stats"), written(held.terms, "terms"))
+        links = graph.lookup(rows)
+        _INDEXES[key] = SearchIndex(rows, held, written(hybrid.name_keys(rows), "names"), graph.Lookup(*(written(x, "links") for x in links)))
+    return _INDEXES[key]
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY_FUNCTIONS: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -156,7 +187,8 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _field(field: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bm25.search_fields(chunks(spark, sf_dir), asked(spark), DEPTH, (field,)).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
+        index = search_index(spark, sf_dir)
+        return bm25.search_fields(index.chunks, asked(spark), DEPTH, (field,), index.held).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
     run.__name__ = f"bm25_{field}"
     query(S.with_(S.CHUNKS, S.DOCS, S.queries_cte(QUERIES), S.QUERY_TERMS, S.SCORES, S.ranked(DEPTH)) + f"SELECT query_id, CAST(rank AS INT) AS rank, chunk_ord, round(score, 6) AS score FROM field_hits WHERE field = '{field}'")(run)
@@ -174,7 +206,8 @@ for _name in bm25.FIELDS:
   GROUP BY query_id, chunk_ord) QUALIFY rank <= {DEPTH}"""
 )
 def bm25_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search_combined(chunks(spark, sf_dir), asked(spark), DEPTH).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
+    index = search_index(spark, sf_dir)
+    return bm25.search_combined(index.chunks, asked(spark), DEPTH, index.held).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
 
 _FLAGS = S.prior("file_path", "FALSE")
@@ -261,11 +294,10 @@ def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(name: str, given: list[str], expand: bool, alpha: float | None = None, penalize: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = chunks(spark, sf_dir)
+        index = search_index(spark, sf_dir)
         held, of = _vectors(spark, sf_dir, len(given))
         hits = vectors.cosine_top(held, of, DEPTH)
-        edges = graph.edges(rows) if expand else None
-        return hybrid.search(rows, asked(spark, given, alpha), hits, 10, penalize, edges, expand).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
+        return hybrid.search(index.chunks, asked(spark, given, alpha), hits, 10, penalize, index.links, expand, index.held, index.keys).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
     run.__name__ = name
     tail = [S.IDENTIFIERS, S.IMPORTS, S.MODULES, S.RESOLVED, S.LOOKUP, S.EXPANDED] if expand else ["scored AS (SELECT query_id, chunk_ord, score FROM fused)"]
@@ -281,10 +313,10 @@ _search("hybrid_no_path_penalty", PLAIN_QUERIES, False, None, False)
 
 @query(S.with_(S.CHUNKS, S.DOCS, S.queries_cte(QUERIES), S.QUERY_TERMS, S.SCORES, S.ranked(DEPTH), S.SYMBOLS, S.symbol_hits(DEPTH), S.vector_hits(DEPTH), S.FUSED) + "SELECT query_id, chunk_ord, round(score, 9) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, queries = chunks(spark, sf_dir), asked(spark)
-    fields = bm25.search_fields(rows, queries, DEPTH)
+    index, queries = search_index(spark, sf_dir), asked(spark)
+    fields = bm25.search_fields(index.chunks, queries, DEPTH, held=index.held)
     held, of = _vectors(spark, sf_dir, len(QUERIES))
-    channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(rows, queries, DEPTH)}
+    channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(index.chunks, queries, DEPTH, index.keys)}
     return hybrid.fuse({c: channels[c] for c in hybrid.CHANNELS}, queries).select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
 
 
@@ -361,12 +393,12 @@ def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT query_id, chunk_ord, round(score, 9) AS score FROM scored"
 )
 def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, queries = chunks(spark, sf_dir), asked(spark)
-    fields = bm25.search_fields(rows, queries, DEPTH)
+    index, queries = search_index(spark, sf_dir), asked(spark)
+    fields = bm25.search_fields(index.chunks, queries, DEPTH, held=index.held)
     held, of = _vectors(spark, sf_dir, len(QUERIES))
-    channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(rows, queries, DEPTH)}
+    channels = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS} | {"vector": vectors.cosine_top(held, of, DEPTH), "symbol": hybrid.symbol_channel(index.chunks, queries, DEPTH, index.keys)}
     fused = written(hybrid.fuse({c: channels[c] for c in hybrid.CHANNELS}, queries), "fused")
-    out = hybrid.expanded(fused, queries, rows, graph.edges(rows))
+    out = hybrid.expanded(fused, queries, index.chunks, index.links)
     return out.select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
 
 
@@ -395,7 +427,7 @@ def benchmark_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as content queries, without stems and aliases."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("content").alias("field"), F.explode(T.tokens(F.col("text"))).alias("term"))
     terms = items.where((F.length("term") > 2) & ~F.col("term").isin(*STOP_WORDS)).distinct()
-    found = bm25.scores(terms, bm25.index(chunks(spark, sf_dir), terms, ("content",)))
+    found = bm25.scores(terms, search_index(spark, sf_dir).held)
     return bm25.top(found, 10, ["query_id"], ["chunk_ord"]).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -514,5 +546,5 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.output import as_json
 
-    rows = chunks(spark, sf_dir)
-    return as_json(hybrid.search(rows, asked(spark, PLAIN_QUERIES), None, 5), asked(spark, PLAIN_QUERIES))
+    index = search_index(spark, sf_dir)
+    return as_json(hybrid.search(index.chunks, asked(spark, PLAIN_QUERIES), None, 5, held=index.held, keys=index.keys), asked(spark, PLAIN_QUERIES))

@@ -34,6 +34,7 @@ class HybridIndex:
         self.held = held or bm25.index(chunks)
         self.nodes = graph.nodes(chunks) if nodes is None else nodes
         self.edges = graph.edges(chunks) if edges is None else edges
+        self.links = graph.lookup(chunks, self.edges)
 
     @classmethod
     def from_chunks(cls, chunks: DataFrame, model: vectors.Model | None = None) -> HybridIndex:
@@ -64,7 +65,7 @@ class HybridIndex:
         rows = asked.select("query_id", "search_text", "expand").collect()
         found = vectors.embed_texts(self.model, [r["search_text"] for r in rows])
         hits = vectors.cosine_top(self.embeddings, [(r["query_id"], v) for r, v in zip(rows, found)], max(10 * top_k, 100))
-        return hybrid.search(self.chunks, asked, hits, top_k, penalize_paths, self.edges, any(r["expand"] for r in rows), self.held)
+        return hybrid.search(self.chunks, asked, hits, top_k, penalize_paths, self.links, any(r["expand"] for r in rows), self.held)
 
     def save(self, root: str, home: Path = HOME, model_name: str = "hashing") -> None:
         to = index_dir(root, home)
