@@ -18,7 +18,7 @@ from quarry import store
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
 from quarry.reach import reach
-from quarry.schema import CHUNK, CHUNK_COLUMNS, EDGE, NODE
+from quarry.schema import CHUNK, CHUNK_COLUMNS, EDGE, NODE, RECALL
 from quarry.sources import chunker, tree
 
 
@@ -189,11 +189,29 @@ def load_code_graph(path: str | Path) -> CodeGraph:
     return collected(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
+def field_hits(index: object, method: str, query: str, top_k: int, otherwise: str | None = None) -> list[SearchResult]:
+    """What an index's method finds, or else another method; nothing if it has neither."""
+    for name in (method, otherwise):
+        if name and callable(found := getattr(index, name, None)):
+            return list(found(query, top_k=top_k))
+    return []
+
+
+def first_chunks(*indexes: object) -> tuple[Chunk, ...]:
+    """The chunks of the first index that has any."""
+    return next((tuple(given) for x in indexes if (given := getattr(x, "chunks", None))), ())
+
+
 class HybridIndex:
-    """Searches over a store.HybridIndex."""
+    """Searches over a store.HybridIndex, or over any two indexes of the same chunks, the caller's own included."""
+
+    def __init__(self, held: store.HybridIndex | None, lexical: object = None, semantic: object = None) -> None:
+        self.held, self.lexical, self.semantic = held, lexical, semantic
 
-    def __init__(self, held: store.HybridIndex) -> None:
-        self.held = held
+    @classmethod
+    def from_indexes(cls, lexical: object, semantic: object) -> HybridIndex:
+        """lexical: search_content, search_name, search_path, or search alone for content; semantic: search. A method that is missing finds nothing."""
+        return cls(None, lexical, semantic)
 
     @classmethod
     def from_chunks(cls, chunks: Sequence[Chunk], model: vectors.Model | None = None) -> HybridIndex:
@@ -202,7 +220,20 @@ class HybridIndex:
     def search(self, query: str, top_k: int = 10, alpha: float | None = None, penalize_paths: bool = True) -> list[SearchResult]:
         if top_k < 1 or not query.strip():
             return []
-        return results(self.held.search_batch([query], top_k, alpha, penalize_paths))
+        if self.held is not None:
+            return results(self.held.search_batch([query], top_k, alpha, penalize_paths))
+        asked = hybrid.query_frame(session(), [query], alpha)
+        row = asked.select("search_text", "expand").first()
+        chunks = first_chunks(self.lexical, self.semantic)
+        depth = max(10 * top_k, RECALL)
+        hits = {"content": field_hits(self.lexical, "search_content", row["search_text"], depth, "search"), "name": field_hits(self.lexical, "search_name", row["search_text"], depth), "path": field_hits(self.lexical, "search_path", row["search_text"], depth), "vector": field_hits(self.semantic, "search", row["search_text"], depth)}
+        # an index may find chunks that aren't among those it says it has
+        every = list(dict.fromkeys([*chunks, *(x.chunk for found in hits.values() for x in found)]))
+        number = {c: i for i, c in enumerate(every)}
+        ranked = {k: session().createDataFrame([(0, number[c], i) for i, c in enumerate(dict.fromkeys(x.chunk for x in found), 1)], "query_id long, chunk_ord long, rank int") for k, found in hits.items()}
+        rows = frame(every)
+        links = graph.lookup(rows) if row["expand"] else None
+        return results(hybrid.search(rows, asked, ranked.pop("vector"), top_k, penalize_paths, links, row["expand"], given=ranked))
 
 
 def build_hybrid_index(chunks: Sequence[Chunk], model: vectors.Model | None = None) -> HybridIndex:

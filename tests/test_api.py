@@ -73,3 +73,31 @@ def test_sources(tmp_path, spark):
     (tmp_path / "a.py").write_text("def f():\n    pass\n")
     assert [c.name for c in api.scan_chunks(tmp_path)] == ["f"]
     assert api.chunk_source("def f():\n    pass\n", "a.py")[0].kind == "function"
+
+
+def test_public_names():
+    import quarry
+
+    assert len(quarry.__all__) == 17 and all(getattr(quarry, x) is getattr(api, x) for x in quarry.__all__)
+    with pytest.raises(AttributeError):
+        quarry.nothing  # noqa: B018
+
+
+def test_own_indexes(spark):
+    """Indexes that lack methods take part with what they have."""
+
+    class Plain:
+        chunks = CHUNKS
+
+        def search(self, query, top_k=5):
+            return [api.SearchResult(c, 1.0) for c in CHUNKS[:2]]
+
+    class Nothing:
+        pass
+
+    assert api.first_chunks(Nothing(), Plain()) == tuple(CHUNKS) and api.first_chunks(Nothing()) == ()
+    assert api.field_hits(Nothing(), "search_name", "x", 3) == [] and len(api.field_hits(Plain(), "search_content", "x", 3, "search")) == 2
+    found = api.HybridIndex.from_indexes(Plain(), Nothing()).search("zzz yyy", 5)
+    assert {x.chunk for x in found} == set(CHUNKS[:2]) and [x.score for x in found] == sorted((x.score for x in found), reverse=True)
+    whole = api.HybridIndex.from_indexes(api.build_bm25_index(CHUNKS), api.build_vector_index(CHUNKS)).search("how are sessions kept", 5)
+    assert [x.chunk for x in whole] == [x.chunk for x in api.build_hybrid_index(CHUNKS).search("how are sessions kept", 5)]
