@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices and short texts of public licences, as they are normally written.
+#: Notices of public licences, and the whole texts of the short ones, as they are normally written.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache License Version 2.0, January 2004"],
     "mit": [
@@ -17,8 +17,8 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "bsd": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
+    "bsd": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'],
     "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "lgpl-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
@@ -27,7 +27,9 @@ TEMPLATES = {
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org'],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0.", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
 }
 LEAST_DICE = 0.8
 
@@ -59,9 +61,9 @@ def held(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def template_bigrams() -> list[tuple[str, int, list[str]]]:
+def template_bigrams(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[tuple[str, int, list[str]]]:
     out = []
-    for name, given in TEMPLATES.items():
+    for name, given in templates.items():
         for i, text in enumerate(given):
             words = normal_words(text)
             out.append((name, i, sorted({f"{a} {b}" for a, b in zip(words, words[1:])})))
@@ -84,7 +86,7 @@ def needed_words(templates: list[tuple[str, int, list[str]]], least: float) -> l
     return out
 
 
-def windows(text: Column, lines: Column, units: Column, least: float) -> Column:
+def windows(text: Column, lines: Column, units: Column, bigrams_of: list[tuple[str, int, list[str]]], least: float) -> Column:
     """What stands inside a text or a line: a struct of n and top, the best as (dice, own, at, line); null if nothing can be there.
 
     A template of b bigrams is tried at each of its bigrams in the text, whatever the lines: the window that begins there
@@ -92,7 +94,7 @@ def windows(text: Column, lines: Column, units: Column, least: float) -> Column:
     it matches. n counts, from left to right, the windows that touch no unit that matches; of those that overlap, the
     better one stays, the earlier of equals. top is over all windows.
     """
-    given = [(-i, b, math.ceil(len(b) * least / (2 - least) - 1e-9), math.floor(len(b) * (2 - least) / least + 1e-9)) for i, (*_, b) in enumerate(template_bigrams())]
+    given = [(-i, b, math.ceil(len(b) * least / (2 - least) - 1e-9), math.floor(len(b) * (2 - least) / least + 1e-9)) for i, (*_, b) in enumerate(bigrams_of)]
     templates = F.array(*[F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, b)).alias("b"), F.lit(need).alias("need"), F.lit(most).alias("most")) for at, b, need, most in given])
     known = F.array(*map(F.lit, sorted({x for _, b, *_ in given for x in b})))
 
@@ -144,9 +146,11 @@ def windows(text: Column, lines: Column, units: Column, least: float) -> Column:
     return held(normal(text), lambda w: held(neighbours(w), tried))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_DICE) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_DICE, given: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_matches, license, template, dice (of the best match, null without one).
 
+    given: templates by licence; longer texts than those of TEMPLATES can be among them.
+
     Units are a text's lines and, if there are several, the whole text. Dice is twice the shared bigrams over both
     sides' bigrams, each bigram once; a unit matches a template from `least` on. Shared bigrams are at most the smaller
     side, so a template of b bigrams is only compared with units of b * least / (2 - least) to b * (2 - least) / least;
@@ -156,7 +160,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     A null or empty text has no match. All is computed row by row: no shuffle, and repeated rows, ids or very long texts
     change nothing; an empty table gives an empty result.
     """
-    templates = template_bigrams()
+    templates = template_bigrams(given)
     low = min(len(b) for *_, b in templates) * least / (2 - least)
     high = max(len(b) for *_, b in templates) * (2 - least) / least
     words = needed_words(templates, least)
@@ -186,7 +190,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     tops = F.transform(pairs, lambda u: held(best(u["x"]), lambda m: F.when(m["dice"] >= least, F.struct(m["dice"].alias("dice"), m["own"].alias("own"), m["at"].alias("at"), u["line"].alias("line")))))
     found = F.filter(tops, lambda x: x.isNotNull())
     both = lambda m, w: F.struct((F.size(m) + F.coalesce(w["n"], F.lit(0))).alias("n"), F.array_max(F.array(F.array_max(m), w["top"])).alias("top"))
-    matched = held(found, lambda m: held(windows(F.col(text), lines, m, least), lambda w: both(m, w)))
+    matched = held(found, lambda m: held(windows(F.col(text), lines, m, templates, least), lambda w: both(m, w)))
     lowered = docs.select(F.col(key).alias("doc_id"), F.col(text), F.lower(text).alias("_l"))
     # a generator: else the optimizer would put the whole expression wherever the result is read
     scored = lowered.select("doc_id", F.explode(F.array(F.when(hopeful(F.col("_l")), matched))).alias("_f"))
