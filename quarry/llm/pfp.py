@@ -44,10 +44,10 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64((1 << 31) - 1)
 PHRASES, CONTEXTS, STRINGS = 0, 1, 2
 #: A block's texts; several numbers are held for each byte.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a seed: the letters' numbers, the powers of a multiplier and their inverses modulo 2**64, and the same of another modulo PRIME."""
     letters = mixed(np.arange(1, 257, dtype=np.uint64), seed)
@@ -57,10 +57,10 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     small = int(mixed(np.array([seed], np.uint64), 6)[0]) % (int(PRIME) - 1000) + 500
 
     def powers(x: int) -> np.ndarray:
-        out, have = np.ones(n, np.uint64), 1
+        out, have = np.ones(n, np.uint32), 1
         while have < n:
             step = min(have, n - have)
-            out[have : have + step] = out[:step] * np.uint64(pow(x, have, int(PRIME))) % PRIME
+            out[have : have + step] = out[:step].astype(np.uint64) * np.uint64(pow(x, have, int(PRIME))) % PRIME
             have += step
         return out
 
