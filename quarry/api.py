@@ -249,7 +249,7 @@ def index_exists(root: str | Path) -> bool:
 
 
 def index_dir(root: str | Path) -> Path:
-    return store.index_dir(str(root))
+    return Path(store.index_dir(str(root)).removeprefix("file://"))
 
 
 def load_chunks_and_vectors(root: str | Path) -> tuple[tuple[Chunk, ...], np.ndarray]:

@@ -33,7 +33,7 @@ class HashingModel:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for row, text in zip(out, texts):
             for token in tokenize(text):
-                h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "little")
                 row[h % self.dimensions] += 1 - 2 * (h >> 63)
         return out
 

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from quarry import sql as S
 from quarry.functions import paths, rank
 from quarry.functions import text as T
-from quarry.functions.terms import ALIASES, STOP_WORDS, WEIGHTS
+from quarry.functions.terms import ALIASES, STOP_WORDS
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
 from quarry.reach import reach
-from quarry.shared import spread, written
+from quarry.schema import CHUNK
+from quarry.shared import shared_dir, spread, written
 from quarry.sources import chunker, tree
 
 #: A question that asks for relations, a symbol, one with filters, one with an identifier.
@@ -300,9 +301,13 @@ def _search(name: str, given: list[str], expand: bool, alpha: float | None = Non
         return hybrid.search(index.chunks, asked(spark, given, alpha), hits, 10, penalize, index.links, expand, index.held, index.keys).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
     run.__name__ = name
+    query(_search_sql(given, expand, alpha, penalize))(run)
+
+
+def _search_sql(given: list[str], expand: bool, alpha: float | None = None, penalize: bool = True) -> str:
     tail = [S.IDENTIFIERS, S.IMPORTS, S.MODULES, S.RESOLVED, S.LOOKUP, S.EXPANDED] if expand else ["scored AS (SELECT query_id, chunk_ord, score FROM fused)"]
     ctes = S.with_(S.CHUNKS, S.DOCS, S.queries_cte(given, alpha), S.QUERY_TERMS, S.SCORES, S.ranked(DEPTH), S.SYMBOLS, S.symbol_hits(DEPTH), S.vector_hits(DEPTH), S.FUSED, *tail, S.reranked(10, penalize))
-    query(ctes + "SELECT query_id, CAST(rank AS INT) AS rank, chunk_ord, round(score, 6) AS score FROM final")(run)
+    return ctes + "SELECT query_id, CAST(rank AS INT) AS rank, chunk_ord, round(score, 6) AS score FROM final"
 
 
 _search("hybrid_search", QUERIES, True)
@@ -431,12 +436,35 @@ def benchmark_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(found, 10, ["query_id"], ["chunk_ord"]).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
 
-@query("SELECT class, w FROM (VALUES " + ", ".join(f"({S.quote(k)}, {list(map(float, v))}::DOUBLE[])" for k, v in WEIGHTS.items()) + ") t(class, w)")
+#: Stated queries of each class, beside the benchmark's.
+CLASSES = ["Command", "app.Session", "fix parse_options now", "HTTPServer errors", "how are sessions kept", "where are callers of verify", "session storage", "imports of tests kind:function", "lang:en,fr kind: path:src,lib x", "name:run"]
+_ASKED = "SELECT item_id AS query_id, text AS raw FROM benchmark UNION ALL " + " UNION ALL ".join(f"SELECT {-i - 1}, {S.quote(q)}" for i, q in enumerate(CLASSES))
+
+
+def _asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items and CLASSES as queries, parsed by the workers."""
+    stated = spark.createDataFrame([(-i - 1, q) for i, q in enumerate(CLASSES)], "item_id long, text string")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return hybrid.parse_batch(items.unionByName(stated), "item_id", "text")
+
+
+@query(S.with_(S.parsed_cte(_ASKED)) + "SELECT query_id, alpha, w_content, w_vector, w_name, w_path, w_symbol, expand, for_tests FROM parsed")
 def channel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.functions.terms import weights
+    return _asked_all(spark, sf_dir).select("query_id", "alpha", "w_content", "w_vector", "w_name", "w_path", "w_symbol", "expand", "for_tests")
 
-    given = {"symbol": "Command", "hint": "fix parse_options now", "question": "how are sessions kept", "plain": "session storage"}
-    return spark.createDataFrame([(k, [float(x) for x in weights(q, None)]) for k, q in given.items()], "class string, w array<double>")
+
+_LISTS = ("word_compacts", "raw_terms", "base_terms", "content_terms", "metadata_terms", "kinds", "languages", "paths", "names")
+
+
+@query(S.with_(S.parsed_cte(_ASKED)) + "SELECT query_id, raw, search_text, compact, " + ", ".join(f"{S.joined(x)} AS {x}" for x in _LISTS) + " FROM parsed")
+def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked_all(spark, sf_dir).select("query_id", "raw", "search_text", "compact", *(sorted_text(F.col(x)).alias(x) for x in _LISTS))
+
+
+@query(S.with_(S.parsed_cte(_ASKED), S.QUERY_TERMS.replace("FROM queries", "FROM parsed")) + "SELECT query_id, field, term FROM query_terms")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of all queries, by field."""
+    return bm25.query_terms(_asked_all(spark, sf_dir))
 
 
 #: Sources in languages of each sort, as (suffix, language, comment, pieces); a piece is (kind, name, text), of the kind None if it is blank. `%` stands for the document's id.
@@ -494,57 +522,71 @@ def chunk_source_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker.chunk_files(rows.select(F.col("doc_id").alias("file_ord"), content.alias("content"), path.alias("file_path")))
 
 
-# What follows runs Python that SQL can't express; the tests hold it against literal expectations.
-
-
-@query()
-def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.parse_batch(table(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
-@query()
-def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms of all benchmark items, by field."""
-    return bm25.query_terms(hybrid.parse_batch(table(spark, sf_dir, "benchmark"), "item_id", "text"))
-
-
-@query()
+@query(_search_sql(QUERIES, True))
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of this package's sources, saved and loaded, with a search over it."""
-    import tempfile
-    from pathlib import Path
+    """The documents' index, saved to the shared folder and loaded from there, with searches over what was loaded."""
+    import uuid
 
-    from quarry.store import load_or_build
+    from quarry.store import HybridIndex
 
-    home = Path(tempfile.mkdtemp(prefix="quarry-home-"))
-    return load_or_build(reach(spark), str(Path(__file__).parent), home=home).search("where is the suffix array", 10)
+    rows, to = written(chunks(spark, sf_dir), "chunks"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    held, of = _vectors(spark, sf_dir, len(QUERIES))
+    HybridIndex(rows, held, vectors.HashingModel()).save_to(to)
+    index = HybridIndex.load_from(spark, to)
+    hits = vectors.cosine_top(index.embeddings, of, DEPTH)
+    return hybrid.search(index.chunks, asked(spark), hits, 10, True, index.links, True, index.held).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
 
-@query()
-def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """This package's own source tree."""
-    from pathlib import Path
-
-    return tree.scan(reach(spark), str(Path(__file__).parent))
+_TRIES = ", ".join(f"({i}, {S.quote(x)})" for i, x in enumerate(["", *(m + s for m in ("", "/index", "/__init__") for s in sorted(S.SUFFIXES))]))
 
 
-@query()
+@query(
+    S.with_(S.CHUNKS, f"tries(nth, ending) AS (VALUES {_TRIES})", "files AS (SELECT DISTINCT file_path FROM chunks)", "importing AS (SELECT file_path, './doc_' || regexp_extract(file_path, 'doc_(\\d+)', 1) AS module FROM files)")
+    + "SELECT i.file_path, i.module, arg_min(f.file_path, nth) AS target FROM importing i, tries JOIN files f ON f.file_path = regexp_replace(i.file_path, '[^/]*$', '') || substr(i.module, 3) || ending GROUP BY ALL"
+)
 def relative_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file imports a neighbour by a relative name without a suffix."""
     rows = chunks(spark, sf_dir)
     found = rows.select("file_path", F.concat(F.lit("./doc_"), F.regexp_extract("file_path", r"doc_(\d+)", 1)).alias("module"))
     return graph.resolved_imports(found.distinct(), rows.select("file_path").distinct())
 
 
-@query()
+@query(
+    S.with_(S.CHUNKS, S.DOCS, S.queries_cte(PLAIN_QUERIES), S.QUERY_TERMS, S.SCORES, S.ranked(DEPTH), S.SYMBOLS, S.symbol_hits(DEPTH), S.vector_hits(DEPTH), S.FUSED, "scored AS (SELECT query_id, chunk_ord, score FROM fused)", S.reranked(5, True))
+    + "SELECT raw AS query, CAST(rank AS INT) AS rank, md5(content) AS content_md5, file_path, start_line, end_line, kind, name, language, file_path || ':' || start_line || '-' || end_line AS location, round(score, 6) AS score FROM final JOIN chunks USING (chunk_ord) JOIN queries USING (query_id)"
+)
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as JSON, and read again from it."""
+    from quarry.output import as_json
+
+    index = search_index(spark, sf_dir)
+    held, of = _vectors(spark, sf_dir, len(PLAIN_QUERIES))
+    found = hybrid.search(index.chunks, asked(spark, PLAIN_QUERIES), vectors.cosine_top(held, of, DEPTH), 5, held=index.held, keys=index.keys)
+    shape = f"query string, results array<struct<score: double, chunk: struct<{CHUNK.replace(' ', ': ').replace(',:', ',')}, location: string>>>"
+    rows = as_json(found, asked(spark, PLAIN_QUERIES)).select(F.from_json("json", shape).alias("j")).select("j.query", F.posexplode("j.results").alias("at", "r"))
+    parts = [F.col(f"r.chunk.{c}") for c in ("file_path", "start_line", "end_line", "kind", "name", "language", "location")]
+    return rows.select("query", (F.col("at") + 1).alias("rank"), F.md5("r.chunk.content").alias("content_md5"), *parts, F.round("r.score", 6).alias("score"))
+
+
+_EMBEDDED = "concat_ws(chr(10), 'path: ' || file_path, 'kind: ' || kind, 'name: ' || nullif(name, ''), 'language: ' || nullif(language, ''), '', content)"
+
+
+@query(
+    S.with_(S.CHUNKS, f"hashed AS (SELECT chunk_ord, md5(unnest({S.tokens(_EMBEDDED)})) AS h FROM chunks)", "cells AS (SELECT chunk_ord, CAST('0x' || h[1:2] AS INT) AS i, sum(CASE WHEN CAST('0x' || h[15:16] AS INT) > 127 THEN -1 ELSE 1 END) AS x FROM hashed GROUP BY ALL)")
+    + "SELECT chunk_ord, list(CAST(coalesce(x, 0) AS FLOAT) ORDER BY i) AS embedding FROM (SELECT chunk_ord, i FROM chunks, range(256) t(i)) LEFT JOIN cells USING (chunk_ord, i) GROUP BY chunk_ord"
+)
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     text = T.embedding_text(F.col("content"), F.col("file_path"), F.col("kind"), F.col("name"), F.col("language"))
     return vectors.embedded(rows.select("chunk_ord", text.alias("text")), F.col("text"), vectors.HashingModel()).select("chunk_ord", "embedding")
 
 
+# What follows has no table to run over; the tests hold it against literal expectations.
+
+
 @query()
-def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.output import as_json
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """This package's own source tree."""
+    from pathlib import Path
 
-    index = search_index(spark, sf_dir)
-    return as_json(hybrid.search(index.chunks, asked(spark, PLAIN_QUERIES), None, 5, held=index.held, keys=index.keys), asked(spark, PLAIN_QUERIES))
+    return tree.scan(reach(spark), str(Path(__file__).parent))

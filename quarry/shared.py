@@ -42,3 +42,38 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path and its file system, as Spark's readers and writers see it, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file(spark, path)
+    return files.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file."""
+    at, files = _file(spark, path)
+    out = files.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, whoever wrote it; None if it isn't there."""
+    if not path_exists(spark, path):
+        return None
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileSystem.newInstance(at.toUri(), spark._jsc.hadoopConfiguration())
+    files.setVerifyChecksum(False)  # a file that was edited has another one
+    stream = files.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+        files.close()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from quarry.functions import paths, rank
-from quarry.functions.terms import ALIASES, QUERY, STOP_WORDS, TOKEN, query_row
+from quarry.functions.terms import ALIASES, FILTER, HINT, QUERY, QUESTION, RELATION, STOP_WORDS, SYMBOL, TEST, TOKEN, query_row
 from quarry.operators.graph import KEYWORDS
 from quarry.schema import COHERENCE, DEFINITION_BOOST, IMPORT_BOOST, MOST_IDENTIFIERS, REFERENCE_BOOST, RRF_K, SATURATION, SEEDS, SUFFIXES
 
@@ -112,23 +114,56 @@ postings AS (SELECT field, term, chunk_ord, dl, count(*) AS tf FROM (SELECT fiel
 terms AS (SELECT field, term, count(*) AS df FROM postings GROUP BY field, term)"""
 
 
+def _terms(name: str, stemmed: bool, stop_words: bool) -> str:
+    """What terms.search_terms() gives, from the search texts' tokens: long ones or those with an alias, their stems, the aliases of all."""
+    long, wanted = "(length(term) > 2 OR term IN (SELECT term FROM aliases))", "TRUE" if stop_words else f"term NOT IN ({STOP_ROWS})"
+    more = f"UNION SELECT query_id, term FROM (SELECT query_id, unnest({stems('term')}) AS term FROM {name}_0) WHERE {long} AND {wanted}" if stemmed else ""
+    return f"""{name}_0 AS (SELECT DISTINCT query_id, term FROM query_tokens WHERE {long} AND {wanted}),
+{name}_1 AS (SELECT query_id, term FROM {name}_0 {more}),
+{name} AS (SELECT query_id, list(DISTINCT term) AS {name} FROM (SELECT query_id, term FROM {name}_1 UNION SELECT query_id, alias FROM (SELECT query_id, alias AS term, alias FROM {name}_1 JOIN aliases USING (term)) WHERE {wanted}) GROUP BY query_id)"""
+
+
+def parsed_cte(source: str, alpha: float | None = None) -> str:
+    """`queries` of the rows (query_id, raw) of a source, parsed and classified here; of texts without quotes and backslashes, which a shell would take away. All of terms.QUERY but the groups."""
+    field = lambda names, column: f"list_distinct(flatten(list_transform(list_filter(words, lambda w: regexp_matches(w, {quote('(?i)' + FILTER.pattern)}) AND list_contains({strings(names)}, lower(string_split(w, ':')[1])) AND len({_values('w')}) > 0), lambda w: {_values('w')}))) AS {column}"
+    matches = lambda e, p: f"regexp_matches({e}, {quote(('(?i)' if p.flags & re.IGNORECASE else '') + p.pattern)})"
+    symbol, hint, question, relation, tests = matches("trim(search_text)", SYMBOL), *(matches("search_text", p) for p in (HINT, QUESTION, RELATION, TEST))
+    given = f"CAST({alpha!r} AS DOUBLE)" if alpha is not None else "CAST(NULL AS DOUBLE)"
+    weight = lambda column, share, *of: f"CAST(CASE WHEN given IS NOT NULL THEN {share} WHEN {symbol} THEN {of[0]} WHEN {hint} THEN {of[1]} WHEN {question} THEN {of[2]} ELSE {of[3]} END AS DOUBLE) AS {column}"
+    lists = ", ".join(f"coalesce({x}, CAST([] AS VARCHAR[])) AS {x}" for x in ("raw_terms", "base_terms", "content_terms", "metadata_terms"))
+    return f"""aliases(term, alias) AS (VALUES {ALIAS_ROWS}),
+worded AS (SELECT CAST(query_id AS BIGINT) AS query_id, raw, list_filter(regexp_split_to_array(raw, '[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM ({source}) WHERE trim(raw) <> ''),
+filtered AS (SELECT query_id, raw, array_to_string(list_filter(words, lambda w: NOT (regexp_matches(w, {quote('(?i)' + FILTER.pattern)}) AND len({_values('w')}) > 0)), ' ') AS text,
+  {field(['kind'], 'kinds')}, {field(['lang', 'language'], 'languages')}, {field(['path'], 'paths')}, {field(['name'], 'names')} FROM worded),
+searched AS (SELECT *, CASE WHEN text <> '' THEN text ELSE raw END AS search_text, {given} AS given FROM filtered),
+query_tokens AS (SELECT query_id, unnest({tokens('search_text')}) AS term FROM searched),
+{_terms('raw_terms', False, True)},
+{_terms('base_terms', False, False)},
+{_terms('content_terms', True, False)},
+{_terms('metadata_terms', True, True)},
+classed AS (SELECT *, {compact('search_text')} AS compact, list_filter(regexp_split_to_array(search_text, '\\s+'), lambda w: length(w) > 1) AS long_words,
+  coalesce(given, CASE WHEN {symbol} THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END) AS alpha,
+  {weight('w_content', '1 - given', 1.5, 1.1, 1.3, 1.2)}, {weight('w_vector', 'given', 0.4, 1.0, 1.3, 1.15)}, {weight('w_name', '2.0 * (1 - given)', 2.5, 1.2, 0.2, 0.25)},
+  {weight('w_path', '2.5 * (1 - given)', 1.2, 1.2, 0.9, 1.4)}, {weight('w_symbol', '2.2 * (1 - given)', 2.5, 1.0, 0.2, 0.2)}, {relation} AS expand, {tests} AS for_tests FROM searched),
+parsed AS (SELECT classed.* EXCLUDE (text, given, long_words), CASE WHEN len(long_words) > 1 THEN list_transform(long_words, lambda w: {compact('lower(w)')}) ELSE CAST([] AS VARCHAR[]) END AS word_compacts, {lists}
+  FROM classed LEFT JOIN raw_terms USING (query_id) LEFT JOIN base_terms USING (query_id) LEFT JOIN content_terms USING (query_id) LEFT JOIN metadata_terms USING (query_id))"""
+
+
+def _values(word: str) -> str:
+    """A filter's values."""
+    return f"list_filter(list_transform(string_split(regexp_extract({word}, '^[a-zA-Z]+:((?s:.+))$', 1), ','), lambda v: lower(trim(v))), lambda v: v <> '')"
+
+
 def queries_cte(queries: list[str], alpha: float | None = None) -> str:
-    names = [x.strip().split(" ")[0] for x in QUERY.split(", ")]
-
-    def value(x: object) -> str:
-        if isinstance(x, bool):
-            return str(x).upper()
-        if isinstance(x, float):
-            return f"CAST({x!r} AS DOUBLE)"
-        if isinstance(x, str):
-            return quote(x)
-        if isinstance(x, list):
-            return "CAST([" + ", ".join(strings(y) for y in x) + "] AS VARCHAR[][])" if x and isinstance(x[0], list) else strings(x)
-        return str(x)
-
-    rows = [", ".join(f"{value(v)} AS {n}" for n, v in zip(names, query_row(i, q, alpha))) for i, q in enumerate(queries)]
-    return "queries AS (" + " UNION ALL ".join(f"SELECT {r}" for r in rows) + ")"
+    """The stated queries, parsed by parsed_cte(). Only the concept groups come from here, as a greedy grouping isn't SQL's."""
+    groups = lambda q: query_row(0, q)[QUERY_NAMES.index("groups")]
+    nested = lambda x: "CAST([" + ", ".join(strings(y) for y in x) + "] AS VARCHAR[][])"
+    source = " UNION ALL ".join(f"SELECT {i} AS query_id, {quote(q)} AS raw" for i, q in enumerate(queries))
+    named = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, {nested(groups(q))} AS groups" for i, q in enumerate(queries))
+    return parsed_cte(source, alpha) + f",\nqueries AS (SELECT parsed.*, groups FROM parsed JOIN ({named}) USING (query_id))"
+
 
+QUERY_NAMES = [x.strip().split(" ")[0] for x in QUERY.split(", ")]
 
 QUERY_TERMS = """query_terms AS (
   SELECT query_id, 'content' AS field, unnest(content_terms) AS term FROM queries

@@ -1,4 +1,8 @@
-"""Indexes on disk: chunks with their vectors, postings, the graph and metadata, one directory a project."""
+"""Indexes in files: chunks with their vectors, postings, the graph and metadata, one directory a project.
+
+All files are read, written and looked for through Spark's file systems, so the home may be a folder of any store that all
+executors share. The default one is for a single machine.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import embedding_text
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
+from quarry.shared import path_exists, read_text, write_text
 from quarry.sources import tree
 
 HOME = Path("~/.quarry")
@@ -22,8 +27,14 @@ def project_key(root: str) -> str:
     return hashlib.sha256(str(Path(root).expanduser().resolve()).encode()).hexdigest()
 
 
-def index_dir(root: str, home: Path = HOME) -> Path:
-    return home.expanduser() / "chunk" / project_key(tree.checked_root(root))
+def index_dir(root: str, home: str | Path = HOME) -> str:
+    """A home that is a Path, or a string without a scheme, is a folder of this machine."""
+    base = str(home) if "://" in str(home) else Path(home).expanduser().resolve().as_uri()
+    return f"{base.rstrip('/')}/chunk/{project_key(tree.checked_root(root))}"
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.appName("quarry").getOrCreate()
 
 
 class HybridIndex:
@@ -67,46 +78,52 @@ class HybridIndex:
         hits = vectors.cosine_top(self.embeddings, [(r["query_id"], v) for r, v in zip(rows, found)], max(10 * top_k, 100))
         return hybrid.search(self.chunks, asked, hits, top_k, penalize_paths, self.links, any(r["expand"] for r in rows), self.held)
 
-    def save(self, root: str, home: Path = HOME, model_name: str = "hashing") -> None:
-        to = index_dir(root, home)
-        to.mkdir(parents=True, exist_ok=True)
+    def save(self, root: str, home: str | Path = HOME, model_name: str = "hashing") -> None:
+        self.save_to(index_dir(root, home), {"root_path": tree.checked_root(root), "root_path_sha256": project_key(root), "created_at": time.time(), "model_name": model_name})
+
+    def save_to(self, to: str, about: dict[str, object] | None = None) -> None:
+        """Postings lie by field, sorted by term. The metadata comes last: an index without them isn't whole."""
+        spark = self.chunks.sparkSession
         self.chunks.write.mode("overwrite").parquet(f"{to}/chunks")
         self.embeddings.write.mode("overwrite").parquet(f"{to}/vectors")
-        self.held.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{to}/postings")
+        self.held.postings.repartitionByRange("field", "term", "chunk_ord").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{to}/postings")
         self.held.stats.write.mode("overwrite").parquet(f"{to}/stats")
         self.held.terms.write.mode("overwrite").parquet(f"{to}/terms")
         self.nodes.write.mode("overwrite").parquet(f"{to}/nodes")
         self.edges.write.mode("overwrite").parquet(f"{to}/edges")
-        read = lambda name: self.chunks.sparkSession.read.parquet(f"{to}/{name}")
+        read = lambda name: spark.read.parquet(f"{to}/{name}")
         n = read("chunks").count()
         width = read("vectors").agg(F.max(F.size("embedding"))).first()[0] or 0
-        meta = {"root_path": tree.checked_root(root), "root_path_sha256": project_key(root), "created_at": time.time(), "model_name": model_name, "chunk_count": n, "vector_shape": [n, width], "graph_node_count": read("nodes").count(), "graph_edge_count": read("edges").count()}
-        (to / "metadata.json").write_text(json.dumps(meta, ensure_ascii=False, indent=2), encoding="utf-8")
+        meta = (about or {}) | {"chunk_count": n, "vector_shape": [n, width], "graph_node_count": read("nodes").count(), "graph_edge_count": read("edges").count()}
+        write_text(spark, f"{to}/metadata.json", json.dumps(meta, ensure_ascii=False, indent=2))
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, home: str | Path = HOME, model: vectors.Model | None = None) -> HybridIndex:
+        return cls.load_from(spark, index_dir(root, home), model)
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, home: Path = HOME, model: vectors.Model | None = None) -> HybridIndex:
+    def load_from(cls, spark: SparkSession, to: str, model: vectors.Model | None = None) -> HybridIndex:
         """The graph is made again, and saved, where it is missing."""
-        to = index_dir(root, home)
         read = lambda name: spark.read.parquet(f"{to}/{name}")
         chunks = read("chunks")
         for name, make in (("nodes", graph.nodes), ("edges", graph.edges)):
-            if not (to / name).exists():
+            if not path_exists(spark, f"{to}/{name}"):
                 make(chunks).write.parquet(f"{to}/{name}")
         held = bm25.Index(read("postings"), read("stats"), read("terms"))
         return cls(chunks, read("vectors"), model or vectors.HashingModel(), held, read("nodes"), read("edges"))
 
 
-def index_exists(root: str, home: Path = HOME) -> bool:
+def index_exists(root: str, home: str | Path = HOME) -> bool:
     """Chunks, vectors and metadata are there, and made for this root."""
-    to = index_dir(root, home)
+    spark, to = _session(), index_dir(root, home)
     try:
-        meta = json.loads((to / "metadata.json").read_text(encoding="utf-8"))
-    except (OSError, json.JSONDecodeError):
+        meta = json.loads(read_text(spark, f"{to}/metadata.json") or "null")
+    except json.JSONDecodeError:
         return False
-    return meta.get("root_path_sha256") == project_key(root) and (to / "chunks").exists() and (to / "vectors").exists()
+    return isinstance(meta, dict) and meta.get("root_path_sha256") == project_key(root) and path_exists(spark, f"{to}/chunks") and path_exists(spark, f"{to}/vectors")
 
 
-def load_or_build(spark: SparkSession, root: str, model: vectors.Model | None = None, rebuild: bool = False, home: Path = HOME) -> HybridIndex:
+def load_or_build(spark: SparkSession, root: str, model: vectors.Model | None = None, rebuild: bool = False, home: str | Path = HOME) -> HybridIndex:
     if rebuild or not index_exists(root, home):
         HybridIndex.from_chunks(tree.scan(spark, root), model).save(root, home)
     return HybridIndex.load(spark, root, home, model)

@@ -1,6 +1,7 @@
 """The code graph, scans, chunks, the store and the command line."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,9 +119,9 @@ def test_store(spark, tmp_path):
     assert first and store.index_exists(str(root), home)
     again = store.load_or_build(spark, str(root), home=home)
     assert [(r["file_path"], round(r["score"], 6)) for r in again.search("run app").collect()] == first
-    meta = json.loads((store.index_dir(str(root), home) / "metadata.json").read_text())
+    meta = json.loads((Path(store.index_dir(str(root), home).removeprefix("file://")) / "metadata.json").read_text())
     assert meta["chunk_count"] == built.chunks.count() and meta["vector_shape"] == [meta["chunk_count"], 256]
-    (store.index_dir(str(root), home) / "metadata.json").write_text(json.dumps(meta | {"root_path_sha256": "x"}))
+    (Path(store.index_dir(str(root), home).removeprefix("file://")) / "metadata.json").write_text(json.dumps(meta | {"root_path_sha256": "x"}))
     assert not store.index_exists(str(root), home)
 
 
