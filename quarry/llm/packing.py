@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
@@ -12,7 +14,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ SLOT, DOC, PAIR = 0, 1, 2
 
 #: Words whose ids a worker remembers, of so many letters at most.
 REMEMBERED, LETTERS = 1 << 19, 64
+#: public_tokenizers.PATTERN for texts of plain letters, see _is_plain(), of which the library's own expressions know the classes.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -47,9 +51,8 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
         cut = given.get("pre_tokenizer") or {}
-        self.by_word = given.get("normalizer") is None and given.get("post_processor") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+        self.by_word = given.get("normalizer") is None and given.get("post_processor") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True) and public_tokenizers.PATTERN == PATTERN
         self.marks = [x["content"] for x in given["added_tokens"]]
-        self.words = regex.compile(public_tokenizers.PATTERN)
         self.ids: dict[str, bytes] = {}
         self.plain: set[str] = set()
         self.odd: set[str] = set()
@@ -58,19 +61,20 @@ class Encoder:
         letters = set(text) - self.plain
         for c in letters - self.odd:
             kind = unicodedata.category(c)
-            good = c in "\t\n\r " or kind[0] not in "ZC" and kind == unicodedata.ucd_3_2_0.category(c)
+            # letters, decimal digits, marks, punctuation and symbols, for long and still
+            good = c in "\t\n\r " or (kind[0] in "LMPS" or kind == "Nd") and kind == unicodedata.ucd_3_2_0.category(c) and bool(re.match(r"[^\W\d_]", c)) == (kind[0] == "L")
             (self.plain if good else self.odd).add(c)
         return not letters & self.odd and not any(x in text for x in self.marks)
 
     def __call__(self, given: Sequence[str]) -> list[np.ndarray]:
-        cut = [self.words.findall(x) if self.by_word and self._is_plain(x) else None for x in given]
+        cut = [WORDS.findall(x) if self.by_word and self._is_plain(x) else None for x in given]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         ids = self.ids
-        new = list({w for words in cut if words for w in words if w not in ids})
+        new = list(set().union(*(words for words in cut if words)) - ids.keys())
         whole = [x for x, words in zip(given, cut) if words is None]
         found = iter(self.own.encode_batch_fast(new + whole, add_special_tokens=False))
-        ids.update((w, np.asarray(next(found).ids, "<u4").tobytes()) for w in new)
+        ids.update((w, array.array("I", next(found).ids).tobytes()) for w in new)
         out = [np.asarray(next(found).ids, "<u4") if words is None else np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4") for words in cut]
         for w in new:
             if len(w) > LETTERS:
