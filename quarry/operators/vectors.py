@@ -17,6 +17,8 @@ from quarry.functions.terms import tokenize
 from quarry.operators.bm25 import DIGITS, top
 
 EPSILON = 1e-12
+#: Query vectors that meet a batch of rows at once.
+AT_ONCE = 256
 
 
 class Model(Protocol):
@@ -71,8 +73,8 @@ def normalized(vector: Column) -> Column:
 def cosine_top(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, key: str = "chunk_ord", vector: str = "embedding") -> DataFrame:
     """query_id, rank, <key>, score: the k rows nearest by cosine, weak and negative ones too; ties go to the lower key.
 
-    A stated set of query vectors against all rows: each batch of rows is one matrix product, of which each query's k
-    best rows go on, so the shuffle has k rows a query and batch.
+    A stated set of query vectors, which goes to all workers, against all rows: each batch of rows meets AT_ONCE queries in a
+    matrix product, of which each query's k best rows go on, so the shuffle has k rows a query and batch.
     """
     ids = np.array([q for q, _ in queries], np.int64)
     asked = np.array([v for _, v in queries], np.float64).reshape(len(ids), -1)
@@ -87,9 +89,11 @@ def cosine_top(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]
             if len(flat) != len(keys) * asked.shape[1]:
                 raise ValueError("query vector dimension does not match index dimension")
             rows = flat.reshape(len(keys), -1)
-            found = np.round(asked @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), EPSILON)).T, DIGITS)
-            order = np.lexsort((np.broadcast_to(keys, found.shape), -found), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(found, order, 1).ravel())], ["query_id", key, "score"])
+            unit = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), EPSILON)).T
+            for at in range(0, len(ids), AT_ONCE):
+                found = np.round(asked[at : at + AT_ONCE] @ unit, DIGITS)
+                order = np.lexsort((np.broadcast_to(keys, found.shape), -found), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + AT_ONCE], order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(found, order, 1).ravel())], ["query_id", key, "score"])
 
     found = vectors.select(F.col(key).cast("long").alias(key), F.col(vector)).mapInArrow(run, f"query_id long, {key} long, score double")
     return top(found, k, ["query_id"], [key]).select("query_id", "rank", key, "score")

@@ -82,11 +82,11 @@ def fuse(channels: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
 
 def coherent(scored: DataFrame) -> DataFrame:
     """The best chunk of each file gains a share of the query's best score, by the file's total over the greatest total. scored: query_id, chunk_ord, file_path, start_line, score."""
-    file = Window.partitionBy("query_id", "file_path")
-    query = Window.partitionBy("query_id")
-    rows = scored.withColumn("_total", F.round(F.sum("score").over(file), 12)).withColumn("_best", F.row_number().over(file.orderBy(F.col("score").desc(), "start_line", "chunk_ord")))
-    rows = rows.withColumn("_most", F.max("score").over(query)).withColumn("_most_total", F.max("_total").over(query))
-    gain = F.when((F.col("_best") == 1) & (F.col("_most") > 0) & (F.col("_most_total") > 0), F.col("_most") * COHERENCE * F.col("_total") / F.col("_most_total")).otherwise(0.0)
+    best = F.min(F.struct((-F.col("score")).alias("less"), "start_line", "chunk_ord"))
+    files = scored.groupBy("query_id", "file_path").agg(F.round(F.sum("score"), 12).alias("_total"), F.max("score").alias("_top"), best["chunk_ord"].alias("_best"))
+    whole = files.groupBy("query_id").agg(F.max("_top").alias("_most"), F.max("_total").alias("_most_total"))  # a row a query
+    rows = scored.join(files.drop("_top"), ["query_id", "file_path"]).join(whole, "query_id")
+    gain = F.when((F.col("chunk_ord") == F.col("_best")) & (F.col("_most") > 0) & (F.col("_most_total") > 0), F.col("_most") * COHERENCE * F.col("_total") / F.col("_most_total")).otherwise(0.0)
     return rows.withColumn("score", F.col("score") + gain).drop("_total", "_best", "_most", "_most_total")
 
 
