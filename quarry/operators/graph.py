@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -102,25 +101,24 @@ def imports_of(content: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([imports_in(x, y) for x, y in zip(texts, languages)])
 
 
-def relative_candidates(importer: str, module: str) -> list[str]:
-    """The files that a relative import may mean, the likeliest first."""
-    base = posixpath.dirname(importer)
-    if module.startswith(("./", "../")):
-        to = posixpath.normpath(posixpath.join(base, module))
-    else:
-        dots = len(module) - len(module.lstrip("."))
-        for _ in range(dots - 1):
-            base = posixpath.dirname(base)
-        to = posixpath.normpath(posixpath.join(base, module[dots:].replace(".", "/")))
-    to = to.removeprefix("./")
-    tries = [to, *(f"{to}{middle}{s}" for middle in ("", "/index", "/__init__") for s in sorted(SUFFIXES))]
-    return list(dict.fromkeys(x for x in tries if x not in ("", ".")))
+#: What a relative import's path may lack: a suffix, or the name of a directory's own file.
+_ENDINGS = ["", *(middle + s for middle in ("", "/index", "/__init__") for s in sorted(SUFFIXES))]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def relative_files(given: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for importers, modules in given:
-        yield pd.Series([relative_candidates(a, b) for a, b in zip(importers, modules)])
+def relative_files(importer: Column, module: Column) -> Column:
+    """The files that a relative import may mean, the likeliest first: `./a/b` and `../a` as paths, `.a.b` as a module, each dot after the first a directory up."""
+    base = F.regexp_extract(importer, "(?s)^(.*)/[^/]*$", 1)
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    folders = F.split(base, "/")
+    above = F.array_join(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - dots + 1, F.lit(0))), "/")
+    slashed = F.startswith(module, F.lit("./")) | F.startswith(module, F.lit("../"))
+    path = F.when(slashed, F.concat(base, F.lit("/"), module)).otherwise(F.concat(above, F.lit("/"), F.replace(F.substr(module, dots + 1), F.lit("."), F.lit("/"))))
+    root = F.when(F.startswith(importer, F.lit("/")), "/").otherwise("")
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    back = lambda a, x: F.when((x != "..") | (F.size(a) == 0) & (root == "") | (F.try_element_at(a, F.lit(-1)) == ".."), F.concat(a, F.array(x))).otherwise(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), back)
+    to = F.concat(root, F.array_join(folded, "/"))
+    return F.when(to != "", F.transform(F.array(*map(F.lit, _ENDINGS)), lambda x: F.concat(to, x))).otherwise(F.array().cast("array<string>"))
 
 
 def imports(chunks: DataFrame) -> DataFrame:
@@ -164,7 +162,7 @@ def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     names = found.where(~F.startswith("module", F.lit("."))).select("file_path", "module", F.posexplode(module_lookups(F.col("module"))).alias("at", "name"))
     absolute = names.join(unique_modules(files).withColumnRenamed("module", "name"), "name").select("file_path", "module", "at", F.col("file").alias("target"))
     dotted = found.where(F.startswith("module", F.lit(".")))
-    tries = dotted.select("file_path", "module", F.posexplode(relative_files("file_path", "module")).alias("at", "target"))
+    tries = dotted.select("file_path", "module", F.posexplode(relative_files(F.col("file_path"), F.col("module"))).alias("at", "target"))
     relative = tries.join(files.select(F.col("file_path").alias("target")), "target", "left_semi").select("file_path", "module", "at", "target")
     return absolute.unionByName(relative).groupBy("file_path", "module").agg(F.min_by("target", "at").alias("target"))
 

@@ -19,7 +19,7 @@ from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
 from quarry.reach import reach
 from quarry.schema import CHUNK
-from quarry.shared import shared_dir, spread, written
+from quarry.shared import cleared, shared_dir, spread, written
 from quarry.sources import chunker, tree
 
 #: A question that asks for relations, a symbol, one with filters, one with an identifier.
@@ -76,7 +76,7 @@ def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     state = tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in [files.getFileStatus(path), *files.listStatus(path)]))
-    if (key := (spark.sparkContext.applicationId, state)) not in _INDEXES:
+    if (key := (spark.sparkContext.applicationId, cleared(), state)) not in _INDEXES:
         rows = written(chunks(spark, sf_dir), "chunks")
         held = bm25.index(rows)
         postings = written(held.postings.repartitionByRange("field", "term", "chunk_ord").sortWithinPartitions("field", "term"), "postings", ["field"]).select(held.postings.columns)

@@ -25,10 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What this process has written, and how often that was cleared.
+_WRITTEN: list[str] = []
+_CLEARED: list[None] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that was written so far. Frames that were returned read it lazily, so only a caller who is done with them all can say when."""
+    _CLEARED.append(None)
+    while _WRITTEN:
+        at, files = _file(spark, _WRITTEN.pop())
+        files.delete(at, True)
+
+
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor loses none of it, and no plan before it runs, or is analysed, twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,3 +91,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     finally:
         stream.close()
         files.close()
+
+
+def cleared() -> int:
+    return len(_CLEARED)

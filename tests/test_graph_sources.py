@@ -1,6 +1,7 @@
 """The code graph, scans, chunks, the store and the command line."""
 
 import json
+import posixpath
 from pathlib import Path
 
 import pytest
@@ -143,3 +144,22 @@ def test_deep_sources():
         for name in ("a.py", "a.js"):
             assert [x[4] for x in chunk_source(source, name)] == ["file"]
     assert [x[4:6] for x in chunk_source("x=1\rdef f():\r  pass\rclass A:\r\n  def g(self): return 1\r\n", "a.py")] == [("function", "f"), ("class", "A"), ("method", "A.g")]
+
+
+def candidates(importer, module):
+    """A plain version."""
+    base = posixpath.dirname(importer)
+    if module.startswith(("./", "../")):
+        to = posixpath.normpath(posixpath.join(base, module))
+    else:
+        rest = module.lstrip(".")
+        for _ in range(len(module) - len(rest) - 1):
+            base = posixpath.dirname(base)
+        to = posixpath.normpath(posixpath.join(base, rest.replace(".", "/")))
+    return [to + x for x in graph._ENDINGS] if to != "." else []
+
+
+def test_relative_files(spark):
+    cases = [(i, m) for i in ("a/b/c.py", "c.py", "/a/b.js", "a/../b/c.ts", "x/y/z/w.py") for m in ("./d", "../d", "../../d/./e", "../../../d", ".d", "..d.e", "...d", ".", "..", "./", "./d.js", "../..", ".....far")]
+    got = spark.createDataFrame(cases, "i string, m string").select("i", "m", graph.relative_files(F.col("i"), F.col("m")).alias("f")).collect()
+    assert [(r["i"], r["m"], r["f"]) for r in got] == [(i, m, candidates(i, m)) for i, m in cases]

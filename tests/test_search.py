@@ -156,3 +156,16 @@ def test_expansion_is_sequential(spark):
         links = spark.createDataFrame([(a, b, x) for (a, b), x in boost.items()], "seed long, chunk_ord long, boost double")
         got = {r["chunk_ord"]: r["score"] for r in graph.expand(scored, seeds, links).collect()}
         assert got == pytest.approx(want)
+
+
+def test_clear(spark):
+    from quarry import shared
+
+    kept = shared._WRITTEN[:]
+    shared._WRITTEN.clear()
+    out = shared.written(spark.range(5), "five")
+    path, before = shared._WRITTEN[0], shared.cleared()
+    assert out.count() == 5 and shared.path_exists(spark, path)
+    shared.clear(spark)
+    assert not shared.path_exists(spark, path) and shared.cleared() == before + 1
+    shared._WRITTEN.extend(kept)
