@@ -1,4 +1,7 @@
-"""The pipeline over documents: quality rules, near-dedup, secrets, the mix, and packing."""
+"""The pipeline over documents: quality rules, near-dedup, secrets, the mix, and packing.
+
+Each stage takes any documents: extra columns go along, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,27 @@ from quarry.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
+    """The documents that the rules keep. Null and empty texts have no words and go; repeated rows are judged alike; other columns, null or not, don't matter."""
     return quality.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the least id."""
+    """One document of each class of near copies, that with the least id, null last; of repeated rows one, always the same. Texts without words are no copies of one another and stay."""
     return dartminhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark, and n_chars follows."""
+    """All documents, repeated ones included; secrets in their texts are replaced by a mark, and n_chars follows. Null texts stay null."""
     return secrets.clean(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of training, each as often as the mix takes it."""
+    """The documents in the order of training, each as often as the mix takes it. A null source is one of its own; null ids are as good as others; texts without words are never taken; repeated rows are taken each."""
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens with their places in sequences."""
+    """The pieces of the documents' tokens with their places in sequences. A null text is the end's token alone; repeated rows are packed each."""
     return packing.pack(docs)
 
 
