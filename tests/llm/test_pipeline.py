@@ -8,7 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 from quarry.llm import mixing, quality, secrets
 from quarry.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.helpers import words
+from tests.llm.helpers import frame, words
 from tests.llm.test_corpus import classes_of
 
 
@@ -39,6 +39,17 @@ def test_stages(spark, sf_dir):
     assert all(words(r["text"]) for r in mixed.collect())
 
 
+def test_stages_take_anything(spark):
+    """Nulls, repeated rows, columns with the names that operators use inside, and no rows at all."""
+    for docs in (frame(spark), frame(spark, [])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.schema == docs.schema, name
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert len({(r["doc_id"]) for r in packed.collect()}) == len({r["doc_id"] for r in docs.collect()})
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names and set(ORACLE_SQL) <= set(QUERIES)
