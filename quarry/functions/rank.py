@@ -70,12 +70,16 @@ def concept_hits(groups: Column, metadata: Column, content: Column) -> Column:
 
 
 def relevance_factor(chunk: dict[str, Column], query: dict[str, Column]) -> Column:
-    """1 and the bonuses; more with several concepts, less with none of name, path and concepts; 0.1 at least. chunk may have content_tokens instead of content."""
-    content = chunk["content_tokens"] if "content_tokens" in chunk else F.array_distinct(T.tokens(chunk["content"]))
+    """1 and the bonuses; more with several concepts, less with none of name, path and concepts; 0.1 at least. chunk may have content_tokens instead of content, or the query's hits."""
+
+    def found() -> Column:
+        content = chunk["content_tokens"] if "content_tokens" in chunk else F.array_distinct(T.tokens(chunk["content"]))
+        return concept_hits(query["groups"], T.metadata_tokens(chunk["file_path"], chunk["kind"], chunk["name"], chunk["language"]), content)
+
     given = F.struct(
         name_bonus(chunk["name"], query["search_text"], query["compact"], query["word_compacts"], query["raw_terms"]).alias("name"),
         path_bonus(chunk["file_path"], query["base_terms"]).alias("path"),
-        concept_hits(query["groups"], T.metadata_tokens(chunk["file_path"], chunk["kind"], chunk["name"], chunk["language"]), content).alias("hits"),
+        (chunk["hits"] if "hits" in chunk else found()).alias("hits"),
     )
 
     def rules(x: Column) -> Column:

@@ -80,14 +80,23 @@ def dirs(path: Column) -> Column:
     return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def path_text(path: Column) -> Column:
+    """The file's name, its stem and its directories."""
+    p = slashes(path)
+    return F.concat_ws(" ", file_name(p), stem(file_name(p)), F.concat_ws(" ", dirs(p)))
+
+
 def path_tokens(path: Column) -> Column:
     """Tokens of the file's name, its stem and its directories, with stems."""
-    p = slashes(path)
-    return with_stems(tokens(F.concat_ws(" ", file_name(p), stem(file_name(p)), F.concat_ws(" ", dirs(p)))))
+    return with_stems(tokens(path_text(path)))
+
+
+def metadata_text(path: Column, kind: Column, name: Column, language: Column) -> Column:
+    return F.concat_ws(" ", path, stem(file_name(path)), F.concat_ws("/", dirs(path)), kind, name, language)
 
 
 def metadata_tokens(path: Column, kind: Column, name: Column, language: Column) -> Column:
-    return F.array_distinct(tokens(F.concat_ws(" ", path, stem(file_name(path)), F.concat_ws("/", dirs(path)), kind, name, language)))
+    return F.array_distinct(tokens(metadata_text(path, kind, name, language)))
 
 
 def compact(text: Column) -> Column:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.segments import segment, slices
+from quarry.functions.terms import split_token, stems
 from quarry.schema import FIELD_WEIGHTS, Bm25
 from quarry.shared import written
 
 FIELDS = tuple(FIELD_WEIGHTS)
 #: Scores are rounded to so many digits before they are ranked, as sums come in any order.
 DIGITS = 9
+#: Terms of up to so many go to the workers, which leave out the postings of others.
+FEW = 1 << 14
 
 
 class Index(NamedTuple):
@@ -36,16 +44,66 @@ def field_stats(documents: DataFrame) -> DataFrame:
     return documents.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
+def _stemmed(token: str) -> list[str]:
+    return [x for part in split_token(token) for x in (part, *stems(part))]
+
+
+def postings(chunks: DataFrame, fields: tuple[str, ...] = FIELDS, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """field, term, chunk_ord, tf, dl, of all terms or of the wanted ones by field; and a chunk's length in each field, as that of no term (null for a null content).
+
+    Each part of a task's texts makes a segment of its own, sorted by field and term; nothing is shuffled.
+    """
+    texts = {"content": F.col("content"), "name": F.coalesce("name", F.lit("")), "path": T.path_text(F.col("file_path"))}
+    kind = chunks.schema["chunk_ord"].dataType.simpleString()
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, list[str]]] = {f: {} for f in fields}
+        keep = None if wanted is None else {f: pa.array(wanted.get(f, []), pa.string()) for f in fields}
+        for batch in given:
+            for i, field in enumerate(fields):
+                for at, to in slices(batch.column(i + 1)):
+                    text, keys = batch.column(i + 1).slice(at, to - at), batch.column(0).slice(at, to - at)
+                    words, number, word = segment(text, split_token if field == "content" else _stemmed, known[field])
+                    many = len(text)
+                    if field == "content":
+                        size = np.bincount(number, minlength=many)
+                        if keep is not None:
+                            some = np.asarray(pc.is_in(words, keep[field]))[word]
+                            number, word = number[some], word[some]
+                        both, tf = np.unique(word * many + number, return_counts=True)
+                    else:  # each term once
+                        both = np.unique(word * many + number)
+                        size = np.bincount(both % many, minlength=many)
+                        if keep is not None:
+                            both = both[np.asarray(pc.is_in(words, keep[field]))[both // many]]
+                        tf = np.ones(len(both), np.int64)
+                    number = both % many
+                    sizes = pa.array(size, pa.int32(), mask=np.asarray(text.is_null()))
+                    none = [pa.array([field] * many), pa.nulls(many, pa.string()), keys, pa.array(np.ones(many, np.int64)), sizes]
+                    held = [pa.array([field]).take(pa.array(np.zeros(len(both), np.int64))), words.take(pa.array(both // many)), keys.take(pa.array(number)), pa.array(tf.astype(np.int64)), sizes.take(pa.array(number))]
+                    for columns in (none, held):
+                        yield pa.RecordBatch.from_arrays(columns, ["field", "term", "chunk_ord", "tf", "dl"])
+
+    return chunks.select("chunk_ord", *(texts[f].alias(f) for f in fields)).mapInArrow(run, f"field string, term string, chunk_ord {kind}, tf long, dl int")
+
+
+def index_of(rows: DataFrame, chunks: DataFrame) -> Index:
+    """The index over written postings(). Chunks that share a number are one."""
+    held, sizes = rows.where("term IS NOT NULL"), rows.where("term IS NULL")
+    if chunks.groupBy("chunk_ord").count().where("count > 1").limit(1).count():
+        held = held.groupBy("field", "term", "chunk_ord", "dl").agg(F.sum("tf").alias("tf")).select(rows.columns)
+    stats = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(held, stats, held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
+
+
 def index(chunks: DataFrame, terms: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> Index:
-    """The whole index or, with terms (field, term), what these need. Texts are cut into tokens once: postings are written, and lengths with them, as those of no term."""
-    documents = field_tokens(chunks, fields)
-    rows = documents.select("field", "chunk_ord", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    """The whole index or, with terms (field, term), at least what these need. Texts are cut into tokens once: postings are written, and lengths with them."""
+    wanted: dict[str, list[str]] | None = None
     if terms is not None:
-        rows = rows.join(terms.select("field", "term").distinct().withColumn("wanted", F.lit(True)), ["field", "term"], "left").where("wanted OR term IS NULL").drop("wanted")
-    rows = written(rows.groupBy("field", "term", "chunk_ord", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    held = rows.where("term IS NOT NULL")
-    stats = rows.where("term IS NULL").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(held, stats, held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
+        found = terms.select("field", "term").distinct().limit(FEW + 1).collect()
+        if len(found) <= FEW:
+            wanted = {f: [r["term"] for r in found if r["field"] == f] for f in fields}
+    return index_of(written(postings(chunks, fields, wanted), "postings"), chunks)
 
 
 def query_terms(queries: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

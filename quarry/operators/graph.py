@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions import text as T
+from quarry.functions.segments import first_words, slices
 from quarry.functions.terms import ALIASES
 from quarry.schema import CONTAINS, DEFINES, DEFINITION_BOOST, IMPORT_BOOST, IMPORTS_FILE, IMPORTS_MODULE, MOST_IDENTIFIERS, REFERENCE_BOOST, REFERENCES, SEEDS, SUFFIXES
 from quarry.shared import written
@@ -95,12 +97,6 @@ def imports_in(source: str, language: str | None) -> list[str]:
 _HINTS = "import|export|require|include|use|\""
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def imports_of(content: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, languages in content:
-        yield pd.Series([imports_in(x, y) for x, y in zip(texts, languages)])
-
-
 #: What a relative import's path may lack: a suffix, or the name of a directory's own file.
 _ENDINGS = ["", *(middle + s for middle in ("", "/index", "/__init__") for s in sorted(SUFFIXES))]
 
@@ -123,8 +119,16 @@ def relative_files(importer: Column, module: Column) -> Column:
 
 def imports(chunks: DataFrame) -> DataFrame:
     """file_path, module: each once."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for at, to in slices(batch.column(1)):
+                paths, texts, languages = (batch.column(i).slice(at, to - at).to_pylist() for i in range(3))
+                found = sorted({(p, m) for p, x, y in zip(paths, texts, languages) for m in imports_in(x, y)}, key=str)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(2)], ["file_path", "module"])
+
     rows = chunks.where(F.rlike("content", F.lit(_HINTS)))
-    return rows.select("file_path", F.explode(imports_of("content", "language")).alias("module")).distinct()
+    return rows.select("file_path", "content", "language").mapInArrow(run, "file_path string, module string").distinct()
 
 
 def tails(parts: Column) -> Column:
@@ -178,7 +182,7 @@ def nodes(chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     firsts = own.unionByName(symbols).groupBy("id").agg(first.alias("n")).select("id", "n.*")
     bare = lambda df, kind: df.select("id", F.lit(kind).alias("kind"), "label", none.alias("file_path"), none.alias("chunk_id"), none.alias("language"))
     modules = bare(found.select("module").distinct().select(F.concat(F.lit("module:"), "module").alias("id"), F.col("module").alias("label")), "module")
-    names = chunks.select("chunk_ord", F.explode(identifiers(F.col("content"))).alias("label")).withColumn("id", F.concat(F.lit("identifier:"), F.lower("label")))
+    names = identifier_rows(chunks).withColumn("id", F.concat(F.lit("identifier:"), F.lower("label")))
     # of an identifier's spellings, the first chunk's, and there the least
     named = bare(names.groupBy("id").agg(F.min(F.struct("chunk_ord", "label")).alias("f")).select("id", F.col("f.label").alias("label")), "identifier")
     return reduce(DataFrame.unionByName, (files.drop("ord"), firsts, modules, named))
@@ -194,10 +198,14 @@ def edges(chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     defines = chunks.where("name <> ''").select(F.explode(F.array(row(file, symbol, "defines", DEFINES), row(own, symbol, "defines", DEFINES))).alias("e"))
     to_module = found.select(row(file, F.concat(F.lit("module:"), "module"), "imports", IMPORTS_MODULE).alias("e"))
     to_file = resolved_imports(found, chunks.select("file_path").distinct()).select(row(file, file_id(F.col("target")), "imports", IMPORTS_FILE).alias("e"))
-    names = chunks.select(own.alias("own"), F.explode(identifiers(F.col("content"))).alias("x"))
-    references = names.select(row(F.col("own"), F.concat(F.lit("identifier:"), F.lower("x")), "references", REFERENCES).alias("e"))
-    every = reduce(DataFrame.unionByName, (contains, defines, to_module, to_file, references)).select("e.*")
-    return every.groupBy("source_id", "target_id", "kind").agg(F.max("confidence").alias("confidence"))
+    every = reduce(DataFrame.unionByName, (contains, defines, to_module, to_file)).select("e.*").groupBy("source_id", "target_id", "kind").agg(F.max("confidence").alias("confidence"))
+    # a chunk refers to an identifier once, so only what chunks with one id refer to has to be brought together
+    shared = written(chunks.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "shared_ids")
+    named = chunks.withColumn("own", own)
+    refers = lambda rows: identifier_rows(rows.withColumn("chunk_ord", F.col("own")), True).select("chunk_ord", F.concat(F.lit("identifier:"), "label").alias("target_id"))
+    names = refers(named.join(shared, "own", "left_anti")).unionByName(refers(named.join(shared, "own", "left_semi")).distinct())
+    references = names.select(F.col("chunk_ord").alias("source_id"), "target_id", F.lit("references").alias("kind"), F.lit(REFERENCES).alias("confidence"))
+    return every.unionByName(references)
 
 
 def label_terms(label: Column) -> Column:
@@ -217,9 +225,32 @@ def definitions(chunks: DataFrame) -> DataFrame:
     return last.where("name <> ''").select(F.explode(label_terms(F.col("name"))).alias("term"), "chunk_ord").distinct()
 
 
+def identifier_rows(chunks: DataFrame, lower: bool = False) -> DataFrame:
+    """chunk_ord, label: identifiers() of each chunk, cut by whole batches; lower: in lower case, a chunk's each once."""
+    kind = chunks.schema["chunk_ord"].dataType.simpleString()
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for at, to in slices(batch.column(1)):
+                words, number, word = first_words(batch.column(1).slice(at, to - at), list(KEYWORDS), MOST_IDENTIFIERS)
+                if lower:
+                    coded = pc.ascii_lower(words).dictionary_encode()
+                    words, many = coded.dictionary, max(1, len(words))
+                    both = np.unique(number * many + np.asarray(coded.indices, np.int64)[word])
+                    number, word = both // many, both % many
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(number)), words.take(pa.array(word))], ["chunk_ord", "label"])
+
+    return chunks.select("chunk_ord", "content").mapInArrow(run, f"chunk_ord {kind}, label string")
+
+
+def reference_rows(chunks: DataFrame) -> DataFrame:
+    """references(), of which rows may repeat where chunks share a number."""
+    return identifier_rows(chunks, True).select(F.col("label").alias("term"), "chunk_ord")
+
+
 def references(chunks: DataFrame) -> DataFrame:
     """term, chunk_ord: what chunks refer to."""
-    return chunks.select(F.explode(identifiers(F.col("content"))).alias("x"), "chunk_ord").select(F.lower("x").alias("term"), "chunk_ord").distinct()
+    return reference_rows(chunks).distinct()
 
 
 class Lookup(NamedTuple):
@@ -238,19 +269,22 @@ def file_neighbours(chunks: DataFrame) -> DataFrame:
 
 
 def lookup(chunks: DataFrame, graph_edges: DataFrame | None = None) -> Lookup:
-    return Lookup(file_neighbours(chunks) if graph_edges is None else neighbours(graph_edges), definitions(chunks), references(chunks))
+    return Lookup(file_neighbours(chunks) if graph_edges is None else neighbours(graph_edges), definitions(chunks), reference_rows(chunks))
 
 
 def seed_links(seeds: DataFrame, chunks: DataFrame, held: Lookup) -> DataFrame:
-    """seed, chunk_ord, boost: what a seed's score is worth to its neighbours, at most. seeds: seed (a chunk_ord)."""
+    """seed, chunk_ord, boost: what a seed's score is worth to its neighbours, at most. seeds: seed (a chunk_ord).
+
+    What seeds are, define and refer to, some hundred rows a query, is written before it meets all chunks, so that its size is known.
+    """
     seeds = seeds.select("seed").distinct()
-    files = seeds.join(chunks.select(F.col("chunk_ord").alias("seed"), "file_path"), "seed")
-    near = files.join(held.neighbours, F.col("file_path") == F.col("file")).select("seed", "other")
+    mine = written(seeds.join(chunks.withColumnRenamed("chunk_ord", "seed"), "seed").select("seed", "file_path", "content"), "seed_chunks")
+    near = written(mine.select("seed", "file_path").join(held.neighbours, F.col("file_path") == F.col("file")).select("seed", "other").distinct(), "near")
     by_import = near.join(chunks.select("chunk_ord", F.col("file_path").alias("other")), "other").select("seed", "chunk_ord", F.lit(IMPORT_BOOST).alias("boost"))
-    defined, referred = held.definitions, held.references
-    of = lambda df: seeds.join(df.withColumnRenamed("chunk_ord", "seed"), "seed")
-    by_definition = of(referred).join(defined, "term").select("seed", "chunk_ord", F.lit(DEFINITION_BOOST).alias("boost"))
-    by_reference = of(defined).join(referred, "term").select("seed", "chunk_ord", F.lit(REFERENCE_BOOST).alias("boost"))
+    referred = written(references(mine.withColumnRenamed("seed", "chunk_ord")).withColumnRenamed("chunk_ord", "seed"), "referred")
+    defined = written(seeds.join(held.definitions.withColumnRenamed("chunk_ord", "seed"), "seed"), "defined")
+    by_definition = referred.join(held.definitions, "term").select("seed", "chunk_ord", F.lit(DEFINITION_BOOST).alias("boost"))
+    by_reference = defined.join(held.references, "term").select("seed", "chunk_ord", F.lit(REFERENCE_BOOST).alias("boost"))
     return reduce(DataFrame.unionByName, (by_import, by_definition, by_reference)).groupBy("seed", "chunk_ord").agg(F.max("boost").alias("boost"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths, rank
 from quarry.functions import text as T
+from quarry.functions.segments import with_hits
 from quarry.functions.terms import QUERY, query_row
 from quarry.operators import bm25, graph, vectors
 from quarry.operators.bm25 import DIGITS
@@ -65,6 +66,7 @@ def symbol_channel(chunks: DataFrame, queries: DataFrame, k: int, keys: DataFram
         F.when(F.size("raw_terms") > 1, F.array(begin(F.get("raw_terms", F.lit(0))))).otherwise(F.array().cast("array<string>")),
     )
     met = asked.select("query_id", F.explode(F.array_distinct(wanted)).alias("key")).join(name_keys(chunks) if keys is None else keys, "key").select("query_id", "chunk_ord").distinct()
+    met = written(met, "met")
     both = met.join(chunks.select("chunk_ord", "content", "kind", "name"), "chunk_ord").join(asked, "query_id")
     both = both.where(rank.name_bonus(F.col("name"), F.col("search_text"), F.col("compact"), F.col("word_compacts"), F.col("raw_terms")) > 0)
     scored = both.select("query_id", "chunk_ord", F.round(rank.symbol_score(columns(both, both.columns), columns(both, both.columns)), DIGITS).alias("score"))
@@ -124,7 +126,8 @@ def search(
     chunks: chunk_ord and CHUNK. vector_hits: query_id, rank, chunk_ord, at least max(10 * top_k, 100) a query. expand:
     whether some query asks for relations; links are the graph's. held and keys: the written index, if there is one.
     given: channels from elsewhere, instead of the lexical ones. Filters come after recall. Content is joined again for the
-    candidates only. The fused rows are written, so what follows is a plan of its own.
+    candidates only, of which a query that asks for relations may have most chunks: their concepts are found by whole batches.
+    What several joins read is written, so that it is made once and its size is known.
     """
     depth = max(10 * top_k, RECALL)
     if given is None:
@@ -134,14 +137,16 @@ def search(
     if vector_hits is not None:
         channels["vector"] = vector_hits.where(F.col("rank") <= depth)
     fused = written(fuse({c: channels[c] for c in CHANNELS if c in channels}, queries), "fused")  # a few hundred rows a query
-    scored = expanded(fused, queries, chunks, links) if expand and links is not None else fused.select("query_id", "chunk_ord", "score")
+    scored = written(expanded(fused, queries, chunks, links), "scored") if expand and links is not None else fused.select("query_id", "chunk_ord", "score")
     rows = scored.join(chunks, "chunk_ord").join(queries, "query_id")
     own = {c: F.col(c) for c in CHUNK_COLUMNS}
     asked = {c: F.col(c) for c in queries.columns}
     rows = rows.where(rank.passes_filters(own, asked))
-    factor = rank.relevance_factor(own, asked)
+    about = T.metadata_text(F.col("file_path"), F.col("kind"), F.col("name"), F.col("language"))
+    rows = with_hits(rows, F.concat_ws("\n", about, "content"))
+    factor = rank.relevance_factor({c: F.col(c) for c in ("file_path", "kind", "name", "language", "hits")}, asked)
     adjusted = F.when((F.col("score") <= 0) | (F.col("alpha") >= 1), F.col("score")).otherwise(F.greatest(F.col("score") * factor, F.lit(TINY)))
     penalty = paths.prior(F.col("file_path"), F.col("for_tests")) if penalize_paths else F.lit(1.0)
-    narrow = rows.select("query_id", "chunk_ord", "file_path", "start_line", F.round(adjusted, 12).alias("score"), penalty.alias("penalty"))
+    narrow = written(rows.select("query_id", "chunk_ord", "file_path", "start_line", F.round(adjusted, 12).alias("score"), penalty.alias("penalty")), "adjusted")
     ranked = saturated(coherent(narrow).withColumn("score", F.col("score") * F.col("penalty")), top_k)
-    return ranked.select("query_id", "rank", "chunk_ord", "score").join(chunks, "chunk_ord")
+    return written(ranked.select("query_id", "rank", "chunk_ord", "score"), "ranked").join(chunks, "chunk_ord")

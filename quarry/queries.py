@@ -38,7 +38,7 @@ def chunks_of(documents: DataFrame) -> DataFrame:
     number = i.cast("string")
     path = [F.concat(F.lit("src/"), s, F.lit("/core.py")), F.concat(F.lit("tests/test_"), number, F.lit(".py")), F.concat(F.lit("src/_doc_"), number, F.lit(".py")), F.concat(F.lit("examples/"), s, F.lit("/doc_"), number, F.lit(".js")),
             F.concat(F.lit("src/"), s, F.lit("/__init__.py")), F.concat(F.lit("api/doc_"), number, F.lit(".pb.go")), F.concat(F.lit("types/doc_"), number, F.lit(".d.ts")), F.concat(F.lit("src/jvmTest/Doc"), number, F.lit("Test.kt")), F.concat(F.lit("lib/"), s, F.lit("/doc_"), number, F.lit(".py"))]
-    words = F.slice(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0), 1, 2)
+    words = F.filter(F.array(F.regexp_extract(text, "^[^A-Za-z]*+([A-Za-z]+)", 1), F.regexp_extract(text, "^[^A-Za-z]*+[A-Za-z]++[^A-Za-z]++([A-Za-z]+)", 1)), lambda w: w != "")
     camel = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
     return documents.select(
         i.alias("chunk_ord"),
@@ -295,10 +295,12 @@ def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(name: str, given: list[str], expand: bool, alpha: float | None = None, penalize: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = search_index(spark, sf_dir)
+        """Stated queries: the chunks' postings of these terms, and what the graph says of these seeds, not a whole index."""
+        rows = written(chunks(spark, sf_dir), "chunks")
         held, of = _vectors(spark, sf_dir, len(given))
         hits = vectors.cosine_top(held, of, DEPTH)
-        return hybrid.search(index.chunks, asked(spark, given, alpha), hits, 10, penalize, index.links, expand, index.held, index.keys).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
+        links = graph.lookup(rows) if expand else None
+        return hybrid.search(rows, asked(spark, given, alpha), hits, 10, penalize, links, expand).select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
     run.__name__ = name
     query(_search_sql(given, expand, alpha, penalize))(run)
