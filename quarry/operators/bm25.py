@@ -119,8 +119,8 @@ def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, scorer:
 
 
 def scores(terms: DataFrame, held: Index, scorer: Bm25 = Bm25()) -> DataFrame:
-    """query_id, field, chunk_ord, score, of chunks with a positive, finite score. The query's side is small; which side is sent to all is left to its measured size."""
-    rows = held.postings.join(terms, ["field", "term"]).join(held.terms, ["field", "term"]).join(held.stats, "field")
+    """query_id, field, chunk_ord, score, of chunks with a positive, finite score. The query's side is written before it meets the postings: which side is sent to all is left to its size, and a frame from the driver has none."""
+    rows = held.postings.join(written(terms.join(held.terms, ["field", "term"]).join(held.stats, "field"), "asked_terms"), ["field", "term"])
     part = weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), scorer)
     out = rows.groupBy("query_id", "field", "chunk_ord").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return out.where((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") < float("inf")))

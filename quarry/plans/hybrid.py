@@ -129,7 +129,7 @@ def search(
     candidates only, of which a query that asks for relations may have most chunks: their concepts are found by whole batches.
     What several joins read is written, so that it is made once and its size is known.
     """
-    depth = max(10 * top_k, RECALL)
+    depth, queries = max(10 * top_k, RECALL), written(queries, "queries")
     if given is None:
         fields = bm25.search_fields(chunks, queries, depth, held=held)
         given = {f: fields.where(F.col("field") == f) for f in bm25.FIELDS}

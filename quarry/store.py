@@ -6,6 +6,7 @@ executors share. The default one is for a single machine.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import time
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import embedding_text
 from quarry.operators import bm25, graph, vectors
 from quarry.plans import hybrid
-from quarry.shared import path_exists, read_text, write_text
+from quarry.shared import path_exists, read_text, write_text, written
 from quarry.sources import tree
 
 HOME = Path("~/.quarry")
@@ -42,10 +43,29 @@ class HybridIndex:
 
     def __init__(self, chunks: DataFrame, embeddings: DataFrame, model: vectors.Model, held: bm25.Index | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         self.chunks, self.embeddings, self.model = chunks, embeddings, model
-        self.held = held or bm25.index(chunks)
-        self.nodes = graph.nodes(chunks) if nodes is None else nodes
-        self.edges = graph.edges(chunks) if edges is None else edges
-        self.links = graph.lookup(chunks, self.edges)
+        self._held, self._nodes, self._edges = held, nodes, edges
+
+    # what isn't given is made when it is first needed, so an index that is only saved is made in its place
+
+    @functools.cached_property
+    def _imports(self) -> DataFrame:
+        return written(graph.imports(self.chunks), "imports")
+
+    @functools.cached_property
+    def held(self) -> bm25.Index:
+        return self._held or bm25.index(self.chunks)
+
+    @functools.cached_property
+    def nodes(self) -> DataFrame:
+        return graph.nodes(self.chunks, self._imports) if self._nodes is None else self._nodes
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        return graph.edges(self.chunks, self._imports) if self._edges is None else self._edges
+
+    @functools.cached_property
+    def links(self) -> graph.Lookup:
+        return graph.lookup(self.chunks, self.edges)
 
     @classmethod
     def from_chunks(cls, chunks: DataFrame, model: vectors.Model | None = None) -> HybridIndex:
@@ -82,13 +102,17 @@ class HybridIndex:
         self.save_to(index_dir(root, home), {"root_path": tree.checked_root(root), "root_path_sha256": project_key(root), "created_at": time.time(), "model_name": model_name})
 
     def save_to(self, to: str, about: dict[str, object] | None = None) -> None:
-        """Postings lie by field, sorted by term. The metadata comes last: an index without them isn't whole."""
+        """Postings lie in segments, each sorted by field and term; the lengths are among them, as those of no term. The metadata comes last: an index without them isn't whole."""
         spark = self.chunks.sparkSession
         self.chunks.write.mode("overwrite").parquet(f"{to}/chunks")
         self.embeddings.write.mode("overwrite").parquet(f"{to}/vectors")
-        self.held.postings.repartitionByRange("field", "term", "chunk_ord").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{to}/postings")
-        self.held.stats.write.mode("overwrite").parquet(f"{to}/stats")
-        self.held.terms.write.mode("overwrite").parquet(f"{to}/terms")
+        if held := self.__dict__.get("held", self._held):
+            held.postings.write.mode("overwrite").parquet(f"{to}/postings")
+        else:
+            bm25.postings(self.chunks).write.mode("overwrite").parquet(f"{to}/postings")
+            held = bm25.index_of(spark.read.parquet(f"{to}/postings"), self.chunks)
+        held.stats.write.mode("overwrite").parquet(f"{to}/stats")
+        held.terms.write.mode("overwrite").parquet(f"{to}/terms")
         self.nodes.write.mode("overwrite").parquet(f"{to}/nodes")
         self.edges.write.mode("overwrite").parquet(f"{to}/edges")
         read = lambda name: spark.read.parquet(f"{to}/{name}")
@@ -109,7 +133,7 @@ class HybridIndex:
         for name, make in (("nodes", graph.nodes), ("edges", graph.edges)):
             if not path_exists(spark, f"{to}/{name}"):
                 make(chunks).write.parquet(f"{to}/{name}")
-        held = bm25.Index(read("postings"), read("stats"), read("terms"))
+        held = bm25.Index(read("postings").where("term IS NOT NULL"), read("stats"), read("terms"))
         return cls(chunks, read("vectors"), model or vectors.HashingModel(), held, read("nodes"), read("edges"))
 
 

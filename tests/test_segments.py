@@ -49,3 +49,21 @@ def test_stated_queries_need_no_whole_index(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(bm25, "written", lambda df, name, *a, f=bm25.written: sizes.setdefault(name, f(df, name, *a)))
     assert Q.QUERY_FUNCTIONS["hybrid_search"](spark, sf_dir).count()
     assert sizes["postings"].select("term").distinct().count() < 100
+
+
+def test_saved_index_is_made_in_its_place(spark, tmp_path, monkeypatch):
+    """The postings were written twice, and sorted over the cluster. Chunks that share an id refer to a name once."""
+    from quarry.operators import vectors
+    from quarry.store import HybridIndex
+
+    rows = spark.createDataFrame([(i, f"Alpha beta {i % 3} alpha Gamma_x", f"a/b{i % 4}.py", 1, 2, "class", "Alpha", "en") for i in range(6)], "chunk_ord long, content string, file_path string, start_line int, end_line int, kind string, name string, language string")
+    names = []
+    monkeypatch.setattr(bm25, "written", lambda df, name, *a, f=bm25.written: names.append(name) or f(df, name, *a))
+    HybridIndex(rows, vectors.embedded(rows, F.col("content"), vectors.HashingModel()).select("chunk_ord", "embedding"), vectors.HashingModel()).save_to(f"file://{tmp_path}/index")
+    assert "postings" not in names
+    loaded = HybridIndex.load_from(spark, f"file://{tmp_path}/index")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    held = bm25.index(rows)
+    assert same(loaded.held.postings, held.postings) and same(loaded.held.stats, held.stats) and same(loaded.held.terms, held.terms)
+    refers = [(r["source_id"], r["target_id"]) for r in loaded.edges.where("kind = 'references'").collect()]
+    assert len(refers) == len(set(refers)) == 4 * 3  # four ids, of which two have two chunks; alpha, beta, gamma_x
