@@ -192,8 +192,11 @@ class Keys(NamedTuple):
 
 def keyed(keys: np.ndarray, checks: np.ndarray, many: np.ndarray | None = None) -> Keys:
     """many: which places stand for several."""
-    order = np.lexsort((checks, keys))
+    order = np.argsort(keys, kind="stable")
     a, b = keys[order], checks[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):  # hardly ever: the second hash has to tell them apart
+        order = np.lexsort((checks, keys))
+        a, b = keys[order], checks[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     back = np.empty(len(keys), np.int64)
@@ -253,7 +256,10 @@ class Block:
         phrase = np.searchsorted(p.start, at, "right") - 1
         # the dictionary's suffixes that start at the places, each once
         offset = at - p.start[phrase]
-        _, one, back = np.unique(rank[phrase] * (int(offset.max(initial=0)) + 1) + offset, return_index=True, return_inverse=True)
+        same, long, known = rank.copy(), np.flatnonzero(p.end - p.start > LENGTH), {}
+        for i in long.tolist():  # of these, ranks look at the first LENGTH bytes only
+            same[i] = len(rank) + known.setdefault(self.flat[p.start[i] : p.end[i]].tobytes(), len(known))
+        _, one, back = np.unique(same[phrase] * (int(offset.max(initial=0)) + 1) + offset, return_index=True, return_inverse=True)
         suffix = ranks(self.flat, at[one], p.end[phrase[one]])[back]
         after = follow[np.where(p.end[phrase] < p.doc_end[phrase], phrase + 1, len(rank))]
         order = np.lexsort((after, suffix))
@@ -278,6 +284,15 @@ class Block:
         return found, at, found.back[group]
 
 
+    def repeated(self, compare: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        """The compared places whose strings are repeated; answers: to the keys of strings(), in their order.
+
+        A string's key is its fingerprint, so a place finds its key by that; the order need not be made again.
+        """
+        at = np.flatnonzero(compare)
+        return at[answers[keyed(*self.prints(at, at + LENGTH)).back] & 1 > 0]
+
+
 def answer(rows: list[dict], kind: int) -> np.ndarray:
     """The answers to the keys of a kind, in the keys' order."""
     parts = [unpacked(r["keys"], "u1") for r in rows if r["kind"] == kind]
@@ -324,8 +339,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     def last(block: int, held: bytes, answers: list[dict]) -> pa.RecordBatch:
         b = Block(held, seed, bits)
         known, compare = b.decided(answers)
-        _, at, back = b.strings(compare)
-        found = at[answer(answers, STRINGS)[back] & 1 > 0]
+        found = b.repeated(compare, answer(answers, STRINGS))
         n = len(b.flat)
         edges = np.zeros(n + 1, np.int32)
         edges[:n] += known
