@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import array
 import functools
+import itertools
 import json
 import os
 import re
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import batches, texts, written
+from quarry.llm.common import batches, written
 
 CAPACITY, END = 1024, 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,17 +32,34 @@ SLOT, DOC, PAIR = 0, 1, 2
 
 #: Words whose ids a worker remembers, of so many letters at most.
 REMEMBERED, LETTERS = 1 << 19, 64
-#: public_tokenizers.PATTERN for texts of plain letters, see _is_plain(), of which the library's own expressions know the classes.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: New words that are given to the tokenizer as one text.
+GROUP = 256
+#: public_tokenizers.PATTERN, by which Encoder._cut() cuts plain texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of characters; equal ones of the first three stand in one word. A text with odd ones isn't plain.
+LETTER, DIGIT, OTHER, WHITE, SPACE, ODD, UNSEEN = range(7)
+
+
+def _kind(c: str) -> int:
+    """Letters, decimal digits, marks, punctuation and symbols count if they have been that for long and still are."""
+    if c in "\t\n\r ":
+        return SPACE if c == " " else WHITE
+    kind = unicodedata.category(c)
+    good = (kind[0] in "LMPS" or kind == "Nd") and kind == unicodedata.ucd_3_2_0.category(c) and bool(re.match(r"[^\W\d_]", c)) == (kind[0] == "L")
+    return {"L": LETTER, "N": DIGIT}.get(kind[0], OTHER) if good else ODD
+
+
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    return held if n <= len(held) else np.concatenate([held, np.zeros(max(n - len(held), len(held)), held.dtype)])
 
 
 class Encoder:
     """The tokenizer of a file, asked for each different word once.
 
     A byte-level tokenizer cuts a text into words by a pattern and looks at each alone. So the ids of a text are its words'
-    ids, and as words repeat, most needn't be found again. Texts with the tokenizer's own marks, or with letters of which
-    Unicode's versions might differ in opinion, are given to it whole, as are all texts if it works in another way.
+    ids, and as words repeat, most needn't be found again. Whole batches are cut by the kinds of their characters. Texts with
+    the tokenizer's own marks, or with letters of which Unicode's versions might differ in opinion, are given to it whole, as
+    are all texts if it works in another way.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,45 +68,147 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
         cut = given.get("pre_tokenizer") or {}
-        self.by_word = given.get("normalizer") is None and given.get("post_processor") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True) and public_tokenizers.PATTERN == PATTERN
         self.marks = [x["content"] for x in given["added_tokens"]]
-        self.ids: dict[str, bytes] = {}
-        self.plain: set[str] = set()
-        self.odd: set[str] = set()
-
-    def _is_plain(self, text: str) -> bool:
-        letters = set(text) - self.plain
-        for c in letters - self.odd:
-            kind = unicodedata.category(c)
-            # letters, decimal digits, marks, punctuation and symbols, for long and still
-            good = c in "\t\n\r " or (kind[0] in "LMPS" or kind == "Nd") and kind == unicodedata.ucd_3_2_0.category(c) and bool(re.match(r"[^\W\d_]", c)) == (kind[0] == "L")
-            (self.plain if good else self.odd).add(c)
-        return not letters & self.odd and not any(x in text for x in self.marks)
-
-    def __call__(self, given: Sequence[str]) -> list[np.ndarray]:
-        cut = [WORDS.findall(x) if self.by_word and self._is_plain(x) else None for x in given]
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        ids = self.ids
-        new = list(set().union(*(words for words in cut if words)) - ids.keys())
-        whole = [x for x, words in zip(given, cut) if words is None]
-        found = iter(self.own.encode_batch_fast(new + whole, add_special_tokens=False))
-        ids.update((w, array.array("I", next(found).ids).tobytes()) for w in new)
-        out = [np.asarray(next(found).ids, "<u4") if words is None else np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4") for words in cut]
-        for w in new:
-            if len(w) > LETTERS:
-                del ids[w]
+        plain = not any(given.get(x) for x in ("normalizer", "post_processor", "truncation", "padding")) and not any(re.search(r"\s", x) for x in self.marks)
+        self.by_word = plain and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True) and public_tokenizers.PATTERN == PATTERN
+        vocabulary = self.own.get_vocab()
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a letter for each byte
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.kind = np.full(0x110000, UNSEEN, np.uint8)
+        #: Each word's number, in order; word n has the ids pool[edge[n] : edge[n + 1]]; again: it came in a later batch too.
+        self.number: dict[str, int] = {}
+        self.pool, self.edge, self.again = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _cut(self, text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of all texts after one another, where each text's begin, and which texts are one word as they aren't plain."""
+        held = text.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        data = held.buffers()[2]
+        flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        first = offsets - offsets[0]
+        letters = str(flat.data, "utf-8")
+        chars, at = flat, None
+        if not letters.isascii():
+            chars, at = np.frombuffer(letters.encode("utf-32-le"), "<u4"), np.flatnonzero((flat & 0xC0) != 0x80)
+            first = np.searchsorted(at, first)
+        del letters
+        kind = self.kind[chars]
+        if (kind == UNSEEN).any():
+            for c in np.unique(chars[kind == UNSEEN]).tolist():
+                self.kind[c] = _kind(chr(c))
+            kind = self.kind[chars]
+        odd = np.full(len(held), not self.by_word)
+        odd[np.searchsorted(first, np.flatnonzero(kind == ODD), "right") - 1] = True
+        raw = flat.tobytes() if self.marks else b""
+        for mark in (x.encode() for x in self.marks if x):
+            found = raw.find(mark)
+            while found >= 0:
+                number = int(np.searchsorted(offsets, offsets[0] + found, "right")) - 1
+                odd[number] = True
+                found = raw.find(mark, int(offsets[number + 1] - offsets[0]))
+        n = len(chars)
+        ends = np.zeros(n + 1, bool)
+        ends[first] = True
+        begin = ends[:-1].copy()
+        white = kind >= WHITE
+        # other kinds begin a word, but for a space's right neighbour; so does white space, of which the last goes with what follows or is alone
+        begin[1:] |= np.where(white[1:], ~white[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE))
+        begin[:-1] |= white[:-1] & ~white[1:] & ~ends[1:-1]
+        mark = np.flatnonzero((chars == ord("'")) & begin)
+        if len(mark):
+            next1, next2 = (np.where(mark + k < n, chars[np.minimum(mark + k, n - 1)], 0) for k in (1, 2))
+            next1[ends[np.minimum(mark + 1, n)]] = 0
+            next2[ends[np.minimum(mark + 2, n)]] = 0
+            one = np.isin(next1, [ord(x) for x in "stmd"])
+            two = np.zeros(len(mark), bool)
+            for a, b in ("re", "ve", "ll"):
+                two |= (next1 == ord(a)) & (next2 == ord(b))
+            begin[mark[one | two] + 1] = False
+            after = np.concatenate([mark[one] + 2, mark[two] + 3])
+            begin[after[after < n]] = True
+        for number in np.flatnonzero(odd):
+            begin[first[number] + 1 : first[number + 1]] = False
+        begins = np.flatnonzero(begin)
+        edges = np.append(begins if at is None else at[begins], len(flat))
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(flat))
+        return words, np.searchsorted(begins, first), odd
+
+    def _joined(self, words: list[str], gap: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of words that stay apart with the gap behind each, and how many each word has; None if that can't be told."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        given = [gap.join([*words[i : i + GROUP], ""]) for i in range(0, len(words), GROUP)]
+        ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.own.encode_batch_fast(given, add_special_tokens=False)])
+        ends = np.cumsum(self.size[ids])
+        want = np.cumsum(np.fromiter((len(x.encode()) for x in words), np.int64, len(words)) + len(gap))
+        to = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or (ends[to] != want).any():
+            return None
+        count = np.diff(to, prepend=-1)
+        if not gap:
+            return ids, count
+        return (np.delete(ids, to), count - 1) if (self.size[ids[to]] == len(gap)).all() else None
+
+    def _found(self, words: list[str], alone: np.ndarray) -> np.ndarray:
+        """Each word's number; the tokenizer is asked for new ones. alone: texts that it gets whole."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        out = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        self.again[out[out >= 0]] = True
+        lone, spaced, others, long = [], [], [], []
+        for i in np.flatnonzero(out < 0).tolist():
+            w = words[i]
+            (long if len(w) > LETTERS else lone if alone[i] or w.isspace() else spaced if w[0] == " " else others).append(i)
+        for new, gap in ((spaced, ""), (others, "\n"), (lone, None), (long, None)):
+            given = [words[i] for i in new]
+            found = None if gap is None else self._joined(given, gap)
+            if found is None:
+                each = [np.asarray(x.ids, "<u4") for x in self.own.encode_batch_fast(given, add_special_tokens=False)]
+                found = np.concatenate([np.zeros(0, "<u4"), *each]), np.fromiter(map(len, each), np.int64, len(each))
+            ids, count = found
+            n = len(self.number)
+            self.edge, self.pool, self.again = _room(self.edge, n + len(new) + 1), _room(self.pool, int(self.edge[n]) + len(ids)), _room(self.again, n + len(new))
+            self.edge[n + 1 : n + len(new) + 1] = self.edge[n] + np.cumsum(count)
+            self.pool[self.edge[n] : self.edge[n] + len(ids)] = ids
+            self.again[n : n + len(new)] = False
+            out[new] = np.arange(n, n + len(new))
+            if new is not long:  # these are held for this batch only
+                self.number.update(zip(given, range(n, n + len(new))))
         return out
 
+    def _forget(self) -> None:
+        """Keeps the words that came again since the last time, unless these are most."""
+        n = len(self.number)
+        again = self.again[:n] if self.again[:n].sum() <= REMEMBERED // 2 else np.zeros(n, bool)
+        count = np.diff(self.edge[: n + 1])
+        self.number = {w: i for i, w in enumerate(itertools.compress(self.number, again.tolist()))}
+        self.pool = self.pool[: self.edge[n]][np.repeat(again, count)]
+        self.edge = np.concatenate([[0], np.cumsum(count[again])])
+        self.again = np.zeros(len(self.number), bool)
+
+    def __call__(self, text: pa.Array) -> list[np.ndarray]:
+        if not len(text):
+            return []
+        words, first, odd = self._cut(text)
+        coded = words.dictionary_encode()
+        index = np.asarray(coded.indices, np.int64)
+        alone = np.zeros(len(coded.dictionary), bool)
+        alone[index[first[:-1][odd & (first[:-1] < first[1:])]]] = True
+        each = self._found(coded.dictionary.to_pylist(), alone)[index]
+        count = self.edge[each + 1] - self.edge[each]
+        to = np.cumsum(count)
+        ids = self.pool[np.repeat(self.edge[each] - (to - count), count) + np.arange(int(count.sum()))]
+        return np.split(ids, np.concatenate([[0], to])[first[1:-1]])
+
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(given: Sequence[str], path: str = TOKENIZER) -> list[np.ndarray]:
+def encode(given: Sequence[str] | pa.Array, path: str = TOKENIZER) -> list[np.ndarray]:
     """The ids of each text, as the tokenizer gives them without special tokens."""
-    return _encoder(path)(given)
+    return _encoder(path)(given if isinstance(given, pa.Array) else pa.array(given, pa.string()))
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -104,7 +223,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         item = TaskContext.get().partitionId() << 40
         for batch in batches(given, text):
             rows, out = [], []
-            for row, found in enumerate(encode(texts(batch, text), path)):
+            for row, found in enumerate(encode(batch.column(text), path)):
                 ids = np.append(found, np.uint32(end)).astype("<u4")
                 starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):

@@ -1,6 +1,7 @@
 """What needs the whole corpus: language model, mix, search, near-dedup, shards, dedup, packing."""
 
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -420,6 +421,58 @@ def test_long_runs_encode():
     assert [x.tolist() for x in packing.encode(given)] == [own.encode(x, add_special_tokens=False).ids for x in given]
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch_fast(self, given, **options):
+        self.texts += len(given)
+        return self.own.encode_batch_fast(given, **options)
+
+
+def test_tokenizer_is_asked_for_many_words_at_once(monkeypatch):
+    encoder = packing.Encoder(packing.TOKENIZER)
+    own, encoder.own = encoder.own, Counted(encoder.own)
+    monkeypatch.setattr(packing, "_encoder", lambda path: encoder)
+    rng = np.random.default_rng(7)
+    given = ["".join(rng.choice(["", " ", "\n", ", "]) + "".join(rng.choice(list("abcdeéß"), 12)) for _ in range(100)) for _ in range(50)]
+    assert [x.tolist() for x in packing.encode(given)] == [own.encode(x, add_special_tokens=False).ids for x in given]
+    assert encoder.own.texts < 50  # some 5,000 words
+    assert [x.tolist() for x in packing.encode(given[::-1])] == [own.encode(x, add_special_tokens=False).ids for x in given[::-1]]
+    assert encoder.own.texts < 50
+
+
+@pytest.mark.parametrize("most", [3, 40, 1000])
+def test_words_are_forgotten(monkeypatch, most):
+    monkeypatch.setattr(packing, "REMEMBERED", most)
+    encoder = packing.Encoder(packing.TOKENIZER)
+    monkeypatch.setattr(packing, "_encoder", lambda path: encoder)
+    own = Tokenizer.from_file(packing.TOKENIZER)
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        given = ["".join(rng.choice([" the", " of", "'s", "'ll", "'", " ", "\n", "\xa0", "<|endoftext|>", "x" * 70, " " + "".join(rng.choice(list("abc"), 4))], 30)) for _ in range(rng.integers(1, 5))]
+        assert [x.tolist() for x in packing.encode(given)] == [own.encode(x, add_special_tokens=False).ids for x in given]
+
+
+@pytest.mark.parametrize("change", ["bytes missing", "mark with a space", "mark with letters only"])
+def test_other_tokenizers(tmp_path, change):
+    with open(packing.TOKENIZER) as file:
+        given = json.load(file)
+    if change == "bytes missing":  # what has no id is left out
+        given["model"] |= {"vocab": {x: i for i, x in enumerate("abcĠĊ")} | {"ab": 5}, "merges": ["a b"]}
+        given["added_tokens"] = []
+    else:
+        given["added_tokens"][0]["content"] = {"mark with a space": "b a", "mark with letters only": "ba"}[change]
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(given))
+    own = Tokenizer.from_file(str(path))
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("aabbcd \n'"), 60)) for _ in range(40)]
+    assert [x.tolist() for x in packing.encode(texts, str(path))] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_empty(spark):
     none = frame(spark, [])
     for out in (ctw.score(none), mixing.plan(none), mixing.mix(none), dartminhash.classes(none), dartminhash.keep_one(none), sharding.assign(none), pfp.dedup(none), packing.pack(none)):
