@@ -25,6 +25,8 @@ CELLS, FULL = 256, 65535
 SKETCH_ROWS = 512
 #: Darts a coordinate besides the logarithm of their number, as the first throw.
 SPARE = 2.0
+#: Bits of the sift for each row of the buckets, and at most (2 MB in all).
+SIFT_BITS, SIFT_MOST = 8, 1 << 24
 
 
 def shingles(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +256,7 @@ def linked(sets: DataFrame, bands: DataFrame, least: float) -> DataFrame:
         if hubs > 1:
             pairs = pairs.unionByName(bounded_pairs(rows.where(small).select("band", "label", "h", "weight"), sets, least)).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(checked(pairs, sets, least), "links")
+        links = written(checked(pairs, sets, least).repartition("a"), "links")  # few rows, from as many tasks as the sets need
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             labels = written(components(links, labels), "labels")
@@ -275,18 +277,28 @@ def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFra
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("h", "k").orderBy(F.col("d").cast("string")))).where("n = 1").select("h", "d")
 
 
+def sifted(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """The rows (id, text) whose text may be in bands (h): all that are, and few others. It is told by broadcast bits, of which there are SIFT_MOST at most, so what is left out isn't shuffled."""
+    bits = min(SIFT_MOST, 64 + SIFT_BITS * bands.count())
+    place = lambda h: F.pmod(F.xxhash64(h), F.lit(bits))
+    known = bands.select(place(F.col("h")).alias("place")).groupBy(F.expr("place div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits"))
+    rows = texts.withColumn("place", place(text_hash(F.col("text"))))
+    rows = rows.join(F.broadcast(known), F.expr("place div 64") == F.col("at"))
+    return rows.where(F.getbit("bits", F.expr("CAST(place % 64 AS INT)")) == 1).select("id", "text")
+
+
 def grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
     """All rows (id, h, alone), and all texts with words (h, id, label): id is the least of the text's."""
     found = written(sketches(docs, key, text), "sketches")
     nodes = written(found.where("bands IS NOT NULL").groupBy("h").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
     bands = nodes.select("h", "weight", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = written(bands.join(shared, "band"), "bands")
-    # a text that meets many others is the better hub: its copies then meet the same hub in all bands
-    met = bands.groupBy("h").agg(F.sum("n").alias("met"))
-    bands = written(bands.drop("n").join(met, "h"), "bands")
+    # a text that meets many others is the better hub: its copies then meet the same hub in all bands. It has BANDS rows at most
+    met = F.sum("n").over(Window.partitionBy("h"))
+    bands = written(bands.join(shared, "band").withColumn("met", met).drop("n"), "bands")
     wanted = nodes.join(bands.select("h").distinct(), "h").select("id", "h")
-    found_texts = texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id", "text").select("h", "d.text")
+    texts = sifted(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), bands)
+    found_texts = texts_of(texts, wanted, "id", "text").select("h", "d.text")
     sets = written(sets_of(found_texts), "sets")
     labels = linked(sets, bands, least)
     named = nodes.select("h", "id").join(labels, "h", "left").select("h", "id", F.coalesce("label", "h").alias("label"))

@@ -217,6 +217,29 @@ def test_one_large_group(spark):
     assert {got[i] for i in range(120)} == {0} and got[500] == 500
 
 
+def test_only_texts_that_share_a_bucket_are_shuffled(spark, monkeypatch):
+    """Texts that meet no other don't go into the exchange for shingle sets; the buckets are written once."""
+    base = [[f"w{k}x{i}" for i in range(60)] for k in range(200)]
+    given = [(k, " ".join(w)) for k, w in enumerate(base)] + [(200 + k, " ".join([*base[k][:-1], "new"])) for k in range(5)] + [(300, None), (None, " ".join(base[9]))]
+    sent, names, texts_of, written = [], Counter(), dartminhash.texts_of, dartminhash.written
+    monkeypatch.setattr(dartminhash, "texts_of", lambda docs, *a: sent.append(docs.count()) or texts_of(docs, *a))
+    monkeypatch.setattr(dartminhash, "written", lambda df, name: names.update([name]) or written(df, name))
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.classes(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: k for k in range(200)} | {200 + k: k for k in range(5)} | {300: 300, None: 9}
+    assert len(sent) == 1 and 10 <= sent[0] < 60 and names["bands"] == 1
+
+
+def test_sift_lets_all_through(spark, monkeypatch):
+    """Whatever the sift's size, no wanted text is left out; a null text counts as an empty one."""
+    rows = spark.createDataFrame([(i, f"text {i}" if i else None) for i in range(400)], "id long, text string")
+    bands = rows.where("id % 7 = 0").select(dartminhash.text_hash(rows["text"]).alias("h"))
+    for most in (1, 64, 1 << 24):
+        monkeypatch.setattr(dartminhash, "SIFT_MOST", most)
+        got = Counter(r["id"] for r in dartminhash.sifted(rows, bands).collect())
+        assert set(got.values()) == {1} and {i for i in range(400) if i % 7 == 0} <= set(got)
+    assert len(got) < 150 and dartminhash.sifted(rows, bands.limit(0)).isEmpty()
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     close = []
