@@ -256,7 +256,7 @@ def linked(sets: DataFrame, bands: DataFrame, least: float) -> DataFrame:
         if hubs > 1:
             pairs = pairs.unionByName(bounded_pairs(rows.where(small).select("band", "label", "h", "weight"), sets, least)).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(checked(pairs, sets, least).repartition("a"), "links")  # few rows, from as many tasks as the sets need
+        links = written(checked(pairs, sets, least).repartition("a", "b"), "links")  # few rows, from as many tasks as the sets need
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             labels = written(components(links, labels), "labels")
